@@ -3,11 +3,108 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from winnower.llm import near_dedup
+from winnower.llm import chat_format, mixing, near_dedup, quality_rules
 from winnower.llm.shared import read
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "\\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, :t AS text UNION ALL SELECT -7L, 1L, 'assistant', :t", args={"t": probe})
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat_format.format_conversations(turns)
+    made = made.withColumns({"turns": chat_format.parse(F.col("formatted")), "loss": chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    back = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return made.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(back, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP1_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, CASE WHEN contains(text, '\\') OR contains(text, '\e') OR contains(text, '### ') OR contains(text, '</turn>')
+    THEN replace(replace(replace(text, '\', '\\'), '### ', '#\e## '), '</turn>', '<\e/turn>') ELSE text END AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(shown) + 14)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quality = F.col("quality")
+    weights = read(spark, sf_dir, "labels").select("doc_id", F.when(quality == 1, 2.0).when(quality == 0, 0.5).otherwise(1.0).alias("weight"))
+    return mixing.mix_sources(read(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
+q AS (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END::DOUBLE) AS weight FROM labels GROUP BY doc_id),
+k AS (SELECT d.*, -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0) / coalesce(weight, 1.0) AS key FROM d LEFT JOIN q USING (doc_id)),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+c AS (SELECT *, 3.0 * source_size AS cap, row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS n FROM s),
+f(n, level) AS (
+  SELECT 0::BIGINT, (SELECT sum(source_size) FROM c) / (SELECT sum(weight) FROM c)::DOUBLE
+  UNION ALL SELECT f.n + 1, ((SELECT sum(source_size) FROM c) - (SELECT sum(cap) FROM c WHERE c.n <= f.n + 1)) / (SELECT sum(weight) FROM c WHERE c.n > f.n + 1)
+  FROM f WHERE EXISTS (SELECT 1 FROM c WHERE c.n = f.n + 1 AND c.cap <= c.weight * f.level) AND EXISTS (SELECT 1 FROM c WHERE c.n > f.n + 1)),
+t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM f ORDER BY n DESC LIMIT 1)) AS target FROM c),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t)
+SELECT doc_id, size, source_size, round(target, 6) AS target, epochs, k.source,
+  (size * (epochs + CASE WHEN sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source
+"""
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
+OP6_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM documents),
+g AS (SELECT r, i, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
+v AS (SELECT r, sum(least(8, coalesce(nx - i, 8))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM h) GROUP BY r),
+m AS (
+  SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN v USING (r)),
+b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS word_length, coalesce(n_symbols * 1000 // nullif(n_words, 0), 0) AS symbols,
+    coalesce(n_dup_lines * 1000 // nullif(n_words, 0), 0) AS dup_lines, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeats FROM m),
+u AS (
+  SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)::BIGINT) << (length(bin(v)) - 6)::BIGINT END AS x
+  FROM (UNPIVOT (SELECT lang, source, word_length, symbols, dup_lines, repeats FROM b WHERE NOT base_failed) ON word_length, symbols, dup_lines, repeats INTO NAME measure VALUE v)),
+z AS (
+  SELECT 0 AS lv, lang, source, measure, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3, count(*) AS n FROM u GROUP BY ALL
+  UNION ALL SELECT 1, lang, NULL, measure, quantile_disc(x, 0.25), quantile_disc(x, 0.75), count(*) FROM u GROUP BY ALL
+  UNION ALL SELECT 2, NULL, NULL, measure, quantile_disc(x, 0.25), quantile_disc(x, 0.75), count(*) FROM u GROUP BY ALL),
+f AS (SELECT *, 3 * greatest(q3 - q1, CASE measure WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 10 ELSE 30 END) AS s FROM z),
+l AS (
+  SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= 50 THEN o.q1 - o.s WHEN g.n >= 50 THEN g.q1 - g.s ELSE a.q1 - a.s END AS lo, CASE WHEN o.n >= 50 THEN o.q3 + o.s WHEN g.n >= 50 THEN g.q3 + g.s ELSE a.q3 + a.s END AS hi
+  FROM f o JOIN f g ON o.lv = 0 AND g.lv = 1 AND o.lang IS NOT DISTINCT FROM g.lang AND o.measure = g.measure JOIN f a ON a.lv = 2 AND a.measure = o.measure)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(
+  word_length BETWEEN max(lo) FILTER (WHERE measure = 'word_length') AND max(hi) FILTER (WHERE measure = 'word_length')
+  AND symbols BETWEEN max(lo) FILTER (WHERE measure = 'symbols') AND max(hi) FILTER (WHERE measure = 'symbols')
+  AND dup_lines BETWEEN max(lo) FILTER (WHERE measure = 'dup_lines') AND max(hi) FILTER (WHERE measure = 'dup_lines')
+  AND repeats BETWEEN max(lo) FILTER (WHERE measure = 'repeats') AND max(hi) FILTER (WHERE measure = 'repeats'), false) AS kept
+FROM b LEFT JOIN l ON b.lang IS NOT DISTINCT FROM l.lang AND b.source IS NOT DISTINCT FROM l.source
+GROUP BY doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, word_length, symbols, dup_lines, repeats
+"""
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), near_dedup.NearDuplicates(percent=85))
 
@@ -28,9 +125,12 @@ FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.k
 """
 
 
+_SQL = {"op1_chat_format": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_minhash_near_dedup": OP10_SQL}
+
+
 def queries() -> dict:
-    return {"op10_minhash_near_dedup": op10_minhash_near_dedup}
+    return {f.__name__: f for f in (op1_chat_format, op5_mix_sources, op6_quality_rules, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_minhash_near_dedup": OP10_SQL}
+    return dict(_SQL)
