@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnower.llm import chat_format, mixing, near_dedup, quality_rules
-from winnower.llm.shared import read
+from winnower.llm import chat_format, mixing, near_dedup, quality_model, quality_rules, toxicity
+from winnower.llm.shared import crc_remainder, read
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,16 @@ FROM e GROUP BY conv_id
 """
 
 
+def _scored(spark: SparkSession, sf_dir: str, model, threshold: float) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = model.score(docs, model.train(docs, read(spark, sf_dir, "labels")), threshold=threshold)
+    return out.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality_model, 0.3)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.col("quality")
     weights = read(spark, sf_dir, "labels").select("doc_id", F.when(quality == 1, 2.0).when(quality == 0, 0.5).otherwise(1.0).alias("weight"))
@@ -72,8 +82,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH w AS (
-  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls FROM documents),
 g AS (SELECT r, i, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
 h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
 v AS (SELECT r, sum(least(8, coalesce(nx - i, 8))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM h) GROUP BY r),
@@ -109,6 +121,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), near_dedup.NearDuplicates(percent=85))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, 0.5)
+
+
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -129,7 +145,7 @@ _SQL = {"op1_chat_format": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_quality_rul
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op5_mix_sources, op6_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op5_mix_sources, op6_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
