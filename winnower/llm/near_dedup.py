@@ -12,8 +12,11 @@ How no link between different texts is lost, without all pairs of a group:
 * Each bucket proposes only links to two centres, its least and its largest member. Proposed pairs
   pass a signature estimate and are then confirmed on the full sets. Components are taken.
 * A bucket whose members now lie in one component has nothing to add: more links in it can't
-  change the result. Members of a bucket in different components are compared pair by pair across
-  components, again by signature and then on full sets, and components are taken once more.
+  change the result. For members of buckets with several components the rest is exact: two sets that
+  reach the threshold share a shingle among the first few of both, in one common order of all shingles.
+  In the order of rarity these few are mostly shingles of one document alone, so that a large group of
+  loosely similar texts proposes few pairs. Those across components are confirmed on full sets, and
+  components are taken once more.
 
 Defined results: a null or wordless text has an empty set, links with nothing and stays alone; a null
 doc_id is a component of its own; rows that repeat a doc_id share a component; other columns are ignored;
@@ -43,7 +46,8 @@ class NearDuplicates:
     """Parameters: shingle length in words, similarity threshold in percent, bands and rows of the signature.
 
     ``slack`` is how far below the threshold a signature's estimate may lie before the pair is dropped
-    unconfirmed; 0.17 is over six standard deviations at 180 minima.
+    unconfirmed; 0.17 is over six standard deviations at 180 minima. Up to ``most_broadcast`` ids (8 MB) are
+    broadcast to pick their texts; beyond it a shuffle join does.
     """
 
     words: int = 5
@@ -51,6 +55,7 @@ class NearDuplicates:
     bands: int = 30
     rows: int = 6
     slack: float = 0.17
+    most_broadcast: int = 1_000_000
 
     def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(11)
@@ -100,6 +105,7 @@ def _features(p: NearDuplicates):
                     own = np.unique(x[first[i] : first[i + 1]])
                     n[i], d1[i], d2[i] = len(own), own.sum(dtype=np.uint64), np.bitwise_xor.reduce(tb.mix(own * np.uint64(0x9E3779B97F4A7C15)))
                 keys = tb.mix((minima.reshape(-1, p.bands, p.rows).astype(np.uint64) * salts).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64))
+                keys = (keys & ~np.uint64(1)) | (np.arange(p.bands, dtype=np.uint64) & np.uint64(1))
                 signature, bands = [None] * (hi - lo), [None] * (hi - lo)
                 low = tb.mix(minima.astype(np.uint64)).astype(np.uint8)
                 for r, i in enumerate(full):
@@ -138,19 +144,47 @@ def _sets(p: NearDuplicates):
     return run
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Of proposed pairs (a, b), those whose full sets reach the threshold. Also drops pairs whose sizes rule it out."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
-    able = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent
-    likely = settle(pairs.join(side("a"), "a").join(side("b"), "b").where(able).select("a", "b", "sa", "sb").mapInArrow(_agree(p), "a long, b long"))
-    ids = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+def _full_sets(docs: DataFrame, ids: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(node, shingles) of the named documents. The ids are broadcast if they are few, else joined by shuffle."""
+    ids = settle(ids)
+    ids = F.broadcast(ids) if ids.count() <= p.most_broadcast else ids
     texts = docs.join(ids, docs.doc_id == ids.node, "left_semi").select("doc_id", "text")
-    sets = settle(texts.mapInArrow(_sets(p), "node long, shingles array<long>").dropDuplicates(["node"]))
-    both = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
+    return settle(texts.mapInArrow(_sets(p), "node long, shingles array<long>").dropDuplicates(["node"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets reach the threshold."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
     shared = both.select("a", "b", F.size(F.array_intersect("xa", "xb")).cast("long").alias("k"), (F.size("xa") + F.size("xb")).cast("long").alias("n"))
     return shared.where(F.col("k") * 100 >= (F.col("n") - F.col("k")) * p.percent).select("a", "b")
 
 
+def _proposed(pairs: DataFrame, classes: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Of the pairs (a, b) those that sizes and signatures don't rule out."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
+    able = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(able).select("a", "b", "sa", "sb").mapInArrow(_agree(p), "a long, b long")
+
+
+def _by_rare_shingles(named: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Pairs (a, b) across components, among which are all that reach the threshold.
+
+    Of n shingles in a common order, sets that reach the threshold share one among the first
+    n - ceil(n * percent / 100) + 1 of each. Shingles of one document alone come first and match nothing.
+    """
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    common = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(common, "x").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+    first = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1 - (F.col("n") - F.size("xs"))
+    heads = ranked.where(first > 0).select("node", F.explode(F.slice("xs", F.lit(1), first.cast("int"))["x"]).alias("x"))
+    heads = settle(heads.join(named, "node"))
+    mixed = heads.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("x")
+    rest = heads.join(mixed, "x")
+    left = rest.select("x", F.col("node").alias("a"), F.col("component").alias("ca"))
+    right = rest.select("x", F.col("node").alias("b"), F.col("component").alias("cb"))
+    return left.join(right, "x").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -159,26 +193,25 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     features = settle(docs.mapInArrow(_features(p), FEATURES))
     digest = ["d1", "d2", "n_shingles"]
     nodes = features.where("n_shingles > 0 and doc_id is not null").groupBy(*digest).agg(F.min("doc_id").alias("node"))
-    known = settle(features.select("doc_id", *digest).join(nodes, digest, "left"))
+    known = settle(features.select("doc_id", *digest).join(nodes, digest, "left").select("doc_id", "n_shingles", "node"))
     classes = known.where("doc_id = node").select("node").distinct()
     classes = settle(features.where("n_shingles > 0").join(classes, features.doc_id == classes.node, "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "signature", "bands").dropDuplicates(["node"]))
 
-    members = classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", "key", (F.col("band") % 2).alias("side"))
+    members = classes.select("node", F.explode("bands").alias("key"))  # the last bit of a key says which end is the centre
     ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     buckets = settle(members.join(ends, "key"))
-    starred = buckets.select(F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high")).alias("c"), "node").where("c <> node")
-    links = settle(_confirmed(starred.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct(), classes, docs, p))
+    starred = buckets.select(F.when(F.col("key").bitwiseAND(1) == 0, F.col("low")).otherwise(F.col("high")).alias("c"), "node").where("c <> node")
+    pairs = settle(_proposed(starred.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct(), classes, p))
+    ends_of = lambda x: x.select(F.col("a").alias("node")).union(x.select(F.col("b").alias("node"))).distinct()
+    links = settle(_confirmed(pairs, _full_sets(docs, ends_of(pairs), p), p))
     labels = settle(connected_components(links))
 
     # What is left: members of one bucket that lie in different components.
     named = buckets.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = settle(named.join(mixed, "key"))
-    left = rest.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = left.join(right, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = across.join(starred.select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct(), ["a", "b"], "left_anti")
-    more = settle(_confirmed(across, classes, docs, p))
+    rest = settle(named.join(mixed, "key").select("node", "component").distinct())
+    sets = _full_sets(docs, rest.select("node"), p)
+    more = settle(_confirmed(_by_rare_shingles(rest, sets, p), sets, p))
     if more.take(1):
         labels = settle(connected_components(links.unionByName(more)))
 
