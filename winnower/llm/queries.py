@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnower.llm import chat_format, mixing, near_dedup, quality_model, quality_rules, toxicity
+from winnower.llm import chat_format, language_id, mixing, near_dedup, pii, quality_model, quality_rules, toxicity
 from winnower.llm.shared import crc_remainder, read
 
 
@@ -51,6 +51,17 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, quality_model, 0.3)
 
 
+def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.hide_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.train(docs.select("doc_id", "text", "lang"), crc_remainder("doc_id", 3) != 1)
+    out = language_id.detect(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_remainder("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.col("quality")
     weights = read(spark, sf_dir, "labels").select("doc_id", F.when(quality == 1, 2.0).when(quality == 0, 0.5).otherwise(1.0).alias("weight"))
@@ -145,7 +156,7 @@ _SQL = {"op1_chat_format": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_quality_rul
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op5_mix_sources, op6_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_pseudonyms, op4_language_id, op5_mix_sources, op6_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
