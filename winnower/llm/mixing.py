@@ -65,7 +65,7 @@ def sampling_key(doc_id: Column, weight: Column, seed: str = "") -> Column:
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, epochs and source per row of ``docs`` (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, copies and source per row of ``docs`` (doc_id, text, source).
 
     ``weights`` (doc_id, weight) has quality weights, the largest counts if a document has several.
     They meet the sizes of the documents, not their texts.
@@ -109,4 +109,4 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, mix: Mix = Mi
     whole = rest.unionByName(last).select("doc_id", "source", "size", "more")
     plan = plan.withColumnRenamed("source", "s")
     out = whole.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (F.col("epochs") + F.col("more"))).cast("long").alias("taken"), F.col("epochs").cast("long").alias("epochs"), "source")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (F.col("epochs") + F.col("more"))).cast("long").alias("taken"), (F.col("epochs") + F.col("more")).cast("long").alias("copies"), "source")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
 from winnower.llm.components import connected_components
-from winnower.llm.shared import settle, small_batches
+from winnower.llm.shared import pick, settle, small_batches
 
 _STEP = (np.random.default_rng(5).integers(1, 2**62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"
@@ -146,9 +146,7 @@ def _sets(p: NearDuplicates):
 
 def _full_sets(docs: DataFrame, ids: DataFrame, p: NearDuplicates) -> DataFrame:
     """(node, shingles) of the named documents. The ids are broadcast if they are few, else joined by shuffle."""
-    ids = settle(ids)
-    ids = F.broadcast(ids) if ids.count() <= p.most_broadcast else ids
-    texts = docs.join(ids, docs.doc_id == ids.node, "left_semi").select("doc_id", "text")
+    texts = pick(docs, ids, most_broadcast=p.most_broadcast).select("doc_id", "text")
     return settle(texts.mapInArrow(_sets(p), "node long, shingles array<long>").dropDuplicates(["node"]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnower.llm import chat_format, language_id, mixing, near_dedup, pii, quality_model, quality_rules, toxicity
+from winnower.llm import chat_format, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, toxicity
 from winnower.llm.shared import crc_remainder, read
 
 
@@ -81,9 +81,9 @@ f(n, level) AS (
   FROM f WHERE EXISTS (SELECT 1 FROM c WHERE c.n = f.n + 1 AND c.cap <= c.weight * f.level) AND EXISTS (SELECT 1 FROM c WHERE c.n > f.n + 1)),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT level FROM f ORDER BY n DESC LIMIT 1)) AS target FROM c),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t)
-SELECT doc_id, size, source_size, round(target, 6) AS target, epochs, k.source,
-  (size * (epochs + CASE WHEN sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= target - epochs * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source
+SELECT doc_id, size, source_size, round(target, 6) AS target, source, (size * copies)::BIGINT AS taken, copies
+FROM (SELECT k.*, source_size, target, (epochs + CASE WHEN sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) <= target - epochs * source_size THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source)
 """
 
 
@@ -132,6 +132,29 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), near_dedup.NearDuplicates(percent=85))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeated_chunks(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP7_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l),
+e AS (
+  SELECT *, CASE WHEN (h * 31 + coalesce(lag(h) OVER w, 0)) % 4 = 0 OR n >= 50 OR coalesce(lead(n) OVER w, 50) >= 50 THEN 1 ELSE 0 END AS ends
+  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
+c AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) FILTER (WHERE n > 0) AS lines, sum(n) AS words FROM p GROUP BY doc_id, place),
+r AS (SELECT *, (lines >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM c),
+o AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, o.text, coalesce(o.n_removed, 0)::BIGINT AS n_removed, coalesce(length(d.text) - length(o.text), 0)::BIGINT AS removed_chars FROM documents d LEFT JOIN o USING (doc_id)
+"""
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, toxicity, 0.5)
 
@@ -152,11 +175,21 @@ FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.k
 """
 
 
-_SQL = {"op1_chat_format": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_minhash_near_dedup": OP10_SQL}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_SQL = {"op1_chat_format": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_format, op2_quality_classifier, op3_pseudonyms, op4_language_id, op5_mix_sources, op6_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
+    ops = (
+        op1_chat_format, op2_quality_classifier, op3_pseudonyms, op4_language_id, op5_mix_sources,
+        op6_quality_rules, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_minhash_near_dedup, pipeline,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

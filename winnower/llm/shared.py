@@ -51,3 +51,13 @@ def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most_broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among the ids (``left_anti``: is not), in the one column of ``ids``.
+
+    Up to ``most_broadcast`` ids (8 MB) are broadcast, so that no text is shuffled; beyond it a shuffle join does.
+    """
+    ids = settle(ids.toDF("_id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= most_broadcast else ids
+    return docs.join(ids, docs.doc_id == ids["_id"], how)
