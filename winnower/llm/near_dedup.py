@@ -169,18 +169,20 @@ def _by_rare_shingles(named: DataFrame, sets: DataFrame, p: NearDuplicates) -> D
 
     Of n shingles in a common order, sets that reach the threshold share one among the first
     n - ceil(n * percent / 100) + 1 of each. Shingles of one document alone come first and match nothing.
+    At the first shingle that two sets share, what follows it in either must suffice for the threshold.
     """
     each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
     common = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
     ranked = each.join(common, "x").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
-    first = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1 - (F.col("n") - F.size("xs"))
-    heads = ranked.where(first > 0).select("node", F.explode(F.slice("xs", F.lit(1), first.cast("int"))["x"]).alias("x"))
-    heads = settle(heads.join(named, "node"))
+    alone = F.col("n") - F.size("xs")
+    first = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1 - alone
+    heads = ranked.where(first > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("xs", F.lit(1), first.cast("int"))["x"]).alias("i", "x"))
+    heads = settle(heads.select("node", "n", "x", (F.col("n") - F.col("alone") - F.col("i")).alias("left")).join(named, "node"))
     mixed = heads.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("x")
     rest = heads.join(mixed, "x")
-    left = rest.select("x", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = rest.select("x", F.col("node").alias("b"), F.col("component").alias("cb"))
-    return left.join(right, "x").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda k: rest.select("x", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("left").alias(f"l{k}"))
+    enough = F.least("la", "lb") * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent
+    return side("a").join(side("b"), "x").where((F.col("ca") < F.col("cb")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
