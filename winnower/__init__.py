@@ -1,0 +1 @@
+"""Curation of large media and document collections as Spark jobs."""
