@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Texts and benchmark items are folded to lower-case letters and digits with single spaces between. An item is cut
+Texts and benchmark items are lower-cased by Spark and folded to letters and digits with single spaces between. An item is cut
 into overlapping windows. If a window of m characters stands in a text with at most e edits, the two
 share at least (m - q + 1) - q * e of their q-grams, and their diagonals (place in the text less place in
 the window) lie within e of each other. So shared q-grams are counted per window in diagonal bands that
@@ -205,13 +205,13 @@ def _scan(shared, s: Search):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Search = Search()) -> DataFrame:
-    """One row per document and benchmark item of which it holds a window: how many windows, the least edits, the span in UTF-8 bytes."""
+    """One row per document and benchmark item of which it holds a window: how many windows, the least edits, the span in UTF-8 bytes of the lower-cased text."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-chars // s.block_chars)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     out = None
     for k in range(max(1, blocks)):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == k).orderBy("item_id", "text")
