@@ -40,13 +40,13 @@ def apply_model(df: DataFrame, make_predict: Callable, column: str, batch_size:
     """A user's model over batches of a vector column; ``make_predict`` loads it once per worker."""
     from pyspark.ml.functions import predict_batch_udf
 
-    udf = predict_batch_udf(make_predict, return_type=T.FloatType(), batch_size=batch_size, input_tensor_shapes=[[dims]] if dims else None)
+    udf = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=[[dims]] if dims else None)
     return df.withColumn(output, udf(F.col(column)))
 
 
-def mean_model() -> Callable[[np.ndarray], np.ndarray]:
-    """A stand-in model: the mean of the vector."""
-    return lambda x: x.mean(axis=1).astype(np.float32)
+def largest_model() -> Callable[[np.ndarray], np.ndarray]:
+    """A stand-in model: the largest component of the vector."""
+    return lambda x: x.max(axis=1).astype(np.float64)
 
 
 def safe_apply(df: DataFrame, fns: Sequence[tuple[str, Callable[[dict], dict], T.StructType]], key: str = "item_id") -> tuple[dict[str, DataFrame], DataFrame]:

@@ -29,10 +29,9 @@ def _(r):
     return out.withColumn("ratio", F.when(F.col("status") == "ok", F.col("ratio")))
 
 
-@query("x02_apply_model", "SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 4) AS prediction FROM embeddings", "prediction")
+@query("x02_apply_model", "SELECT vec_id, list_max(embedding)::DOUBLE AS prediction FROM embeddings", "prediction")
 def _(r):
-    out = L.apply_model(r.embeddings.select("vec_id", "embedding"), L.mean_model, "embedding", dims=64)
-    return out.select("vec_id", F.round(F.col("prediction").cast("double"), 4).alias("prediction"))
+    return L.apply_model(r.embeddings.select("vec_id", "embedding"), L.largest_model, "embedding", dims=64).select("vec_id", "prediction")
 
 
 REVIEWS = "SELECT event_id % 1000 AS item_id, CASE WHEN event_id % 3 = 0 THEN 'approve' ELSE 'reject' END AS action, CASE WHEN event_id % 2 = 0 THEN 'copyright' END AS reason, ts AS reviewed_at FROM events WHERE event_type = 'click' OR event_id < 500"

@@ -27,12 +27,13 @@ def scan_images(spark: SparkSession, root: str, drop_invalid: bool = True) -> Da
     Empty and undecodable files are left out; a missing root is an error of the read.
     """
     images = _read(spark, "image", root).option("dropInvalid", str(drop_invalid).lower()).load(root).select("image.*")
-    files = list_files(spark, root).withColumnRenamed("path", "origin")
-    return images.join(files, "origin").select(F.col("origin").alias("item_id"), F.col("length").alias("file_size"), "height", "width", F.col("nChannels").alias("channels"), "data").orderBy("item_id")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/").alias("origin")  # noqa: E731  the two sources write local paths differently
+    files = list_files(spark, root).select(plain("path"), "length")
+    return images.select(plain("origin"), "height", "width", "nChannels", "data").join(files, "origin").select(F.col("origin").alias("item_id"), F.col("length").alias("file_size"), "height", "width", F.col("nChannels").alias("channels"), "data").orderBy("item_id")
 
 
 def count_inputs(spark: SparkSession, root: str) -> int:
-    """Number of files with an image ending, decodable or not; 0 if the folder is missing."""
+    """Number of files with an image ending, decodable or not; 0 if the folder is missing. Spark lists no empty files."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return 0
