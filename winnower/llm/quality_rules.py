@@ -24,7 +24,7 @@ from winnower.llm.shared import settle
 
 SPACES = r"[\x20\x09-\x0D]+"
 #: Measures of the fences with the least spread (quartile distance) that is assumed.
-MEASURES = {"word_length": 100, "symbols": 100, "dup_lines": 10, "repeats": 30}
+MEASURES = {"word_length": 100, "symbols": 100, "dup_lines": 20, "repeats": 80}
 
 
 @dataclass(frozen=True)

@@ -114,7 +114,7 @@ z AS (
   SELECT 0 AS lv, lang, source, measure, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3, count(*) AS n FROM u GROUP BY ALL
   UNION ALL SELECT 1, lang, NULL, measure, quantile_disc(x, 0.25), quantile_disc(x, 0.75), count(*) FROM u GROUP BY ALL
   UNION ALL SELECT 2, NULL, NULL, measure, quantile_disc(x, 0.25), quantile_disc(x, 0.75), count(*) FROM u GROUP BY ALL),
-f AS (SELECT *, 3 * greatest(q3 - q1, CASE measure WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 10 ELSE 30 END) AS s FROM z),
+f AS (SELECT *, 3 * greatest(q3 - q1, CASE measure WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 20 ELSE 80 END) AS s FROM z),
 l AS (
   SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= 50 THEN o.q1 - o.s WHEN g.n >= 50 THEN g.q1 - g.s ELSE a.q1 - a.s END AS lo, CASE WHEN o.n >= 50 THEN o.q3 + o.s WHEN g.n >= 50 THEN g.q3 + g.s ELSE a.q3 + a.s END AS hi
   FROM f o JOIN f g ON o.lv = 0 AND g.lv = 1 AND o.lang IS NOT DISTINCT FROM g.lang AND o.measure = g.measure JOIN f a ON a.lv = 2 AND a.measure = o.measure)
