@@ -2,7 +2,7 @@
 
 An Arrow string column already holds all its texts as one UTF-8 buffer with offsets, so
 words, hashes and n-grams come from a few numpy passes over that buffer, without a Python
-object per text. Work goes in chunks of about a megabyte, which bounds a task's memory
+object per text. Work goes in chunks of about a quarter of a megabyte, which suits the caches and bounds a task's memory
 by the longest text and not by the batch.
 """
 
@@ -36,7 +36,7 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, bounds) for runs of whole texts of about ``limit`` bytes.
 
     ``bounds`` has the start of each text within the bytes, and the end as its last entry.
