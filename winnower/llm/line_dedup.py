@@ -13,7 +13,8 @@ Defined results: a null text stays null; nothing is removed from a text without
 repeat a doc_id count as the same document, of which each keeps its first chunk; if different texts share
 a hash of 128 bits, neither is removed; a null doc_id is a document that comes first; other columns
 pass through, but for those of the result's names;
-an empty table gives no rows. Hot chunks are counted by partial sums and joined under AQE's skew handling.
+an empty table gives no rows. Hot chunks are counted by partial sums; hashes that repeat
+are broadcast to the chunks' texts only if they are few, else joined under AQE's skew handling.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnower.llm.quality_rules import bound
-from winnower.llm.shared import settle
+from winnower.llm.shared import few, settle
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -95,7 +96,7 @@ def remove_repeated_chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFra
     places = settle(_chunks(docs, c).select("doc_id", "place", *key, "ord"))
     repeated = settle(places.groupBy(*key).agg(F.count("*").alias("n"), F.min("ord").alias("first")).where("n > 1").select(*key, "first"))
     # Byte by byte: groups of equal text among the chunks whose hash repeats.
-    equal = _chunks(docs, c).select(*key, "chunk").join(repeated.select(*key), key, "left_semi").groupBy(*key, "chunk").agg(F.count("*").alias("n"))
+    equal = _chunks(docs, c).select(*key, "chunk").join(few(repeated.select(*key)), key, "left_semi").groupBy(*key, "chunk").agg(F.count("*").alias("n"))
     sure = equal.groupBy(*key).agg(F.count("*").alias("texts")).where("texts = 1").select(*key)
     gone = places.join(repeated.join(sure, key), key).where("ord <> first").select("doc_id", "place", *key)
     per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", *key)).alias("gone"))

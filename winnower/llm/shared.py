@@ -2,35 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from winnower.functions.durable import checkpoint_root, settle
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate results, as the cluster names it in spark.checkpoint.dir.
-
-    Only a local session without that setting gets a temporary folder; elsewhere its lack is an error,
-    since a folder of one machine is of no use to the others.
-    """
-    sc = spark.sparkContext
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder and cuts the lineage there."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint_root", "crc_remainder", "few", "pick", "read", "settle", "shared_path", "small_batches"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -53,11 +32,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def few(keys: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
+    """Written-out keys of a few numbers each, marked for broadcast if they were counted and are at most so many."""
+    return F.broadcast(keys) if keys.count() <= most_broadcast else keys
+
+
 def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` whose doc_id is among the ids (``left_anti``: is not), in the one column of ``ids``.
 
     Up to ``most_broadcast`` ids (8 MB) are broadcast, so that no text is shuffled; beyond it a shuffle join does.
     """
-    ids = settle(ids.toDF("_id").distinct())
-    ids = F.broadcast(ids) if ids.count() <= most_broadcast else ids
+    ids = few(settle(ids.toDF("_id").distinct()), most_broadcast)
     return docs.join(ids, docs.doc_id == ids["_id"], how)
