@@ -32,11 +32,11 @@ from winnower.llm.shared import crc_remainder, settle, small_batches
 
 @dataclass(frozen=True)
 class Fit:
-    rows: int = 8000
+    rows: int = 12000
     size: int = 1 << 18
     shards: int = 4
     epochs: int = 6
-    alpha: float = 2.0
+    alpha: float = 4.0
     beta: float = 1.0
     l1: float = 4.0
     l2: float = 0.1
