@@ -179,3 +179,18 @@ def test_safe_apply(spark):
 def test_relevance(spark):
     df = spark.createDataFrame([(["blue", "sky"],), (["gun", "sky"],), ([],)], "t array<string>")
     assert [r.v for r in df.select(rules.keyword_relevance(F.col("t")).alias("v")).collect()] == [1.0, 0.5, 0.0]
+
+
+def test_unknown_project_and_groups(spark):
+    sessions = spark.createDataFrame([(1, 10), (2, 11), (3, None)], "id long, project_id long")
+    projects = spark.createDataFrame([(10, "first")], "id long, name string")
+    assert {r.id: r.project_name for r in results.sessions_with_project(sessions, projects).collect()} == {1: "first", 2: "Unknown", 3: "Unknown"}
+    items, clusters = spark.range(3).select(F.col("id").alias("item_id")), spark.createDataFrame([(1, 4)], "item_id long, cluster_id long")
+    assert {r.item_id: r.similarity_group for r in results.with_groups(items, clusters).collect()} == {0: 0, 1: 4, 2: 0}
+
+
+def test_missing_session_is_unsafe(spark):
+    sessions = spark.createDataFrame([(1, 2, 1, 1, 5)], "id long, processed_images long, approved_images long, rejected_images long, start_index long")
+    done = spark.createDataFrame([(1, "approved"), (1, "rejected"), (9, "approved")], "session_id long, final_decision string")
+    got = {r.id: (r.issues, r.safe) for r in aggregates.integrity_counts(sessions, done).collect()}
+    assert got == {1: (["index_beyond_results"], False), 9: (["missing_session"], False)}

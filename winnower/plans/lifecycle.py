@@ -34,14 +34,14 @@ def _(r):
     return L.apply_model(r.embeddings.select("vec_id", "embedding"), L.largest_model, "embedding", dims=64).select("vec_id", "prediction")
 
 
-REVIEWS = "SELECT event_id % 1000 AS item_id, CASE WHEN event_id % 3 = 0 THEN 'approve' ELSE 'reject' END AS action, CASE WHEN event_id % 2 = 0 THEN 'copyright' END AS reason, ts AS reviewed_at FROM events WHERE event_type = 'click' OR event_id < 500"
+REVIEWS = "SELECT event_id % 1000 AS item_id, CASE WHEN event_id % 3 = 0 THEN 'approve' ELSE 'reject' END AS action, CASE WHEN event_id % 2 = 0 THEN 'copyright' END AS reason, ts AS reviewed_at FROM events WHERE event_type = 'click'"
 LAST = f"SELECT item_id, arg_max(action, (reviewed_at, action)) AS action, arg_max(coalesce(reason, '-'), (reviewed_at, action)) AS reason FROM ({REVIEWS}) GROUP BY 1"
 AFTER = f"SELECT s.item_id, s.session_id, s.final_decision AS old, CASE l.action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE s.final_decision END AS final_decision, s.reasons, l.action, l.reason, s.human_override FROM results s LEFT JOIN ({LAST}) l ON l.item_id = s.item_id"
 
 
 def reviews(r):
     i = F.col("event_id")
-    e = r.events.where("event_type = 'click' or event_id < 500")
+    e = r.events.where("event_type = 'click'")
     return e.select((i % 1000).alias("item_id"), F.when(i % 3 == 0, "approve").otherwise("reject").alias("action"), F.when(i % 2 == 0, "copyright").alias("reason"), F.col("ts").alias("reviewed_at"))
 
 

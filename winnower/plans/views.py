@@ -56,7 +56,7 @@ VIEWS = {
           SELECT item_id, overall < 0.3e0 AS quality_low, anomaly > 0.7e0 AS anomaly_high, compliance < 0.5e0 AS compliance_low,
             0.35e0 * overall + 0.25e0 * greatest(0.0e0, 1 - anomaly) + 0.2e0 * (CASE WHEN similarity_group > 0 THEN 0.5e0 ELSE 1.0e0 END) + 0.15e0 * compliance + 0.05e0 AS weighted,
             (CASE WHEN overall < 0.6e0 THEN 1 ELSE 0 END) + (CASE WHEN anomaly > 0.3e0 THEN 1 ELSE 0 END) + (CASE WHEN compliance < 0.8e0 THEN 1 ELSE 0 END) AS n_reasons FROM scored) r ON r.item_id = s.item_id""",
-    "projects": "SELECT c_custkey AS id, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'active' WHEN 'MACHINERY' THEN 'completed' ELSE 'idle' END AS status, c_acctbal AS budget FROM customer WHERE c_custkey % 10 <> 0",
+    "projects": "SELECT c_custkey AS id, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'active' WHEN 'MACHINERY' THEN 'completed' ELSE 'idle' END AS status, c_acctbal AS budget FROM customer",
     "session_lines": """
         SELECT l_orderkey AS session_id, count(*) AS total_images, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS processed_images,
           sum(CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'R' THEN 1 ELSE 0 END) AS approved_images, sum(CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN 1 ELSE 0 END) AS rejected_images

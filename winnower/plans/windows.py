@@ -88,7 +88,7 @@ def _(r):
 
 @query("w07_resolve_names", "SELECT item_id, CASE WHEN k = 0 THEN filename ELSE replace(filename, '.jpg', '_' || k || '.jpg') END AS new_name FROM (SELECT item_id, filename, row_number() OVER (PARTITION BY filename ORDER BY item_id) - 1 AS k FROM items)")
 def _(r):
-    return O.resolve_names(r.items.withColumn("folder", F.lit("out").substr(F.lit(1), F.lit(3)))).select("item_id", "new_name")
+    return O.resolve_names(r.items.withColumn("folder", F.lit("out"))).select("item_id", "new_name")
 
 
 @query(
