@@ -97,12 +97,13 @@ def _valid_national(d: str) -> bool:
 
 
 def _phone(m: str, p: Pseudonyms) -> str | None:
+    """A prefix or brackets mark a phone number; bare groups of digits need valid area and exchange codes."""
     digits = re.sub(r"\D", "", m)
     head, tail = digits[:-10], digits[-10:]
-    if len(tail) < 10 or len(head) > 3 or (head in ("", "1") and not _valid_national(tail)):
+    if len(tail) < 10 or len(head) > 3 or not (m[0] == "+" or "(" in m or _valid_national(tail)):
         return None
     new = _string(tail, _DIGITS, "phone", p)
-    while head in ("", "1") and not _valid_national(new):
+    while _valid_national(new) != _valid_national(tail):  # valid codes stay valid, others stay what they are
         new = _string(new, _DIGITS, "phone", p)
     return _fill(m, head + new)
 
