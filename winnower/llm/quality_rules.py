@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnower.llm.shared import settle
@@ -98,8 +99,6 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 def fences(sketch: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
     """Merged to ``keys``: number of texts and the lower and upper fence of every measure."""
-    from pyspark.sql import Window as W
-
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*keys, "measure")
     ranked = merged.withColumns({"below": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
@@ -136,7 +135,7 @@ def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
     limits = [f"{e}_{m}" for m in MEASURES for e in ("lo", "hi")]
     named = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns))
     o, g, a = named(own, "o"), named(lang, "g"), named(whole, "a")
-    table = o.join(g, F.col("o_lang").eqNullSafe(F.col("g_lang"))).join(a, F.col("a_one") == 1)
+    table = o.join(g, F.col("o_lang").eqNullSafe(F.col("g_lang"))).crossJoin(F.broadcast(a))  # a is one row
     level = lambda c: F.when(F.col("o_total") >= rules.least, F.col(f"o_{c}")).when(F.col("g_total") >= rules.least, F.col(f"g_{c}")).otherwise(F.col(f"a_{c}"))
     table = table.select(F.col("o_lang").alias("t_lang"), F.col("o_source").alias("t_source"), *(level(c).alias(c) for c in limits))
     joined = base.join(table, base.lang.eqNullSafe(F.col("t_lang")) & base.source.eqNullSafe(F.col("t_source")), "left")
