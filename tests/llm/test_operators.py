@@ -223,6 +223,20 @@ def test_pseudonyms():
     assert mails[0].lower() == mails[1].lower() and mails[1].isupper() and mails[0].lower() != "ann.lee9@mail.example.com"
 
 
+@pytest.mark.parametrize("iban", ["BE68539007547034", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "PL61 1090 1014 0000 0712 1981 2874"])
+@pytest.mark.parametrize(("before", "after"), [("pay ", " for it"), ("TO ", " AND THIS IS ALL"), ("from x1 ", " is"), ("AB12 CODE ", ", then"), ("", " " + "BE68539007547034"), ("", "")])
+def test_ibans_between_words(iban, before, after):
+    out, found = pii.pseudonymise(before + iban + after)
+    assert found == {"iban": 1 + ("BE68" in after)} and iban not in out and out.startswith(before)
+    new = out[len(before) :][: len(iban)]
+    assert pii._mod97(new.replace(" ", "")) == 1 and [c == " " for c in new] == [c == " " for c in iban] and ("BE68" in after or out.endswith(after))
+
+
+def test_values_inside_rejected_candidates():
+    out, found = pii.pseudonymise("NO12 CARD 4111 1111 1111 1111 and 1234 4111 1111 1111 1111; BE68539007547035 stays")
+    assert found == {"card": 2} and "4111 1111 1111 1111" not in out and "BE68539007547035 stays" in out
+
+
 def test_languages_without_letters(spark, odd):
     model = language_id.train(odd, F.lit(True))
     got = {r.doc_id: r.lang_pred for r in language_id.detect(odd, model).collect()}
