@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the line chunks that other documents, or they themselves, have before."""
-    out = line_dedup.remove_repeated_chunks(docs.select(*COLUMNS))
+    """Texts without the runs of lines that other documents, or they themselves, have before."""
+    out = line_dedup.remove_repeated_lines(docs.select(*COLUMNS))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", changed).select(*COLUMNS)

@@ -111,6 +111,54 @@ def test_line_chunks_removed_once(spark):
     assert got[4].text == prose(7, 9)
 
 
+def repeated_lines_gone(rows):
+    """The texts that remain, line by line: pairs of adjacent lines with words and lines of 50 words, seen before or not."""
+    seen, out = set(), {}
+    for i, t, *_ in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        worded = [k for k, x in enumerate(lines) if x.split()]
+        spans = [(a, b) for a, b in zip(worded, worded[1:], strict=False)] + [(k, k) for k in worded if len(lines[k].split()) >= 50]
+        for a, b in sorted(spans):
+            piece = "\n".join(lines[a : b + 1])
+            if piece in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(piece)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_repeated_runs_go_whole(spark):
+    """Passages of over 50 words in two to six short lines, inside other text, also across cuts of the chunk rule."""
+    rng = random.Random(8)
+    passages = ["\n".join(prose(1000 * k + j, rng.randrange(27, 45)) for j in range(2 + k % 5)) for k in range(25)]
+    rows = [(i, f"{prose(i, 9)}\n{prose(i + 500, 9)}\n{passages[i % 25]}\n{rng.choice(['', prose(i + 700, 8)])}\n{prose(i + 900, 9)}", "en", "a") for i in range(75)]
+    rows += [(80, "x y\n" * 6, "en", "a"), (81, f"{prose(5, 60)}\n\nx y\n \nx y\n", "en", "a"), (82, f"new\n{prose(5, 60)}\nx y", "en", "a"), (83, "", "en", "a"), (84, passages[0], "en", "a")]
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(table(spark, rows)).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    assert {i: r.text for i, r in got.items()} == repeated_lines_gone(rows)
+    for i in range(25, 75):
+        assert not set(passages[i % 25].split("\n")) & set(got[i].text.split("\n")) and got[i].n_removed >= 2
+    assert all(passages[i] in got[i].text for i in range(25)) and got[84].text == ""
+    assert all(r.removed_chars == len(texts[i]) - len(r.text) for i, r in got.items())
+
+
+def test_repeated_lines_of_repeated_ids_and_nulls(spark):
+    a, b = prose(1, 30) + "\n" + prose(2, 30), prose(3, 5)
+    rows = [(None, a, "en", "a"), (1, a + "\n" + b, "en", "a"), (1, b, "en", "a"), (2, None, None, None), (3, a, "en", "a"), (3, a, "en", "a")]
+    got = sorted((r.doc_id or 0, r.text, r.n_removed) for r in line_dedup.remove_repeated_lines(table(spark, rows)).where("text is not null").collect())
+    assert got == sorted([(0, a, 0), (1, b, 2), (1, b, 0), (3, "", 2), (3, "", 2)])
+    assert line_dedup.remove_repeated_lines(table(spark, rows)).count() == 6 and line_dedup.remove_repeated_lines(table(spark, rows).limit(0)).count() == 0
+
+
+def test_pipeline_drops_short_repeated_runs(spark, sf_dir):
+    import corpus_pipeline as P
+
+    runs = ["\n".join(prose(300 + 10 * k + j, 28) for j in range(2)) for k in range(8)]
+    docs = table(spark, [(i, f"{prose(900 + i, 9)}\n{runs[i % 8]}\n{prose(950 + i, 9)}", "en", "a") for i in range(16)])
+    out = {r.doc_id: r.text for r in P.lines(spark, docs, sf_dir).collect()}
+    assert all(runs[i] in out[i] and not set(runs[i].split("\n")) & set(out[i + 8].split("\n")) for i in range(8))
+
+
 def test_chunks_join_to_the_text(spark):
     df = spark.createDataFrame([("a\n\nb\n",), ("",), ("\n",), (prose(1, 70) + "\nx\ny",)], "text string")
     out = df.select("text", F.array_join(line_dedup.chunk_texts(F.col("text"), line_dedup.Chunking())["text"], "\n").alias("again"))

@@ -1,4 +1,4 @@
-"""Line dedup by content-defined line chunks, in DataFrame operations only.
+"""Line dedup by content-defined line chunks or by adjacent lines, in DataFrame operations only.
 
 A text's lines are grouped to chunks. Their boundaries depend on content alone: a chunk ends after a line
 where the rolling hash of the line hashes in a window of ``window`` lines is 0 modulo ``divisor``, and a line
@@ -106,3 +106,56 @@ def remove_repeated_chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFra
     text = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.col("left.text"), "\n"))
     counted = {"n_removed": F.coalesce(F.size("chunks") - F.size("left"), F.lit(0)).cast("long"), "removed_chars": F.coalesce(F.length("text") - F.length(text), F.lit(0)).cast("long")}
     return left.select("doc_id", text.alias("text"), *(F.col("_rest")[x].alias(x) for x in rest), *(v.alias(k) for k, v in counted.items()))
+
+
+def line_pieces(text: Column, long_words: int) -> Column:
+    """array<struct<text, begin, end>>: each line with words up to the next one with words, and each line of ``long_words`` by itself."""
+
+    def pieces(lines: Column) -> Column:
+        worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), _n_words(x).alias("n"))), lambda x: x["n"] > 0)
+
+        def cut(w: Column) -> Column:
+            def own(x: Column, k: Column) -> Column:
+                end = F.get(w, k + 1)["i"]
+                run = lambda j: F.struct(F.array_join(F.slice(lines, x["i"] + 1, j - x["i"] + 1), "\n").alias("text"), x["i"].alias("begin"), j.alias("end"))
+                return F.array(F.when(x["n"] >= long_words, run(x["i"])), F.when(end.isNotNull(), run(end)))
+
+            return F.filter(F.flatten(F.transform(w, own)), lambda x: x.isNotNull())
+
+        return bound(worded, cut)
+
+    return bound(F.split(text, "\n", -1), pieces)
+
+
+def _pieces(docs: DataFrame, long_words: int) -> DataFrame:
+    """One row per piece: document, row (the text's hash), lines, hash, text and the order over all pieces."""
+    row = F.xxhash64("text")
+    each = docs.where("text is not null").select("doc_id", row.alias("row"), F.explode(line_pieces(F.col("text"), long_words)).alias("piece"))
+    text, begin = F.col("piece.text"), F.col("piece.begin")
+    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(12,0)") + begin
+    return each.select("doc_id", "row", begin.alias("begin"), F.col("piece.end").alias("end"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.length(text).alias("h3"), text.alias("piece"), order.cast("decimal(38,0)").alias("ord"))
+
+
+def remove_repeated_lines(docs: DataFrame, long_words: int = 50) -> DataFrame:
+    """``docs`` (doc_id, text) without any run of two or more lines with words, or line of ``long_words``, that stands before, and n_removed (lines) and removed_chars.
+
+    No cut can part a run: every pair of adjacent lines with words is compared, and pairs that repeat overlap
+    to the whole run. A line goes only if an equal line stands before it, so that the first of equal lines always stays.
+    Apart from that, results are as defined above.
+    """
+    rest = [x for x in docs.columns if x not in ("doc_id", "text", "n_removed", "removed_chars")]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+    key = ["h1", "h2", "h3"]
+    places = settle(_pieces(docs, long_words).select("doc_id", "row", "begin", "end", *key, "ord"))
+    repeated = settle(places.groupBy(*key).agg(F.count("*").alias("n"), F.min("ord").alias("first")).where("n > 1").select(*key, "first"))
+    # Byte by byte: groups of equal text among the pieces whose hash repeats.
+    equal = _pieces(docs, long_words).select(*key, "piece").join(few(repeated.select(*key)), key, "left_semi").groupBy(*key, "piece").agg(F.count("*").alias("n"))
+    sure = equal.groupBy(*key).agg(F.count("*").alias("texts")).where("texts = 1").select(*key)
+    gone = places.join(repeated.join(sure, key), key).where("ord <> first").select("doc_id", "row", F.explode(F.sequence("begin", "end")).alias("line"))
+    per_row = gone.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set("line").alias("gone"))
+    joined = docs.join(per_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("r")), "left")
+    keep = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(bound(F.split("text", "\n", -1), keep), "\n"))
+    left = joined.withColumn("left", text)
+    counted = {"n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "removed_chars": F.coalesce(F.length("text") - F.length("left"), F.lit(0)).cast("long")}
+    return left.select("doc_id", F.col("left").alias("text"), *(F.col("_rest")[x].alias(x) for x in rest), *(F.when(F.col("gone").isNull(), 0).otherwise(v).cast("long").alias(k) for k, v in counted.items()))
