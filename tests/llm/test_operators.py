@@ -76,6 +76,13 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+def test_bands_fit_the_threshold():
+    for percent in range(50, 96):
+        p = near_dedup.NearDuplicates(percent=percent)
+        assert (1 - (percent / 100) ** p.rows) ** p.bands < 1e-6 and 170 <= p.bands * p.rows <= 180
+    assert [(p.bands, p.rows) for p in (near_dedup.NearDuplicates(), near_dedup.NearDuplicates(percent=85))] == [(36, 5), (30, 6)]
+
+
 def test_residual_pairs_are_whole(spark):
     """The rare-shingle step alone proposes every pair at the threshold."""
     p = near_dedup.NearDuplicates()

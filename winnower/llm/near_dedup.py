@@ -8,7 +8,8 @@ How no link between different texts is lost, without all pairs of a group:
 
 * Equal sets collapse to one class with its least doc_id first, whatever their number.
 * Many universal-hash minima per class are cut into bands; classes that agree in a band share a
-  bucket. With 30 bands of 6, a pair at 0.85 misses all buckets with probability below 1e-6.
+  bucket. Bands are as long as they can be if a pair at the threshold is to miss all buckets with
+  probability below 1e-6: 30 of 6 at 0.85, 36 of 5 at 0.80.
 * Each bucket proposes only links to two centres, its least and its largest member. Proposed pairs
   pass a signature estimate and are then confirmed on the full sets. Components are taken.
 * A bucket whose members now lie in one component has nothing to add: more links in it can't
@@ -43,7 +44,7 @@ FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, ba
 
 @dataclass(frozen=True)
 class NearDuplicates:
-    """Parameters: shingle length in words, similarity threshold in percent, bands and rows of the signature.
+    """Parameters: shingle length in words, similarity threshold in percent, bands and rows of the signature (0: by the threshold).
 
     ``slack`` is how far below the threshold a signature's estimate may lie before the pair is dropped
     unconfirmed; 0.17 is over six standard deviations at 180 minima. Up to ``most_broadcast`` ids (8 MB) are
@@ -52,11 +53,21 @@ class NearDuplicates:
 
     words: int = 5
     percent: int = 80
-    bands: int = 30
-    rows: int = 6
+    bands: int = 0
+    rows: int = 0
     slack: float = 0.17
     most_broadcast: int = 1_000_000
 
+    def __post_init__(self) -> None:
+        if not self.rows:
+            object.__setattr__(self, "rows", next((r for r in range(12, 1, -1) if self.missed(180 // r, r) < 1e-6), 1))
+        if not self.bands:
+            object.__setattr__(self, "bands", 180 // self.rows)
+
+    def missed(self, bands: int, rows: int) -> float:
+        """The probability that a pair at the threshold agrees in no band."""
+        return (1 - (self.percent / 100) ** rows) ** bands
+
     def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(11)
         k = self.bands * self.rows
