@@ -194,3 +194,20 @@ def test_missing_session_is_unsafe(spark):
     done = spark.createDataFrame([(1, "approved"), (1, "rejected"), (9, "approved")], "session_id long, final_decision string")
     got = {r.id: (r.issues, r.safe) for r in aggregates.integrity_counts(sessions, done).collect()}
     assert got == {1: (["index_beyond_results"], False), 9: (["missing_session"], False)}
+
+
+def test_names_are_unique_after_long_chains(spark):
+    rows = [(0, "out", "a.jpg"), (1, "out", "a.jpg")] + [(k + 1, "out", f"a_{k}.jpg") for k in range(1, 14)]
+    got = {r.item_id: r.new_name for r in windows.resolve_names(spark.createDataFrame(rows, "item_id long, folder string, filename string")).collect()}
+    assert len(set(got.values())) == len(rows) and got[0] == "a.jpg" and got[1] == "a_14.jpg" and all(got[k + 1] == f"a_{k}.jpg" for k in range(1, 14))
+
+
+def test_a_large_folder_takes_many_tasks(spark):
+    rows = [(i, None if i % 9 == 0 else "big" if i % 9 < 8 else "small", f"p{i * 7 % 1000:03d}") for i in range(270)]
+    out = windows.assign_subfolders(spark.createDataFrame(rows, "item_id long, source_folder string, image_path string"), 40)
+    want = {}
+    for folder in (None, "big", "small"):
+        own = sorted((p, i) for i, f, p in rows if f == folder)
+        want |= {i: folder if len(own) <= 40 else f"{folder}_batch_{k // 40 + 1:03d}" for k, (_, i) in enumerate(own)}
+    assert {r.item_id: r.folder for r in out.collect()} == want and "_part" not in out.columns
+    assert "windowspecdefinition(source_folder" not in out._jdf.queryExecution().executedPlan().toString()

@@ -69,19 +69,21 @@ def assign_folders(approved: DataFrame, per: int = 200, order: Sequence[str] = (
 
 
 def assign_subfolders(approved: DataFrame, per: int = 200, parent: str = "source_folder") -> DataFrame:
-    """The parent itself up to ``per`` items, else numbered batches of it."""
-    w = W.partitionBy(parent)
-    batch = (F.floor((F.row_number().over(w.orderBy("image_path", "item_id")) - 1) / per) + 1).cast("int")
-    return approved.withColumn("folder", F.when(F.count("*").over(w) <= per, F.col(parent)).otherwise(F.format_string("%s_batch_%03d", F.col(parent), batch)))
+    """The parent itself up to ``per`` items, else numbered batches of it; a large parent is spread over many tasks."""
+    ranked = global_rank(approved, (parent, "image_path", "item_id"), "_k")
+    firsts = ranked.groupBy(F.col(parent).alias("_parent")).agg(F.min("_k").alias("_first"), F.count("*").alias("_n"))
+    df = ranked.join(F.broadcast(firsts), F.col(parent).eqNullSafe(F.col("_parent")))
+    batch = (F.floor((F.col("_k") - F.col("_first")) / per) + 1).cast("int")
+    return df.withColumn("folder", F.when(F.col("_n") <= per, F.col(parent)).otherwise(F.format_string("%s_batch_%03d", F.col(parent), batch))).drop("_k", "_parent", "_first", "_n")
 
 
-def resolve_names(items: DataFrame, folder: str = "folder", rounds: int = 10) -> DataFrame:
-    """new_name, unique in its folder: the first keeps the name, others get _1, _2 …; repeated while generated names collide."""
+def resolve_names(items: DataFrame, folder: str = "folder") -> DataFrame:
+    """new_name, unique in its folder: the first keeps the name, others get _1, _2 …; repeated until no generated name collides."""
     stem, ext = F.regexp_extract("filename", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("filename", r"^(.*?)(\.[^.]*)?$", 2)
     names = F.row_number().over(W.partitionBy(folder, "filename").orderBy("item_id")) - 1
     made = lambda k: F.when(k == 0, F.col("filename")).otherwise(F.concat(stem, F.lit("_"), k.cast("string"), ext))
     df = items.withColumn("_k", names).withColumn("new_name", made(F.col("_k")))
-    for _ in range(rounds):
+    while True:  # ends: generated names collide with given ones only, and their numbers grow
         again = F.row_number().over(W.partitionBy(folder, "new_name").orderBy(F.when(F.col("new_name") == F.col("filename"), 0).otherwise(1), "item_id"))
         df = df.withColumn("_again", again)
         if not df.where("_again > 1").take(1):
@@ -89,6 +91,7 @@ def resolve_names(items: DataFrame, folder: str = "folder", rounds: int = 10) ->
         most = F.max("_k").over(W.partitionBy(folder, "filename"))
         extra = F.row_number().over(W.partitionBy(folder, "filename").orderBy((F.col("_again") > 1).desc(), "item_id"))
         df = df.withColumn("_k", F.when(F.col("_again") > 1, most + extra).otherwise(F.col("_k"))).withColumn("new_name", made(F.col("_k")))
+        df = settle(df)
     return df.drop("_k", "_again")
 
 
