@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 
 import numpy as np
@@ -248,6 +250,82 @@ def test_mix_prefers_heavy_documents(spark):
     assert 0.6 < sum(more) / len(more) < 0.95
 
 
+def mixed_by_sorting(rows, weights, mix):
+    """copies by (doc_id, size): targets by water filling, then keys in order, one document after another."""
+    size = {i: len((t or "").split()) for i, t, *_ in rows}
+    sources = sorted({r[3] for r in rows}, key=lambda x: (x is None, x))
+    total = {s: sum(size[r[0]] for r in rows if r[3] == s) for s in sources}
+    weight = {s: mix.weights[k % len(mix.weights)] for k, s in enumerate(sources)}
+    target, free, rest = {}, list(sources), float(sum(total.values()))
+    while free:
+        level = rest / sum(weight[s] for s in free)
+        full = [s for s in free if mix.max_epochs * total[s] <= level * weight[s]]
+        for s in full or free:
+            target[s] = float(mix.max_epochs * total[s]) if full else level * weight[s]
+        rest -= sum(target[s] for s in full)
+        free = [s for s in free if full and s not in full]
+    out = {}
+    for s in sources:
+        draw = lambda i: (int(hashlib.md5((mix.seed + ("" if i is None else str(i))).encode()).hexdigest()[:13], 16) + 1) / 2.0**52
+        keyed = sorted((-math.log(draw(r[0])) / weights.get(r[0], 1.0), r[0] is not None, r[0] or 0) for r in rows if r[3] == s)
+        epochs, run = int(target[s] // total[s]) if total[s] else 0, 0
+        for _, known, i in keyed:
+            i = i if known else None
+            run += size[i]
+            out[i] = epochs + (run <= target[s] - epochs * total[s])
+    return out, target
+
+
+@pytest.mark.parametrize("weight", [1e-6, 0.01, 1.0, 1e6, None])
+def test_mix_against_sorting(spark, weight):
+    rows = [(i, prose(i, 1 + i % 40), "en", "abcd"[0 if i % 3 == 0 else i % 4]) for i in range(600)]
+    rows += [(700, "one document here", "en", "e"), (701, None, "en", "z"), (702, "  ", "en", "z"), (703, None, "en", None), (704, "x", "en", None)]
+    weights = {i: weight or [1e-6, 0.5, 1e6][i % 3] for i, *_ in rows}
+    mix = mixing.Mix(bins=16, levels=3)
+    got = mixing.mix_sources(table(spark, rows), spark.createDataFrame(list(weights.items()), "doc_id long, weight double"), mix).collect()
+    want, target = mixed_by_sorting(rows, weights, mix)
+    assert len(got) == len(rows) and {r.doc_id: r.copies for r in got} == want
+    assert all(r.taken == r["size"] * r.copies and abs(r.target - target[r.source]) < 1e-5 for r in got)
+    for source in target:
+        part = [r for r in got if r.source == source]
+        assert sum(r.taken for r in part) <= part[0].target + 1e-6 and part[0].target - sum(r.taken for r in part) <= 40
+
+
+def test_mix_keeps_wordless_rows(spark):
+    rows = [(1, "a b c", "en", "s"), (2, "d e", "en", "s"), (3, None, "en", "z"), (4, "  ", "en", "z"), (5, None, "en", None)]
+    assert sorted(r.doc_id for r in mixing.mix_sources(table(spark, rows)).collect()) == [1, 2, 3, 4, 5]
+    none = mixing.mix_sources(table(spark, rows[2:])).collect()
+    assert [(r.doc_id, r.target, r.taken) for r in sorted(none, key=lambda r: r.doc_id)] == [(3, 0.0, 0), (4, 0.0, 0), (5, 0.0, 0)]
+    odd = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, -1.0), (4, 0.0), (5, None)], "doc_id long, weight double")
+    assert {r.doc_id: r.copies for r in mixing.mix_sources(table(spark, rows), odd).collect()} == {r.doc_id: r.copies for r in mixing.mix_sources(table(spark, rows)).collect()}
+
+
+def test_fences_follow_their_groups(spark):
+    """Groups of different distributions have different fences for every measure, and each loses its own odd texts only."""
+    rng = random.Random(12)
+
+    def text(kind: int, words: int = 80, symbols: float = 0.0, same: int = 0) -> str:
+        own = [rng.choice(WORDS)[: 3 + 2 * kind] + ("7" * (kind * rng.randrange(3))) + ("#" * (1 + kind)) * (rng.random() < symbols) for _ in range(words)]
+        lines = [" ".join(own[k : k + 8]) for k in range(0, words, 8)]
+        return "\n".join(lines + lines[:same])
+
+    rows = [(i, text(i % 2, 160, 0.05 + 0.3 * (i % 2) * rng.random(), 1 + (i % 2) * rng.randrange(3)), "en", "ab"[i % 2]) for i in range(400)]
+    rows += [(1000, text(0, 160, symbols=1.0), "en", "a"), (1001, "abcdefghijklmnop" * 2 + " " + " ".join(w * 6 for w in WORDS), "en", "a")]
+    docs = table(spark, rows)
+    measured = quality_rules.with_measures(quality_rules.measure(docs))
+    limits = quality_rules.fences(quality_rules.sketches(measured.where("not base_failed"))).collect()
+    by = {m: {(r.lo, r.hi) for r in limits if r.measure == m} for m in quality_rules.MEASURES}
+    assert all(len(x) == 2 for x in by.values()), by
+    kept = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs).collect()}
+    assert not kept[1000] and not kept[1001] and sum(kept[i] for i in range(400)) >= 380
+
+
+def test_small_groups_lean_on_larger_ones(spark):
+    rows = [(i, prose(i, 60 + i % 9), "en", "a") for i in range(200)] + [(500, " ".join(chr(97 + k) * 90 for k in range(25)), "en", "new")]
+    lone = lambda rules: {r.doc_id: r.kept for r in quality_rules.apply_rules(table(spark, rows), rules).collect()}[500]
+    assert not lone(quality_rules.Rules()) and lone(quality_rules.Rules(prior=0))
+
+
 def test_measures_against_python(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) + rng.choice(["", "\n# x\n# x\n", "\n \n"]) for _ in range(300)]

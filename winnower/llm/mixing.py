@@ -5,15 +5,20 @@ goes to the others by weight. A source gives every document as many complete tim
 then a fraction once more: each document draws an exponential key, divided by its quality weight, and the
 documents of least keys are taken up to the rest of the budget.
 
-The order within a source is never made in one task. Keys fall into ``bins`` equal ranges per source;
-sizes are added up per bin, and the running sum over bins finds the one that the budget ends in. Bins
-below it are taken whole, and it alone is cut finer the same way, until it is ordered exactly.
-With two levels of 4096 bins the last step sees one document in 16 million of a source.
-
-Defined results: a null text has size 0; a null source is a source, ordered last; a missing or
-non-positive quality weight is 1; rows that repeat are documents of their own and, having equal keys, are
-taken in the order of size; a source without words has target 0; other columns are ignored; an empty
-table gives no rows. The keys come from the md5 of ``seed`` and doc_id, so reruns agree.
+The order within a source is never made in one task. Keys are cut on a logarithmic scale, between the least and
+the largest of a source, into ``bins`` equal bins; sizes are added up per bin, and the running sum over bins
+finds the one that the budget ends in. Bins below it are taken whole, and it alone is cut finer the same
+way, until it is ordered exactly. With two levels of 4096 bins the last step sees about one document in a million
+of a source, whatever the size of its weights.
+
+Targets are computed over one row per source, in windows over all of them: sources are collections by name, a
+million of them fit in one task.
+
+Defined results: every row of the documents gives one row; a null text has size 0; a null source is a source, ordered last;
+a quality weight that is missing, not positive or not finite is 1; rows that repeat are documents of their own and, having
+equal keys, are taken in the order of size (rows equal in all of these are interchangeable); a source without words has target 0
+and takes each document once; other columns are ignored; an empty table gives no rows.
+The keys come from the md5 of ``seed`` and doc_id, so reruns agree.
 """
 
 from __future__ import annotations
@@ -71,42 +76,47 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, mix: Mix = Mi
     They meet the sizes of the documents, not their texts.
     """
     base = docs.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"))
+    weight = F.lit(1.0)
     if weights is not None:
         best = weights.groupBy(F.col("doc_id").alias("w_id")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
         base = base.join(best, base.doc_id == best.w_id, "left")
-    weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0) if weights is not None else F.lit(1.0)
+        weight = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight")).otherwise(1.0)
     base = base.select("doc_id", "source", "size", sampling_key(F.col("doc_id"), weight, mix.seed).alias("key"))
-    base = settle(base.withColumn("place", 1 - F.exp(-F.col("key"))))  # in [0, 1), in the order of the keys
-    plan = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), mix)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = settle(plan.withColumn("epochs", epochs).withColumn("room", F.col("target") - F.col("epochs") * F.col("source_size")))
-
-    # Level by level: the bin in which a source's budget ends, and what is left of the budget there.
-    place, inside, cut = F.col("place"), base, plan.select("source", F.lit(0.0).alias("low"), F.lit(1.0).alias("width"), "room")
-    for _ in range(mix.levels):
-        step = F.col("width") / mix.bins
-        bin_of = F.least(F.floor((place - F.col("low")) / step), F.lit(mix.bins - 1)).cast("long")
-        joined = inside.join(cut.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        joined = joined.where((place >= F.col("low")) & (place < F.col("low") + F.col("width")))
-        sums = joined.groupBy("source", "low", "width", "room", bin_of.alias("bin")).agg(F.sum("size").alias("size"))
-        run = W.partitionBy("source").orderBy("bin")
-        upto = sums.withColumn("upto", F.sum("size").over(run))
-        ended = upto.groupBy("source", "low", "width", "room").agg(F.min(F.when(F.col("upto") > F.col("room"), F.struct("bin", "size", "upto"))).alias("x"))
-        cut = settle(
-            ended.select(
-                "source",
-                F.when(F.col("x").isNull(), F.col("low") + F.col("width")).otherwise(F.col("low") + F.col("x.bin") * step).alias("low"),
-                F.when(F.col("x").isNull(), 0.0).otherwise(step).alias("width"),
-                F.when(F.col("x").isNull(), 0.0).otherwise(F.col("room") - (F.col("x.upto") - F.col("x.size"))).alias("room"),
-            )
-        )
-    limits = cut.select(F.col("source").alias("s"), "low", "width", F.col("room").alias("last"))
-    marked = base.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    last = marked.where((place >= F.col("low")) & (place < F.col("low") + F.col("width")))
-    rest = marked.where(~((place >= F.col("low")) & (place < F.col("low") + F.col("width")))).withColumn("more", (place < F.col("low")).cast("int"))
+    # The logarithm never falls as the key grows, so bins of it are ranges of keys.
+    base = settle(base.withColumn("place", F.log(F.least(F.greatest("key", F.lit(1e-300)), F.lit(1e300)))))
+    ranges = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("place").alias("low"), F.max("place").alias("high"))
+    plan = targets(ranges.select("source", "source_size"), mix).join(ranges.select(F.col("source").alias("s"), "low", "high"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = plan.withColumn("epochs", epochs).withColumn("room", F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    plan = settle(plan.select("source", "source_size", "target", "epochs", "room", "low", ((F.col("high") - F.col("low")) / mix.bins).alias("step")))
+
+    # Level by level, one row per source: the bin that its budget ends in (none: no bin does), and what is left for it.
+    for k in range(mix.levels):
+        sums = _marked(base, plan, k, mix).where("more is null").groupBy("source", F.col(f"bin{k}").alias("bin")).agg(F.sum("size").alias("size"))
+        upto = sums.withColumn("upto", F.sum("size").over(W.partitionBy("source").orderBy("bin")))
+        ended = upto.join(plan.select(F.col("source").alias("s"), "room"), F.col("source").eqNullSafe(F.col("s"))).where(F.col("upto") > F.col("room"))
+        ended = ended.groupBy("s").agg(F.min(F.struct("bin", (F.col("upto") - F.col("size")).alias("before"))).alias("x"))
+        plan = plan.join(ended, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        plan = plan.withColumns({f"low{k}": F.col("low"), f"step{k}": F.col("step"), f"end{k}": F.col("x.bin"), "room": F.col("room") - F.coalesce("x.before", F.lit(0))})
+        plan = settle(plan.withColumns({"low": F.col("low") + F.coalesce("x.bin", F.lit(0)) * F.col("step"), "step": F.col("step") / mix.bins}).drop("x"))
+    marked = _marked(base, plan, mix.levels, mix)
     run = W.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    last = last.withColumn("more", (F.sum("size").over(run) <= F.col("last")).cast("int"))
-    whole = rest.unionByName(last).select("doc_id", "source", "size", "more")
-    plan = plan.withColumnRenamed("source", "s")
-    out = whole.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * (F.col("epochs") + F.col("more"))).cast("long").alias("taken"), (F.col("epochs") + F.col("more")).cast("long").alias("copies"), "source")
+    last = marked.where("more is null").withColumn("more", (F.sum("size").over(run) <= F.col("room")).cast("long"))
+    out = marked.where("more is not null").unionByName(last)
+    copies = F.col("epochs") + F.col("more")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"), "source")
+
+
+def _marked(base: DataFrame, plan: DataFrame, levels: int, mix: Mix) -> DataFrame:
+    """The documents with their source's plan, their bin at every level, and more: 1 or 0 if the first ``levels`` levels
+    say that the fraction takes them or not, null if they lie in the bin where the budget ends."""
+    joined = base.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    more = F.lit(None).cast("long")
+    for k in range(levels + 1):
+        low, step = (F.col(f"low{k}"), F.col(f"step{k}")) if k < levels else (F.col("low"), F.col("step"))
+        at = F.floor((F.col("place") - low) / F.when(step > 0, step))
+        joined = joined.withColumn(f"bin{k}", F.coalesce(F.greatest(F.least(at, F.lit(mix.bins - 1)), F.lit(0)), F.lit(0)).cast("long"))
+        if k < levels:
+            here = F.when(F.col(f"end{k}").isNull() | (F.col(f"bin{k}") < F.col(f"end{k}")), 1).when(F.col(f"bin{k}") > F.col(f"end{k}"), 0)
+            more = F.coalesce(more, here)
+    return joined.withColumn("more", more.cast("long"))

@@ -3,9 +3,13 @@
 Every text gets integer measures; a base rule (too few words, too many repeated words) fails some texts
 outright. For the others each measure is sketched per language and source: a sketch is a table of counts
 by value bucket, exact below 64 and within 1/32 above (six leading bits), so that partial sketches from
-any number of tasks merge by adding counts, in any order, to the same result. Groups of fewer than
-``least`` texts use the merged sketch of their language, and languages of fewer the sketch of all.
-A text is kept if every measure lies within a fence around the quartiles of its group. The thresholds are
+any number of tasks merge by adding counts, in any order, to the same result.
+
+A text is kept if every measure lies within a fence around the quartiles of its group, ``fence`` times their distance
+to either side. No measure has limits of its own: a measure that is 0 for more than half of all texts is
+sketched over its other values, and the quartiles' distance counts as one bucket at least, the resolution of the sketch.
+Small groups lean on larger ones: the quartiles of a language are averaged with those of all texts, and a group's with
+its language's, weighted by the number of texts against ``prior``. A measure that is 0 for all texts rejects none. The thresholds are
 then joined to the texts' measures; the texts themselves are never shuffled.
 
 Defined results: a null or wordless text has zero measures and fails the base rule; a null language or
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 from winnower.llm.shared import settle
 
 SPACES = r"[\x20\x09-\x0D]+"
-#: Measures of the fences with the least spread (quartile distance) that is assumed.
-MEASURES = {"word_length": 100, "symbols": 100, "dup_lines": 20, "repeats": 80}
+#: Measures of the fences: code points in a hundred words; letters in a thousand code points of words (ASCII letters and all
+#: that isn't ASCII); and symbols, equal lines and repeated words in a thousand words.
+MEASURES = ("word_length", "letters", "symbols", "dup_lines", "repeats")
 
 
 @dataclass(frozen=True)
@@ -33,8 +38,8 @@ class Rules:
     min_words: int = 20
     max_repeat_percent: int = 30
     window: int = 8
-    fence: int = 3
-    least: int = 50
+    fence: int = 5
+    prior: int = 50
 
 
 def bound(value: Column, body) -> Column:
@@ -80,6 +85,7 @@ def measure(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("text", r"[\x00-@\[-`{-\x7F]+", "")).cast("long").alias("n_letters"),
         dup.cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), rules.window).cast("long").alias("n_repeat_words"),
     )
@@ -97,49 +103,52 @@ def sketches(measured: DataFrame) -> DataFrame:
     return measured.select("lang", "source", F.explode(pairs).alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: list[str], rules: Rules) -> DataFrame:
-    """Merged to ``keys``: number of texts and the lower and upper fence of every measure."""
+def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Merged to ``keys`` and measure: q1, q3 (null without a value that counts) and n, the number of values that count."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*keys, "measure")
     ranked = merged.withColumns({"below": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
-    at = lambda q: F.min(F.when(F.col("below") * 4 >= F.col("total") * q, F.col("bucket")))
-    quartiles = ranked.groupBy(*keys, "measure").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("total"))
-    spread = F.coalesce(*(F.when(F.col("measure") == m, F.greatest(F.col("q3") - F.col("q1"), F.lit(s))) for m, s in MEASURES.items()))
-    limits = quartiles.withColumns({"lo": F.col("q1") - rules.fence * spread, "hi": F.col("q3") + rules.fence * spread})
-    aggregates = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{e}_{m}") for m in MEASURES for e in ("lo", "hi")]
-    return limits.groupBy(*keys).agg(F.max("total").alias("total"), *aggregates)
+    at = lambda q: F.min(F.when((F.col("below") * 4 >= F.col("total") * q) & (F.col("total") > 0), F.col("bucket")))
+    return ranked.groupBy(*keys, "measure").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("n"))
+
+
+def fences(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """(t_lang, t_source, measure, lo, hi) for every group and measure of a sketch; null limits if nothing counts anywhere."""
+    sparse = sketch.groupBy(F.col("measure").alias("m")).agg((F.sum(F.when(F.col("bucket") == 0, F.col("n")).otherwise(0)) * 2 > F.sum("n")).alias("sparse"))
+    counted = sketch.join(F.broadcast(sparse), F.col("measure") == F.col("m"))  # a row for each measure
+    counted = counted.select("lang", "source", "measure", "bucket", F.when(F.col("sparse") & (F.col("bucket") == 0), 0).otherwise(F.col("n")).alias("n"))
+    named = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns))
+    own, lang, whole = named(quartiles(counted, ["lang", "source"]), "o"), named(quartiles(counted, ["lang"]), "g"), named(quartiles(counted, []), "a")
+    blend = lambda q, n, above: F.coalesce(F.call_function("div", q * n + above * rules.prior, n + rules.prior), above)
+    table = lang.join(F.broadcast(whole), F.col("g_measure") == F.col("a_measure"))
+    table = table.select("g_lang", "g_measure", *(blend(F.col(f"g_{q}"), F.col("g_n"), F.col(f"a_{q}")).alias(f"g_{q}") for q in ("q1", "q3")))
+    table = own.join(table, F.col("o_lang").eqNullSafe(F.col("g_lang")) & (F.col("o_measure") == F.col("g_measure")))
+    table = table.select("o_lang", "o_source", "o_measure", *(blend(F.col(f"o_{q}"), F.col("o_n"), F.col(f"g_{q}")).alias(q) for q in ("q1", "q3")))
+    spread = rules.fence * F.greatest(F.col("q3") - F.col("q1"), F.call_function("div", F.col("q3"), F.lit(32)), F.lit(1))
+    return table.select(F.col("o_lang").alias("t_lang"), F.col("o_source").alias("t_source"), F.col("o_measure").alias("measure"), (F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"))
+
+
+def with_measures(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Adds base_failed and the measures of the fences."""
+    per = lambda top, by, unit: F.coalesce(F.call_function("div", F.col(top) * unit, F.nullif(F.col(by), F.lit(0))), F.lit(0).cast("long"))
+    return measured.withColumns({
+        "base_failed": (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")),
+        "word_length": per("word_chars", "n_words", 100),
+        "letters": per("n_letters", "word_chars", 1000),
+        "symbols": per("n_symbols", "n_words", 1000),
+        "dup_lines": per("n_dup_lines", "n_words", 1000),
+        "repeats": per("n_repeat_words", "n_words", 1000),
+    })
 
 
 def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, the measures, base_failed and kept for each row of ``docs`` (doc_id, text, lang, source)."""
-    return judge(measure(docs, rules), rules)
-
-
-def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    per = lambda top, by, unit: F.coalesce(F.call_function("div", top * unit, by), F.lit(0).cast("long"))
-    words = F.nullif(F.col("n_words"), F.lit(0))
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    base = settle(
-        measured.withColumns({
-            "base_failed": failed,
-            "word_length": per(F.col("word_chars"), words, 100),
-            "symbols": per(F.col("n_symbols"), words, 1000),
-            "dup_lines": per(F.col("n_dup_lines"), words, 1000),
-            "repeats": per(F.col("n_repeat_words"), words, 1000),
-        })
-    )
+    base = settle(with_measures(measure(docs, rules), rules))
     sketch = settle(sketches(base.where(~F.col("base_failed"))))
-    own = fences(sketch, ["lang", "source"], rules)
-    lang = fences(sketch, ["lang"], rules)
-    whole = fences(sketch.withColumn("one", F.lit(1)), ["one"], rules)
-    limits = [f"{e}_{m}" for m in MEASURES for e in ("lo", "hi")]
-    named = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns))
-    o, g, a = named(own, "o"), named(lang, "g"), named(whole, "a")
-    table = o.join(g, F.col("o_lang").eqNullSafe(F.col("g_lang"))).crossJoin(F.broadcast(a))  # a is one row
-    level = lambda c: F.when(F.col("o_total") >= rules.least, F.col(f"o_{c}")).when(F.col("g_total") >= rules.least, F.col(f"g_{c}")).otherwise(F.col(f"a_{c}"))
-    table = table.select(F.col("o_lang").alias("t_lang"), F.col("o_source").alias("t_source"), *(level(c).alias(c) for c in limits))
+    limits = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{e}_{m}") for m in MEASURES for e in ("lo", "hi")]
+    table = fences(sketch, rules).groupBy("t_lang", "t_source").agg(F.lit(True).alias("t_known"), *limits)
     joined = base.join(table, base.lang.eqNullSafe(F.col("t_lang")) & base.source.eqNullSafe(F.col("t_source")), "left")
-    fine = F.lit(True)
+    fine = F.col("t_known")
     for m in MEASURES:
-        fine = fine & F.col(m).between(F.col(f"lo_{m}"), F.col(f"hi_{m}"))
+        fine = fine & F.coalesce(F.col(m).between(F.col(f"lo_{m}"), F.col(f"hi_{m}")), F.lit(True))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(fine, F.lit(False))).alias("kept"))

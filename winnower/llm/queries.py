@@ -101,30 +101,27 @@ g AS (SELECT r, i, array_to_string(ws[i:i+7], ' ') AS g FROM (SELECT r, ws, unne
 h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1),
 v AS (SELECT r, sum(least(8, coalesce(nx - i, 8))) AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM h) GROUP BY r),
 m AS (
-  SELECT doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
-    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words
+  SELECT r, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[\x00-@\[-`{-\x7F]+', '', 'g'))::BIGINT AS n_letters, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN v USING (r)),
 b AS (
-  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS word_length, coalesce(n_symbols * 1000 // nullif(n_words, 0), 0) AS symbols,
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS word_length, coalesce(n_letters * 1000 // nullif(word_chars, 0), 0) AS letters, coalesce(n_symbols * 1000 // nullif(n_words, 0), 0) AS symbols,
     coalesce(n_dup_lines * 1000 // nullif(n_words, 0), 0) AS dup_lines, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeats FROM m),
 u AS (
   SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)::BIGINT) << (length(bin(v)) - 6)::BIGINT END AS x
-  FROM (UNPIVOT (SELECT lang, source, word_length, symbols, dup_lines, repeats FROM b WHERE NOT base_failed) ON word_length, symbols, dup_lines, repeats INTO NAME measure VALUE v)),
-z AS (
-  SELECT 0 AS lv, lang, source, measure, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3, count(*) AS n FROM u GROUP BY ALL
-  UNION ALL SELECT 1, lang, NULL, measure, quantile_disc(x, 0.25), quantile_disc(x, 0.75), count(*) FROM u GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, measure, quantile_disc(x, 0.25), quantile_disc(x, 0.75), count(*) FROM u GROUP BY ALL),
-f AS (SELECT *, 3 * greatest(q3 - q1, CASE measure WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 100 WHEN 'dup_lines' THEN 20 ELSE 80 END) AS s FROM z),
-l AS (
-  SELECT o.lang, o.source, o.measure, CASE WHEN o.n >= 50 THEN o.q1 - o.s WHEN g.n >= 50 THEN g.q1 - g.s ELSE a.q1 - a.s END AS lo, CASE WHEN o.n >= 50 THEN o.q3 + o.s WHEN g.n >= 50 THEN g.q3 + g.s ELSE a.q3 + a.s END AS hi
-  FROM f o JOIN f g ON o.lv = 0 AND g.lv = 1 AND o.lang IS NOT DISTINCT FROM g.lang AND o.measure = g.measure JOIN f a ON a.lv = 2 AND a.measure = o.measure)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(
-  word_length BETWEEN max(lo) FILTER (WHERE measure = 'word_length') AND max(hi) FILTER (WHERE measure = 'word_length')
-  AND symbols BETWEEN max(lo) FILTER (WHERE measure = 'symbols') AND max(hi) FILTER (WHERE measure = 'symbols')
-  AND dup_lines BETWEEN max(lo) FILTER (WHERE measure = 'dup_lines') AND max(hi) FILTER (WHERE measure = 'dup_lines')
-  AND repeats BETWEEN max(lo) FILTER (WHERE measure = 'repeats') AND max(hi) FILTER (WHERE measure = 'repeats'), false) AS kept
-FROM b LEFT JOIN l ON b.lang IS NOT DISTINCT FROM l.lang AND b.source IS NOT DISTINCT FROM l.source
-GROUP BY doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, word_length, symbols, dup_lines, repeats
+  FROM (UNPIVOT (SELECT lang, source, word_length, letters, symbols, dup_lines, repeats FROM b WHERE NOT base_failed) ON word_length, letters, symbols, dup_lines, repeats INTO NAME measure VALUE v)),
+cc AS (SELECT lang, source, measure, CASE WHEN x > 0 OR 2 * count(*) FILTER (WHERE x = 0) OVER (PARTITION BY measure) <= count(*) OVER (PARTITION BY measure) THEN x END AS x FROM u),
+qa AS (SELECT measure, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM cc GROUP BY ALL),
+qg AS (
+  SELECT cc.lang, cc.measure, coalesce((quantile_disc(x, 0.25) * count(x) + any_value(qa.q1) * 50) // (count(x) + 50), any_value(qa.q1)) AS q1, coalesce((quantile_disc(x, 0.75) * count(x) + any_value(qa.q3) * 50) // (count(x) + 50), any_value(qa.q3)) AS q3
+  FROM cc JOIN qa USING (measure) GROUP BY cc.lang, cc.measure),
+qo AS (
+  SELECT cc.lang, cc.source, cc.measure, coalesce((quantile_disc(x, 0.25) * count(x) + any_value(qg.q1) * 50) // (count(x) + 50), any_value(qg.q1)) AS q1, coalesce((quantile_disc(x, 0.75) * count(x) + any_value(qg.q3) * 50) // (count(x) + 50), any_value(qg.q3)) AS q3
+  FROM cc JOIN qg ON cc.measure = qg.measure AND cc.lang IS NOT DISTINCT FROM qg.lang GROUP BY cc.lang, cc.source, cc.measure),
+ql AS (SELECT lang, source, measure, q1 - 5 * greatest(q3 - q1, q3 // 32, 1) AS lo, q3 + 5 * greatest(q3 - q1, q3 // 32, 1) AS hi FROM qo),
+mj AS (UNPIVOT (SELECT r, lang, source, word_length, letters, symbols, dup_lines, repeats FROM b WHERE NOT base_failed) ON word_length, letters, symbols, dup_lines, repeats INTO NAME measure VALUE v),
+mk AS (SELECT r, bool_and(coalesce(v BETWEEN lo AND hi, true)) AS fine FROM mj JOIN ql ON mj.measure = ql.measure AND mj.lang IS NOT DISTINCT FROM ql.lang AND mj.source IS NOT DISTINCT FROM ql.source GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM b LEFT JOIN mk USING (r)
 """
 
 
