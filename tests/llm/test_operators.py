@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from winnower.llm import chat_format, components, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, component string, kept string, gone string"
+KEY = pii.Pseudonyms(key=b"k")
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
 
@@ -43,7 +46,7 @@ def test_no_operator_fails_on_odd_rows(spark, odd, labels):
         assert line_dedup.remove_repeated_chunks(docs).count() == n
         assert quality_rules.apply_rules(docs).count() == n
         assert mixing.mix_sources(docs).count() == n
-        assert pii.hide_personal_data(docs).count() == n
+        assert pii.hide_personal_data(docs, KEY).count() == n
         assert language_id.detect(docs, language_id.train(docs, F.lit(True))).count() == n
         for m in (quality_model, toxicity):
             for known in (labels, labels.limit(0)):
@@ -342,10 +345,10 @@ def test_measures_against_python(spark):
 
 
 def test_pseudonyms():
-    p = pii.Pseudonyms(key=b"k")
+    p, back = KEY, pii.Pseudonyms(key=b"k", inverse=True)
     for n in (2, 7, 100, 1000):
         image = [pii.permute(i, n, "t", p) for i in range(n)]
-        assert sorted(image) == list(range(n)) and [pii.permute(i, n, "t", p, inverse=True) for i in image] == list(range(n))
+        assert sorted(image) == list(range(n)) and [pii.permute(i, n, "t", back) for i in image] == list(range(n))
     text = "card 4111 1111 1111 1111, bad 4111 1111 1111 1112; mail Ann.Lee9@mail.example.com and ANN.LEE9@MAIL.EXAMPLE.COM; on 2024-02-29, never 2023-02-29; ip 10.0.0.1 not 999.1.1.1"
     out, found = pii.pseudonymise(text, p)
     assert found == {"card": 1, "email": 2, "date": 1, "ip": 1}
@@ -359,14 +362,14 @@ def test_pseudonyms():
 @pytest.mark.parametrize("iban", ["BE68539007547034", "ES9121000418450200051332", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "PL61 1090 1014 0000 0712 1981 2874"])
 @pytest.mark.parametrize(("before", "after"), [("pay ", " for it"), ("TO ", " AND THIS IS ALL"), ("from x1 ", " is"), ("AB12 CODE ", ", then"), ("", " " + "BE68539007547034"), ("", "")])
 def test_ibans_between_words(iban, before, after):
-    out, found = pii.pseudonymise(before + iban + after)
+    out, found = pii.pseudonymise(before + iban + after, KEY)
     assert found == {"iban": 1 + ("BE68" in after)} and iban not in out and out.startswith(before)
     new = out[len(before) :][: len(iban)]
     assert pii._mod97(new.replace(" ", "")) == 1 and [c == " " for c in new] == [c == " " for c in iban] and ("BE68" in after or out.endswith(after))
 
 
 def test_values_inside_rejected_candidates():
-    out, found = pii.pseudonymise("NO12 CARD 4111 1111 1111 1111 and 1234 4111 1111 1111 1111; BE68539007547035 stays")
+    out, found = pii.pseudonymise("NO12 CARD 4111 1111 1111 1111 and 1234 4111 1111 1111 1111; BE68539007547035 stays", KEY)
     assert found == {"card": 2} and "4111 1111 1111 1111" not in out and "BE68539007547035 stays" in out
 
 
@@ -374,3 +377,43 @@ def test_languages_without_letters(spark, odd):
     model = language_id.train(odd, F.lit(True))
     got = {r.doc_id: r.lang_pred for r in language_id.detect(odd, model).collect()}
     assert got[1] == got[2] == got[3] == got[7] == "und" and got[8] == "de"
+
+
+def test_dates_are_permuted_within_their_format():
+    days = [datetime.date(1990, 1, 1) + datetime.timedelta(k) for k in range(3653)]
+    forms = {
+        "iso": lambda d: f"{d:%Y-%m-%d}", "iso short": lambda d: f"{d.year}-{d.month}-{d.day}", "dots": lambda d: f"{d.day}.{d.month}.{d.year}",
+        "day first": lambda d: f"{d:%d/%m/%Y}", "short": lambda d: f"{d.day}/{d.month}/{d.year}", "month first": lambda d: f"{d:%m/%d/%Y}" if d.day > 12 else "", "month first short": lambda d: f"{d.month}/{d.day}/{d.year}" if d.day > 12 else "",
+    }
+    back = pii.Pseudonyms(key=KEY.key, inverse=True)
+    source: dict[str, str] = {}
+    for form in forms.values():
+        for text in filter(None, map(form, days)):
+            new = pii._date(text, KEY)
+            assert re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", text) and pii._date(new, back) == text
+            assert source.setdefault(new, text) == text  # no two spellings share a pseudonym
+    assert all(pii._date(f"{d:%d/%m/%Y}", KEY) == f"{datetime.date.fromisoformat(pii._date(f'{d:%Y-%m-%d}', KEY)):%d/%m/%Y}" for d in days[::50])
+
+
+def test_every_kind_turns_back_by_key():
+    text = "mail Ann.Lee9@mail.example.com card 4111 1111 1111 1111 ssn 219-09-9999 call (415) 555-0132 or +442079460958 IBAN DE89 3704 0044 0532 0130 00 ip 10.20.30.40 and 1.2.3.4 on 1/2/2020 or 2020-1-5 api_key=0123456789abcdef0123"
+    out, found = pii.pseudonymise(text, KEY)
+    assert found == {"email": 1, "card": 1, "ssn": 1, "phone": 2, "iban": 1, "ip": 2, "date": 2, "secret": 1} and len(out) == len(text)
+    assert re.sub("[0-9]", "0", re.sub(r"ip.*? on", "", out.split(" card ")[1])).split("api")[0] == re.sub("[0-9]", "0", re.sub(r"ip.*? on", "", text.split(" card ")[1])).split("api")[0]
+    assert pii.pseudonymise(out, pii.Pseudonyms(key=KEY.key, inverse=True))[0] == text and pii.pseudonymise(text, pii.Pseudonyms(key=b"other"))[0] != out
+    with pytest.raises(ValueError, match="key"):
+        pii.Pseudonyms(key=b"")
+
+
+def test_addresses_keep_their_lengths():
+    seen = {pii._ip(f"1.2.{k}.4", KEY) for k in range(10, 100)}
+    assert len(seen) == 90 and all([len(x) for x in s.split(".")] == [1, 1, 2, 1] for s in seen)
+
+
+def test_secrets_in_texts_without_digits(spark):
+    texts = ["token=abcdefabcdefabcdef", "my PASSWORD: 'deadbeefdeadbeefdead'", "nothing here", None, "", "IBAN BE68539007547034 is mine"]
+    got = sorted((r.doc_id, r.text, r.n_found, r.kinds) for r in pii.hide_personal_data(table(spark, [(i, t, None, None) for i, t in enumerate(texts)]), KEY).collect())
+    for i, text, n, kinds in got:
+        out, found = pii.pseudonymise(texts[i] or "", KEY)
+        assert (text or "") == out and n == found.total() == sum(int(k.split(":")[1]) for k in kinds.split(",") if k)
+    assert [r[2] for r in got] == [1, 1, 0, 0, 0, 1]

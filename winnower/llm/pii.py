@@ -3,9 +3,13 @@
 Found are e-mail addresses, payment cards (Luhn), phone numbers, social security numbers, IBANs (mod 97), IPv4
 addresses, calendar dates and long hexadecimal secrets that follow a key word. Each value that passes its
 validation is replaced by one of the same format: its digits or letters, read as a number, go through a keyed
-Feistel permutation of exactly that range, walked on until the result is valid again; separators, lengths,
-letter case and check digits fit. Equal values have equal pseudonyms in all documents, different values
-different ones, and the holder of the key can invert them. Values that fail validation stay as they are.
+Feistel permutation of the values of that format, walked on until the result is valid again; separators, lengths of
+every part, letter case and check digits fit. Equal values have equal pseudonyms in all documents, different values
+different ones, and the holder of the key can invert them (``inverse``). Values that fail validation stay as they are.
+
+A date's format is its order (year first, day first, or month first, which is only known where the day is above 12)
+and the number of digits of month and day; an address' is the number of digits of its parts. Dates of the formats that hold all
+days (two digits, year or day first) share one permutation, so that a day has one pseudonym in both.
 
 Defined results: a null text stays null with nothing found; rows that repeat are treated alike; other
 columns pass through, but for n_found and kinds, which are replaced; an empty table gives no rows; texts are read whole.
@@ -20,24 +24,27 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnower.llm import textbytes as tb
-from winnower.llm.shared import small_batches
-
 
 @dataclass(frozen=True)
 class Pseudonyms:
-    key: bytes = b"winnower-demo-key"
+    """The secret key, and whether pseudonyms are made or turned back."""
+
+    key: bytes
+    inverse: bool = False
     rounds: int = 10
 
+    def __post_init__(self) -> None:
+        if not self.key:
+            raise ValueError("pseudonyms need a secret key")
 
-def permute(value: int, size: int, tweak: str, p: Pseudonyms, inverse: bool = False) -> int:
+
+def permute(value: int, size: int, tweak: str, p: Pseudonyms) -> int:
     """A keyed permutation of range(size): Feistel over two halves, walked on while the result is out of range."""
+    inverse = p.inverse
     if size < 2:
         return value
     low = math.isqrt(size - 1) + 1
@@ -155,12 +162,24 @@ def _iban(m: str, p: Pseudonyms) -> str | None:
     return _fill(m, new[:2] + f"{98 - _mod97(new):02d}" + new[4:]) if at else None
 
 
+#: The values of an address' parts of one, two and three digits.
+_OCTETS = {1: range(10), 2: range(10, 100), 3: range(100, 256)}
+
+
 def _ip(m: str, p: Pseudonyms) -> str | None:
     parts = m.split(".")
-    if any(int(x) > 255 or (x[0] == "0" and x != "0") for x in parts):
+    spans = [_OCTETS[len(x)] for x in parts]
+    if any(int(x) not in span for x, span in zip(parts, spans, strict=True)):
         return None
-    value = permute(int.from_bytes(bytes(map(int, parts)), "big"), 2**32, "ip", p)
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    value, size = 0, 1
+    for x, span in zip(parts, spans, strict=True):
+        value, size = value * len(span) + int(x) - span[0], size * len(span)
+    value = permute(value, size, "ip" + "".join(str(len(x)) for x in parts), p)
+    out = []
+    for span in reversed(spans):
+        value, r = divmod(value, len(span))
+        out.append(str(span[r]))
+    return ".".join(reversed(out))
 
 
 _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
@@ -168,19 +187,21 @@ _FIRST, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1)
 
 def _date(m: str, p: Pseudonyms) -> str | None:
     a, sign, b, _, c = re.split(r"([-/.])", m)
-    y, mo, d = (a, b, c) if len(a) == 4 else (c, b, a)
-    if len(a) != 4 and sign == "/" and int(b) > 12:  # month first
-        mo, d = a, b
+    month_first = len(a) != 4 and sign == "/" and int(b) > 12
+    y, mo, d = (a, b, c) if len(a) == 4 else (c, a, b) if month_first else (c, b, a)
     try:
         at = datetime.date(int(y), int(mo), int(d)).toordinal() - _FIRST
     except ValueError:
         return None
     if not 0 <= at < _DAYS:
         return None
-    new = datetime.date.fromordinal(permute(at, _DAYS, "date", p) + _FIRST)
-    y2, mo2, d2 = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-    out = (y2, mo2, d2) if len(a) == 4 else (mo2, d2, y2) if (mo, d) == (a, b) and int(b) > 12 else (d2, mo2, y2)
-    return sign.join(out)
+    while True:  # on to a day that is written in the same format
+        at = permute(at, _DAYS, "date", p)
+        new = datetime.date.fromordinal(at + _FIRST)
+        if (len(mo) == 2 or new.month < 10) and (len(d) == 2 or new.day < 10) and (not month_first or new.day > 12):
+            break
+    y2, mo2, d2 = str(new.year), f"{new.month:0{len(mo)}d}", f"{new.day:0{len(d)}d}"
+    return sign.join((y2, mo2, d2) if len(a) == 4 else (mo2, d2, y2) if month_first else (d2, mo2, y2))
 
 
 def _email(m: str, p: Pseudonyms) -> str:
@@ -217,7 +238,11 @@ _FOUND = re.compile(
 _MAKERS = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "iban": _iban}
 
 
-def pseudonymise(text: str, p: Pseudonyms = Pseudonyms()) -> tuple[str, Counter]:
+#: What every text with a value holds: a digit, an at sign, or the key word of a secret.
+_MAYBE = re.compile(r"[0-9@]|token|secret|passw|api|access", re.IGNORECASE | re.ASCII)
+
+
+def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, Counter]:
     """The text with its personal data replaced, and the number of values by kind."""
     found: Counter = Counter()
     out, done, at = [], 0, 0
@@ -235,19 +260,17 @@ def pseudonymise(text: str, p: Pseudonyms = Pseudonyms()) -> tuple[str, Counter]
     return "".join(out) + text[done:], found
 
 
-def hide_personal_data(docs: DataFrame, p: Pseudonyms = Pseudonyms()) -> DataFrame:
+def hide_personal_data(docs: DataFrame, p: Pseudonyms) -> DataFrame:
     """``docs`` with its text replaced, and the columns n_found and kinds (such as ``card:1,email:2``)."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("text string, n_found long, kinds string")
     def hidden(texts: pd.Series) -> pd.DataFrame:
-        out, n, kinds = list(texts), np.zeros(len(texts), np.int64), [""] * len(texts)
-        for lo, _, data, bounds in tb.chunks(pa.array(texts, pa.string(), from_pandas=True)):
-            sign = np.concatenate([[0], np.cumsum((data == ord("@")) | ((data >= 48) & (data <= 57)))])
-            for i in np.flatnonzero(sign[bounds[1:]] > sign[bounds[:-1]]) + lo:  # others hold nothing of the kinds
-                out[i], found = pseudonymise(out[i], p)
+        out, n, kinds = list(texts), [0] * len(texts), [""] * len(texts)
+        for i, text in enumerate(out):
+            if text and _MAYBE.search(text):
+                out[i], found = pseudonymise(text, p)
                 n[i], kinds[i] = found.total(), ",".join(f"{k}:{c}" for k, c in sorted(found.items()))
-        return pd.DataFrame({"text": pd.Series(out, dtype=object), "n_found": n, "kinds": kinds})
+        return pd.DataFrame({"text": pd.Series(out, dtype=object), "n_found": pd.Series(n, dtype="int64"), "kinds": pd.Series(kinds, dtype=object)})
 
     rest = [c for c in docs.columns if c not in ("text", "n_found", "kinds")]
     return docs.select(*rest, hidden(F.col("text").cast("string")).alias("_hidden")).select(*rest, "_hidden.*")

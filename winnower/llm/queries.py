@@ -52,7 +52,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.hide_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    # A public key, for demonstration: real use takes its own from the caller.
+    return pii.hide_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"), pii.Pseudonyms(key=b"demonstration"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
