@@ -101,6 +101,55 @@ def test_residual_pairs_are_whole(spark):
     assert want and want <= proposed
 
 
+def joined_rows(df) -> int:
+    """Rows that the joins of a plan made."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    total, todo = 0, [plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStageExec" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+            continue
+        if "Join" in node.nodeName():
+            total += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(k) for k in range(node.children().size())]
+    return total
+
+
+def test_templates_join_in_proportion(spark):
+    """Pages of 200 shared and 18 own words lie just below the threshold: the exact search must not join them pair by pair."""
+    template = prose(77, 200)
+    p = near_dedup.NearDuplicates(percent=85)
+    made = {}
+    for n in (200, 400):
+        sets = {i: sorted({hash((w, "s")) for w in zip(*[(template + " " + prose(5000 + i, 18)).split()[k:] for k in range(5)], strict=False)}) for i in range(n)}
+        df = spark.createDataFrame(list(sets.items()), "node long, shingles array<long>").repartition(4)
+        named = df.select("node", F.col("node").alias("component"))
+        pairs = near_dedup._by_rare_shingles(named, df, p)
+        made[n] = (joined_rows(pairs), {tuple(r) for r in pairs.collect()})
+        want = {(j, i) for i in range(n) for j in range(i) if jaccard(set(sets[i]), set(sets[j])) * 100 >= 85}
+        assert want <= made[n][1]
+    assert all(rows <= n for n, (rows, _) in made.items())  # all pairs would be 79,800 for each shared shingle
+
+
+def test_templates_with_similar_pages(spark):
+    """Pages of one template with more or less own text: components equal those of all pairs."""
+    template, rng = prose(77, 120).split(), random.Random(4)
+    texts = {i: " ".join(template[: 120 - i % 7] + prose(9000 + i, rng.choice([2, 5, 8, 10, 12, 20])).split()) for i in range(150)}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    label = {i: i for i in texts}
+    links = [(i, j) for i in texts for j in texts if i < j and jaccard(sets[i], sets[j]) >= 0.85]
+    for _ in texts:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    got = near_dedup.near_duplicates(table(spark, [(i, t, "en", "a") for i, t in texts.items()]), near_dedup.NearDuplicates(percent=85)).collect()
+    assert links and {r.doc_id: r.component_id for r in got} == label and len(set(label.values())) > 5
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components_against_union_find(spark, seed):
     rng = random.Random(seed)

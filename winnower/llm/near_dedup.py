@@ -15,8 +15,10 @@ How no link between different texts is lost, without all pairs of a group:
 * A bucket whose members now lie in one component has nothing to add: more links in it can't
   change the result. For members of buckets with several components the rest is exact: two sets that
   reach the threshold share a shingle among the first few of both, in one common order of all shingles.
-  In the order of rarity these few are mostly shingles of one document alone, so that a large group of
-  loosely similar texts proposes few pairs. Those across components are confirmed on full sets, and
+  In the order of rarity these few are mostly shingles of one document alone. Pairs are joined by shingle
+  and class of sizes, and only if what follows the shingle can suffice for both sizes, so that pages of one template with
+  too much text of their own meet nobody, whatever their number. At each shingle one component has most documents;
+  pairs within it are never joined. Pairs across components pass the signature estimate, are confirmed on full sets, and
   components are taken once more.
 
 Defined results: a null or wordless text has an empty set, links with nothing and stays alone; a null
@@ -26,6 +28,7 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
 from winnower.llm.components import connected_components
-from winnower.llm.shared import pick, settle, small_batches
+from winnower.llm.shared import pick, settle
 
 _STEP = (np.random.default_rng(5).integers(1, 2**62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"
@@ -47,8 +50,8 @@ class NearDuplicates:
     """Parameters: shingle length in words, similarity threshold in percent, bands and rows of the signature (0: by the threshold).
 
     ``slack`` is how far below the threshold a signature's estimate may lie before the pair is dropped
-    unconfirmed; 0.17 is over six standard deviations at 180 minima. Up to ``most_broadcast`` ids (8 MB) are
-    broadcast to pick their texts; beyond it a shuffle join does.
+    unconfirmed; 0.17 is over six standard deviations at 180 minima. ``growth`` is the ratio of sizes that a size
+    class of the exact search spans.
     """
 
     words: int = 5
@@ -56,7 +59,7 @@ class NearDuplicates:
     bands: int = 0
     rows: int = 0
     slack: float = 0.17
-    most_broadcast: int = 1_000_000
+    growth: float = 1.05
 
     def __post_init__(self) -> None:
         if not self.rows:
@@ -157,7 +160,7 @@ def _sets(p: NearDuplicates):
 
 def _full_sets(docs: DataFrame, ids: DataFrame, p: NearDuplicates) -> DataFrame:
     """(node, shingles) of the named documents. The ids are broadcast if they are few, else joined by shuffle."""
-    texts = pick(docs, ids, most_broadcast=p.most_broadcast).select("doc_id", "text")
+    texts = pick(docs, ids).select("doc_id", "text")
     return settle(texts.mapInArrow(_sets(p), "node long, shingles array<long>").dropDuplicates(["node"]))
 
 
@@ -175,12 +178,13 @@ def _proposed(pairs: DataFrame, classes: DataFrame, p: NearDuplicates) -> DataFr
     return pairs.join(side("a"), "a").join(side("b"), "b").where(able).select("a", "b", "sa", "sb").mapInArrow(_agree(p), "a long, b long")
 
 
-def _by_rare_shingles(named: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
-    """Pairs (a, b) across components, among which are all that reach the threshold.
+def _heads(named: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """(node, component, n, x, most): the first shingles of each set, in the order of rarity, and the largest partner that they allow.
 
     Of n shingles in a common order, sets that reach the threshold share one among the first
     n - ceil(n * percent / 100) + 1 of each. Shingles of one document alone come first and match nothing.
-    At the first shingle that two sets share, what follows it in either must suffice for the threshold.
+    At the first shingle that two sets share, what follows it in either must suffice for the threshold: sets of n and m
+    shingles have to share (n + m) * percent / (100 + percent) of them.
     """
     each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
     common = each.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
@@ -188,18 +192,33 @@ def _by_rare_shingles(named: DataFrame, sets: DataFrame, p: NearDuplicates) -> D
     alone = F.col("n") - F.size("xs")
     first = F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1 - alone
     heads = ranked.where(first > 0).select("node", "n", alone.alias("alone"), F.posexplode(F.slice("xs", F.lit(1), first.cast("int"))["x"]).alias("i", "x"))
-    heads = settle(heads.select("node", "n", "x", (F.col("n") - F.col("alone") - F.col("i")).alias("left")).join(named, "node"))
-    mixed = heads.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("x")
-    rest = heads.join(mixed, "x")
-    side = lambda k: rest.select("x", F.col("node").alias(k), F.col("component").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("left").alias(f"l{k}"))
-    enough = F.least("la", "lb") * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent
-    return side("a").join(side("b"), "x").where((F.col("ca") < F.col("cb")) & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = (F.col("n") - F.col("alone") - F.col("i")).cast("long")
+    most = F.floor((left * (100 + p.percent) - F.col("n") * p.percent) / p.percent)
+    return heads.select("node", "n", "x", F.least(most, F.floor(F.col("n") * 100 / p.percent)).alias("most")).where(F.col("most") * 100 >= F.col("n") * p.percent).join(named, "node")
+
+
+def _by_rare_shingles(named: DataFrame, sets: DataFrame, p: NearDuplicates) -> DataFrame:
+    """Pairs (a, b) across components, among which are all that reach the threshold.
+
+    The smaller set of a pair is joined to the size classes that it allows, the larger one to its own, and neither may be too large
+    for the other. A pair within the component that has most documents at a shingle is never joined.
+    """
+    heads = settle(_heads(named, sets, p))
+    count = heads.groupBy("x", "component").agg(F.count("*").alias("c"))
+    main = count.groupBy("x").agg(F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("k")).where("k > 1")
+    rest = settle(heads.join(main, "x").select("node", "n", "x", "most", "component", (F.col("component") == F.col("main")).alias("in_main")))
+    at = lambda n: F.floor(F.log(n) / math.log(p.growth)).cast("long")
+    side = lambda df, k, *more: df.select("x", *more, *(F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "most", "component")))
+    small = lambda df: side(df.where("most >= n"), "a", F.explode(F.sequence(at(F.col("n")), at(F.col("most")))).alias("class"))
+    large = lambda df: side(df, "b", at(F.col("n")).alias("class"))
+    fits = (F.col("component_a") != F.col("component_b")) & F.col("n_b").between(F.col("n_a"), F.col("most_a")) & (F.col("n_a") <= F.col("most_b"))
+    pairs = small(rest.where("not in_main")).join(large(rest), ["x", "class"]).unionByName(small(rest.where("in_main")).join(large(rest.where("not in_main")), ["x", "class"]))
+    return pairs.where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     features = settle(docs.mapInArrow(_features(p), FEATURES))
     digest = ["d1", "d2", "n_shingles"]
@@ -222,9 +241,9 @@ def near_duplicates(docs: DataFrame, p: NearDuplicates = NearDuplicates()) -> Da
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rest = settle(named.join(mixed, "key").select("node", "component").distinct())
     sets = _full_sets(docs, rest.select("node"), p)
-    more = settle(_confirmed(_by_rare_shingles(rest, sets, p), sets, p))
+    more = settle(_confirmed(settle(_proposed(_by_rare_shingles(rest, sets, p), classes, p)), sets, p))
     if more.take(1):
-        labels = settle(connected_components(links.unionByName(more)))
+        labels = settle(connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     named = known.join(labels, known.node == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", known.node, "doc_id").alias("component_id"))
     return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
