@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
-from winnower.llm.shared import small_batches
 
 FOUND = "doc_id long, item_id long, windows int, item_windows int, edits int, begin long, end long"
 
@@ -207,7 +206,6 @@ def _scan(shared, s: Search):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Search = Search()) -> DataFrame:
     """One row per document and benchmark item of which it holds a window: how many windows, the least edits, the span in UTF-8 bytes of the lower-cased text."""
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
     chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-chars // s.block_chars)

@@ -1,10 +1,10 @@
 """Language identification: TF-IDF n-gram vectors against several clustered centroids per language.
 
-A text is folded to lower-case letters with single spaces for everything else; its byte pairs and triples are
-hashed to ``dims`` entries, weighted by log(1 + count) and inverse document frequency, and normalised.
+A text is put in lower case by Spark, with single spaces for all ASCII that is no letter; its byte pairs and triples are
+hashed to ``dims`` entries, weighted by log(1 + count) and inverse document frequency (of at least 1), and normalised.
 Document frequencies are counted over all learning rows. For each language at most ``per_language``
-learning rows (a bounded sample by hash of doc_id) are clustered into ``clusters`` centroids by cosine, a task
-for each of the ``most_languages`` most frequent languages; only centroids reach the driver. A text has the language of its nearest centroid. ``rejected`` tells that it lies farther from
+learning rows (a bounded sample by hash of doc_id) are clustered into ``clusters`` centroids by cosine, a group
+for each language, however rare; only centroids reach the driver, 32 KB for a language. A text has the language of its nearest centroid. ``rejected`` tells that it lies farther from
 it than all but one in a hundred of the sampled texts, with a margin; the prediction itself stays.
 
 Defined results: ``und`` with score 0 for a null text, for one without a letter, and if no language was
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
-from winnower.llm.shared import small_batches
+from winnower.llm.shared import few, settle
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,6 @@ class Fit:
     per_language: int = 400
     clusters: int = 4
     margin: float = 0.05
-    most_languages: int = 500
     seed: int = 17
 
 
@@ -131,18 +130,16 @@ def _centroids(fit: Fit):
 def train(docs: DataFrame, learn: Column, fit: Fit = Fit()) -> Model:
     """Fits on the rows of ``docs`` (doc_id, text, lang) that fulfil ``learn`` and have a text and a language."""
     spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"))
     df = rows.select("text").mapInArrow(_frequencies(fit), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toPandas().set_index("entry")["n"]
     total = int(df.get(-1, 0))
     if not total:
         return Model(np.ones(fit.dims), np.zeros((0, fit.dims)), [], np.zeros(0))
-    idf = np.log((1 + total) / (1 + df.reindex(range(fit.dims), fill_value=0).to_numpy()))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(fit.most_languages).collect()}
+    idf = 1 + np.log((1 + total) / (1 + df.reindex(range(fit.dims), fill_value=0).to_numpy()))
     # A share of each language by hash that holds its sample almost surely, then the exact sample.
-    share = spark.createDataFrame([(k, min(1.0, 1.5 * fit.per_language / n + 20 / n)) for k, n in sizes.items()], "lang string, share double")
+    share = rows.groupBy(F.col("lang").alias("l")).agg(F.least(F.lit(1.0), (1.5 * fit.per_language + 20) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = rows.join(F.broadcast(share), "lang").where(draw < F.col("share"))
+    sample = rows.join(few(settle(share)), F.col("lang") == F.col("l")).where(draw < F.col("share"))
     vectors = sample.select("text", "lang", "doc_id").mapInArrow(_vectors(spark.sparkContext.broadcast(idf), fit), "lang string, doc_id long, x binary")
     rows = vectors.groupBy("lang").applyInPandas(_centroids(fit), "lang string, k int, centroid binary, radius double").toPandas().sort_values(["lang", "k"])
     return Model(idf, np.stack([np.frombuffer(c, np.float32) for c in rows["centroid"]]).astype(np.float64), rows["lang"].to_list(), rows["radius"].to_numpy())
@@ -151,7 +148,6 @@ def train(docs: DataFrame, learn: Column, fit: Fit = Fit()) -> Model:
 def detect(docs: DataFrame, model: Model, fit: Fit = Fit()) -> DataFrame:
     """``docs`` with lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -177,4 +173,4 @@ def detect(docs: DataFrame, model: Model, fit: Fit = Fit()) -> DataFrame:
         return pd.DataFrame({"lang_pred": np.concatenate(langs or none), "score": np.concatenate(scores or none), "rejected": np.concatenate(far or none).astype(bool)})
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*rest, detected(F.col("text").cast("string")).alias("_found")).select(*rest, "_found.*")
+    return docs.select(*rest, detected(F.lower(F.col("text").cast("string"))).alias("_found")).select(*rest, "_found.*")

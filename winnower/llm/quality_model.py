@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
 from winnower.llm.samples import labelled_sample
-from winnower.llm.shared import crc_remainder, small_batches
+from winnower.llm.shared import crc_remainder
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def index_vectors(fit: Fit) -> np.ndarray:
 
 def _contexts(fit: Fit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(fit), np.zeros((fit.vocabulary, fit.dims))
+        index, total = index_vectors(fit), np.zeros((fit.vocabulary, fit.dims))  # whole numbers
         for batch in batches:
             for _, _, data, bounds in tb.chunks(batch.column(0)):
                 entry, first = tokens(data, bounds, fit.vocabulary)
@@ -118,7 +118,7 @@ def _contexts(fit: Fit):
                     for d in range(fit.dims):
                         total[:, d] += np.bincount(a, index[b, d], fit.vocabulary) + np.bincount(b, index[a, d], fit.vocabulary)
         used = np.flatnonzero(total.any(axis=1))
-        yield pa.record_batch([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["entry", "v"])
+        yield pa.record_batch([pa.array(used), pa.array(list(total[used].astype(np.int64)), pa.list_(pa.int64()))], names=["entry", "v"])
 
     return run
 
@@ -180,10 +180,9 @@ def _train(x: np.ndarray, y: np.ndarray, fold: np.ndarray, vectors: np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "quality") -> Model:
     """Fits on a bounded sample of the labelled rows whose crc32(doc_id) mod 5 is not 0."""
     spark = docs.sparkSession
-    small_batches(spark)
     sample = labelled_sample(docs, labels, label, crc_remainder("doc_id", 5) != 0, fit.rows)
     vectors = np.zeros((fit.vocabulary, fit.dims), np.float32)
-    sums = sample.select("text").mapInArrow(_contexts(fit), "entry long, v array<double>").groupBy("entry").agg(*(F.sum(F.col("v")[d]).alias(f"v{d}") for d in range(fit.dims)))
+    sums = sample.select("text").mapInArrow(_contexts(fit), "entry long, v array<long>").groupBy("entry").agg(*(F.sum(F.col("v")[d]).alias(f"v{d}") for d in range(fit.dims)))
     table = sums.toPandas()  # at most one row per entry
     if len(table):
         raw = table.drop(columns="entry").to_numpy(np.float64)
@@ -198,7 +197,6 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "qu
 def score(docs: DataFrame, model: Model, fit: Fit = Fit(), threshold: float = 0.3) -> DataFrame:
     """``docs`` with the columns score and predicted; other columns pass through."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -1,4 +1,4 @@
-"""Session helpers of the operators: shared storage, batch sizes, learned-row rules."""
+"""Helpers of the operators: shared storage, bounded broadcasts, learned-row rules."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from winnower.functions.durable import checkpoint_root, settle
 
-__all__ = ["checkpoint_root", "crc_remainder", "few", "pick", "read", "settle", "shared_path", "small_batches"]
+__all__ = ["checkpoint_root", "crc_remainder", "few", "pick", "read", "settle", "shared_path"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -17,11 +17,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches small, so that long texts don't pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -32,15 +27,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def few(keys: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
-    """Written-out keys of a few numbers each, marked for broadcast if they were counted and are at most so many."""
-    return F.broadcast(keys) if keys.count() <= most_broadcast else keys
+def few(keys: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """Written-out keys of a few numbers each, marked for broadcast if they were counted and take at most so many bytes there."""
+    return F.broadcast(keys) if keys.count() * 16 * (1 + len(keys.columns)) <= most_bytes else keys
 
 
-def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most_broadcast: int = 1_000_000) -> DataFrame:
+def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most_bytes: int = 16 << 20) -> DataFrame:
     """The rows of ``docs`` whose doc_id is among the ids (``left_anti``: is not), in the one column of ``ids``.
 
-    Up to ``most_broadcast`` ids (8 MB) are broadcast, so that no text is shuffled; beyond it a shuffle join does.
+    Up to ``most_bytes`` of ids (half a million) are broadcast, so that no text is shuffled; beyond it a shuffle join does.
     """
-    ids = few(settle(ids.toDF("_id").distinct()), most_broadcast)
+    ids = few(settle(ids.toDF("_id").distinct()), most_bytes)
     return docs.join(ids, docs.doc_id == ids["_id"], how)

@@ -7,7 +7,8 @@ weights: small to broadcast, whatever the size of the corpus.
 
 The fit sees at most ``Fit.rows`` labelled documents (a bounded sample), in ``Fit.shards`` partitions of Spark.
 In each of ``Fit.epochs`` rounds every task goes through its shard from the common state and returns the
-changes to z and n; their means and sums give the next state. Tasks hold one batch at a time.
+changes to z and n as three arrays; the next state adds to each coordinate the mean of the changes of the shards that
+touched it. The driver gets ``Fit.shards`` rows a round, of at most 5 MB each. Tasks hold one batch at a time.
 
 Defined results: a null, empty or wordless text has the score of the bias alone; rows that repeat are
 scored alike; other columns are ignored; an empty table gives no rows; without labels of both kinds the
@@ -22,12 +23,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
 from winnower.llm.samples import labelled_sample
-from winnower.llm.shared import crc_remainder, settle, small_batches
+from winnower.llm.shared import crc_remainder, settle
 
 
 @dataclass(frozen=True)
@@ -106,7 +108,8 @@ def _round(state, fit: Fit):
                 n[i] = ni + g * g
                 z[i] = zi + g - (np.sqrt(n[i]) - root) / fit.alpha * w
         at = np.flatnonzero(n != n0)
-        yield pa.record_batch([pa.array(at), pa.array((z - z0)[at]), pa.array((n - n0)[at])], names=["at", "dz", "dn"])
+        parts = [pa.array([x.tobytes()], pa.binary()) for x in (at, (z - z0)[at], (n - n0)[at])]
+        yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), *parts], names=["shard", "at", "dz", "dn"])
 
     return run
 
@@ -114,7 +117,6 @@ def _round(state, fit: Fit):
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "toxic") -> Model:
     """Fits on a bounded sample of the labelled rows whose crc32(doc_id) mod 5 is not 0."""
     spark = docs.sparkSession
-    small_batches(spark)
     sample = labelled_sample(docs, labels, label, crc_remainder("doc_id", 5) != 0, fit.rows, fit.shards)
     known = sample.agg(F.count("*").alias("n"), F.avg("label").alias("p")).first()
     if not known["n"] or known["p"] in (0.0, 1.0):
@@ -124,9 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "to
     z, n = np.zeros(fit.size + 1), np.zeros(fit.size + 1)
     for _ in range(fit.epochs):
         state = spark.sparkContext.broadcast((z, n))
-        change = rows.mapInArrow(_round(state, fit), "at long, dz double, dn double").groupBy("at").agg(F.avg("dz").alias("dz"), F.avg("dn").alias("dn")).toPandas()
-        z[change["at"]] += change["dz"]
-        n[change["at"]] += change["dn"]
+        dz, dn, touched = np.zeros_like(z), np.zeros_like(n), np.zeros(len(z), np.int64)
+        for r in sorted(rows.mapInArrow(_round(state, fit), "shard long, at binary, dz binary, dn binary").collect()):  # a row for each shard
+            at = np.frombuffer(r.at, np.int64)
+            dz[at] += np.frombuffer(r.dz, np.float64)
+            dn[at] += np.frombuffer(r.dn, np.float64)
+            touched[at] += 1
+        z += dz / np.maximum(touched, 1)
+        n += dn / np.maximum(touched, 1)
         state.unpersist()
     w = _weights(z, n, fit)
     at = np.flatnonzero(w[:-1])
@@ -136,7 +143,6 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "to
 def score(docs: DataFrame, model: Model, fit: Fit = Fit(), threshold: float = 0.5) -> DataFrame:
     """``docs`` with the columns score and predicted; other columns pass through."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
