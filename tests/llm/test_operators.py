@@ -259,30 +259,59 @@ def edits(pattern: bytes, text: bytes) -> int:
     return min(row)
 
 
+def folded(text: str) -> bytes:
+    raw = np.frombuffer(text.lower().encode(), np.uint8)
+    return decontaminate.fold(raw, np.array([0, len(raw)]))[0].tobytes()
+
+
+def leaks_by_alignment(docs, items, s):
+    """{(document, item): windows found} by aligning every window of every item with every whole text."""
+    out = {}
+    for i, text in docs:
+        for k, item in items:
+            cut = [w.tobytes() for w in decontaminate.windows(np.frombuffer(folded(item), np.uint8), s)]
+            if n := sum(edits(w, folded(text)) <= s.edits(len(w)) for w in cut):
+                out[i, k] = n
+    return out
+
+
 def test_decontamination_against_full_alignment(spark):
-    s = decontaminate.Search()
+    s = decontaminate.Search(step=50)
     rng = random.Random(11)
-    items = [(k, prose(200 + k, 25)) for k in range(6)]
+    items = [(k, prose(200 + k, 25)) for k in range(3)] + [(3, "the short item here"), (4, "Fourteen of: 14!"), (5, prose(200, 25)), (6, "tiny")]
     docs = []
-    for i in range(60):
-        passage = list(items[i % 6][1])
-        for _ in range(rng.randrange(14)):
+    for i in range(30):
+        passage = list(items[i % 5][1])
+        for _ in range(rng.randrange(14) if i % 5 < 3 else rng.randrange(3)):
             at = rng.randrange(len(passage))
             passage[at : at + rng.randrange(2)] = rng.choice(["", "q", "zz"])
-        docs.append((i, prose(900 + i, 40) + " " + "".join(passage).upper() + " !! " + prose(700 + i, 40), "en", "a"))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    fold = lambda t: (lambda raw: decontaminate.fold(raw, np.array([0, len(raw)]))[0].tobytes())(np.frombuffer(t.lower().encode(), np.uint8))
-    index = decontaminate.Index(items, s)
-    want = {(d[0], index.item[w]) for d in docs for w in range(len(index.item)) if index.item[w] == d[0] % 6 and edits(index.text[w].tobytes(), fold(d[1])) <= index.allowed[w]}
-    assert want and got == want
-
-
-def test_benchmark_blocks_agree(spark):
-    items = spark.createDataFrame([(k, prose(200 + k, 25)) for k in range(9)], "item_id long, text string")
-    docs = table(spark, [(i, prose(900 + i, 20) + " " + prose(200 + i, 25), "en", "a") for i in range(9)])
-    one = decontaminate.find_leaks(docs, items)
-    many = decontaminate.find_leaks(docs, items, decontaminate.Search(block_chars=300))
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 9
+        docs.append((i, prose(900 + i, 25) + " " + "".join(passage).upper() + " !! " + prose(700 + i, 25)))
+    got = {(r.doc_id, r.item_id): r.windows for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), s).collect()}
+    want = leaks_by_alignment(docs, items, s)
+    assert len(want) > 15 and got == want
+    # whatever is left out of the join, and however full the bitmap is
+    for other in (decontaminate.Search(step=50, hot=0), decontaminate.Search(step=50, most_bits=7, slice=300)):
+        assert {(r.doc_id, r.item_id): r.windows for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), other).collect()} == want
+
+
+def test_leaks_in_very_long_texts_and_common_items(spark):
+    """Ten million equal letters, and a benchmark whose items begin alike: bounded work, spans that point at the passage."""
+    begin = "Answer the following question about the text and give reasons for each of your choices in full: "
+    items = [(k, begin + prose(200 + k, 30)) for k in range(300)] + [(1000, "a" * 400)]
+    docs = [(1, "a" * 10_000_000), (2, prose(1, 50) + " Ä " + items[7][1] + " " + prose(2, 50)), (3, prose(3, 400)), (4, "x" * 3_000_000 + " " + items[9][1]), (5, begin)]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert (1, 1000) in got and (2, 7) in got and (4, 9) in got and not any(d == 3 for d, _ in got)
+    assert got[2, 7].windows == got[2, 7].item_windows and got[2, 7].edits == 0
+    shown = docs[1][1].lower().encode()[got[2, 7].begin : got[2, 7].end].decode()
+    assert shown == items[7][1].lower()
+    assert not any(d == 1 and k != 1000 for d, k in got)
+
+
+def test_leaks_of_repeated_rows_and_nulls(spark):
+    item = prose(200, 25)
+    rows = [(1, item, None, None), (1, item + " " + prose(3, 5), None, None), (None, item, None, None), (2, None, None, None)]
+    got = decontaminate.find_leaks(table(spark, rows), spark.createDataFrame([(5, item, 1), (5, item, 2), (6, None, 3), (None, item, 4)], "item_id long, text string, class int")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 5), (None, 5)} and len(got) == 2 and all(r.windows == r.item_windows for r in got)
 
 
 def test_mix_meets_targets(spark):

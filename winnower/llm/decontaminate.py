@@ -3,15 +3,21 @@
 Texts and benchmark items are lower-cased by Spark and folded to letters and digits with single spaces between. An item is cut
 into overlapping windows. If a window of m characters stands in a text with at most e edits, the two
 share at least (m - q + 1) - q * e of their q-grams, and their diagonals (place in the text less place in
-the window) lie within e of each other. So shared q-grams are counted per window in diagonal bands that
-overlap by half; bands that reach the count are aligned (semi-global edit distance within the band), and those
-within the budget are leaks. The filter loses no window within its edit budget.
+the window) lie within e of each other. So:
 
-The benchmark is the query set, the texts are scanned. Its index goes to the tasks in blocks of at most
-``block_chars`` characters, whatever its size: each block is one broadcast of bounded size and one pass.
+* One scan of the texts keeps the stretches that hold so many q-grams of any window close together, told by a
+  bitmap of the benchmark's q-grams. The bitmap is all that is broadcast: it has 16 bits for each q-gram and at most 2^``most_bits`` bits
+  (32 MB), beyond which more stretches pass and nothing is lost. Stretches are cut into overlapping slices of bounded length.
+* Slices and windows are joined by q-gram. The q-grams that stand in more than ``hot`` windows are left out of the join, the commonest
+  first and no more of a window than it can spare; the others have to be shared in the number that is left.
+* Each candidate pair counts its shared q-grams in diagonal bands that overlap by half; bands that reach the count are
+  aligned (semi-global edit distance within the band), and those within the budget are leaks.
+
+No step loses a window within its edit budget. The benchmark stays in tables of Spark, windows of equal text are one; tasks hold
+one batch of texts or of bounded slices, also where a text repeats one letter a million times.
 
 Defined results: null texts or items hold nothing; items of fewer than ``q`` folded characters can't be told
-from chance and match nothing; rows that repeat are found again; a null id stays null; other columns are
+from chance and match nothing; rows that repeat a doc_id are one document, and those without one are one as well; other columns are
 ignored; empty tables give no rows; texts are read whole.
 """
 
@@ -23,11 +29,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
-
-FOUND = "doc_id long, item_id long, windows int, item_windows int, edits int, begin long, end long"
+from winnower.llm.shared import settle
 
 
 @dataclass(frozen=True)
@@ -36,17 +42,28 @@ class Search:
 
     q: int = 10
     window: int = 100
-    step: int = 50
+    step: int = 25
     edit_percent: int = 6
-    block_chars: int = 1_000_000
+    slice: int = 2048
+    hot: int = 8
+    most_bits: int = 28
 
     def edits(self, m: int) -> int:
         return min(m * self.edit_percent // 100, max(0, (m - self.q) // self.q))
 
+    def need(self, m: int) -> int:
+        """How many q-grams a window of ``m`` characters shares at least with a text that holds it."""
+        return m - self.q + 1 - self.q * self.edits(m)
+
     @property
     def half_band(self) -> int:
         return 2 * self.edits(self.window) + 1
 
+    @property
+    def reach(self) -> int:
+        """No window within its budget spans more characters of a text."""
+        return self.window + self.edits(self.window)
+
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[128:] = np.arange(128, 256)
@@ -75,57 +92,6 @@ def _grams(text: np.ndarray, q: int) -> np.ndarray:
     return tb.span_hashes(sums, at, at + q)
 
 
-class Index:
-    """The q-grams of the windows of some benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]], s: Search):
-        hashes, window_of, place = [], [], []
-        self.item, self.size, self.text = [], [], []
-        self.windows_of: dict[int, int] = {}
-        for item, content in items:
-            raw = np.frombuffer((content or "").encode(), np.uint8)
-            text = fold(raw, np.array([0, len(raw)]))[0]
-            m = len(text)
-            if m < s.q:
-                continue
-            starts = [0] if m <= s.window else [*range(0, m - s.window, s.step), m - s.window]
-            self.windows_of[item] = self.windows_of.get(item, 0) + len(starts)
-            for at in starts:
-                part = text[at : at + s.window]
-                g = _grams(part, s.q)
-                hashes.append(g)
-                window_of.append(np.full(len(g), len(self.item)))
-                place.append(np.arange(len(g)))
-                self.item.append(item)
-                self.size.append(len(part))
-                self.text.append(part)
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.keys, first = np.unique(h[order], return_index=True)
-        self.first = np.append(first, len(h))
-        self.window = np.concatenate(window_of)[order] if hashes else np.zeros(0, int)
-        self.place = np.concatenate(place)[order] if hashes else np.zeros(0, int)
-        self.size = np.array(self.size, int)
-        self.need = np.array([m - s.q + 1 - s.q * s.edits(m) for m in self.size], int)
-        self.allowed = np.array([s.edits(m) for m in self.size], int)
-        self.bits = int(min(24, max(16, np.ceil(np.log2(len(self.keys) + 1)) + 4)))
-        self.filter = np.zeros(1 << self.bits, bool)
-        self.filter[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.patterns = np.zeros((len(self.text), s.window), np.uint8)
-        for i, part in enumerate(self.text):
-            self.patterns[i, : len(part)] = part
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text place, window and window place of every shared q-gram."""
-        maybe = np.flatnonzero(self.filter[(grams >> np.uint64(64 - self.bits)).astype(np.int64)])
-        at = np.searchsorted(self.keys, grams[maybe])
-        real = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == grams[maybe])
-        maybe, at = maybe[real], at[real]
-        n = self.first[at + 1] - self.first[at]
-        flat = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(maybe, n), self.window[flat], self.place[flat]
-
-
 def align(text: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray, patterns: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each pattern anywhere in its band of ``width`` diagonals from ``begin``, and where it ends.
 
@@ -150,70 +116,196 @@ def align(text: np.ndarray, low: np.ndarray, high: np.ndarray, begin: np.ndarray
     return best, end
 
 
-def search(data: np.ndarray, bounds: np.ndarray, index: Index, s: Search) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, item, windows found, least edits, begin, end in original bytes) of all leaks in some texts."""
-    text, edges, original = fold(data, bounds)
-    place, window, own = index.hits(_grams(text, s.q)) if len(index.keys) else (np.zeros(0, int),) * 3
-    if not len(place):
+def windows(folded: np.ndarray, s: Search) -> list[np.ndarray]:
+    """The windows of a folded item, the last one ending with it; none if it is shorter than a q-gram."""
+    m = len(folded)
+    if m < s.q:
         return []
-    doc = np.searchsorted(edges, place, "right") - 1
-    same = place + s.q <= edges[doc + 1]
-    place, window, own, doc = place[same], window[same], own[same], doc[same]
-    half = s.half_band
-    band = (place - own + s.window) // half
-    many = int(band.max(initial=0)) + 2
-    key = ((doc * len(index.item) + window) * many + band)
-    key, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)  # a band is two halves; they overlap
-    band, pair = key % many, key // many
-    window, doc = pair % len(index.item), pair // len(index.item)
-    keep = (n >= index.need[window]) & (band < many - 1)
-    band, window, doc = band[keep], window[keep], doc[keep]
-    if not len(band):
-        return []
-    slack = s.edits(s.window)
-    begin = band * half - s.window - slack
-    edits, end = align(text, edges[doc], edges[doc + 1], begin, index.patterns[window], index.size[window], 2 * half + 2 * slack + 1)
-    good = edits <= index.allowed[window]
-    found: dict[tuple[int, int], list] = {}
-    for d, w, x, e in zip(doc[good].tolist(), window[good].tolist(), edits[good].tolist(), end[good].tolist(), strict=True):
-        now = found.setdefault((d, index.item[w]), [set(), x, e, e])
-        now[0].add(w)
-        now[1], now[2], now[3] = min(now[1], x), min(now[2], e - int(index.size[w])), max(now[3], e)
+    return [folded[at : at + s.window] for at in ([0] if m <= s.window else [*range(0, m - s.window, s.step), m - s.window])]
+
+
+def _windows(s: Search):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, bounds in tb.chunks(batch.column(1)):
+                text, edges, _ = fold(data, bounds)
+                cut = [windows(text[b:e], s) for b, e in zip(edges, edges[1:], strict=False)]
+                ids = np.repeat(np.arange(lo, hi), [len(x) for x in cut])
+                yield pa.record_batch([batch.column(0).take(pa.array(ids)), pa.array([w.tobytes() for x in cut for w in x], pa.binary())], names=["item_id", "w"])
+
+    return run
+
+
+def _counted_grams(s: Search, bits=None):
+    """(id, gram, times) of the q-grams of each binary, all or those in the bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(raw, np.uint8)
+                g = _grams(fold(data, np.array([0, len(data)]))[0], s.q)
+                g = g if bits is None else g[_inside(bits.value[0], g) | _inside(bits.value[1], g)]
+                g, times = np.unique(g, return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(g), i)), pa.array(g.view(np.int64)), pa.array(times.astype(np.int32))], names=["id", "g", "times"])
+
+    return run
+
+
+def _inside(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Whether the bitmap, of 64-bit words, has the grams' leading bits."""
+    at = (grams >> np.uint64(64 - 6 - int(len(bits)).bit_length() + 1)).astype(np.int64)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
+def _bitmaps(grams: DataFrame, bits: int, s: Search) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps of 2^``bits`` bits of the grams of whole windows and of shorter ones, put together by Spark."""
+    place = F.shiftrightunsigned("g", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    words = grams.groupBy((F.col("m") < s.window).cast("int").alias("k"), F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    table = words.toPandas()  # at most 2^(bits - 5) rows
+    out = np.zeros((2, 1 << (bits - 6)), np.uint64)
+    out[table["k"].to_numpy(np.int64), table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64).view(np.uint64)
+    return out[0], out[1]
+
+
+def dense(place: np.ndarray, doc: np.ndarray, need: int, edges: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the stretches around ``need`` places of one text that fit in the reach of a window."""
+    k = max(need, 1) - 1
+    first, last = place[: len(place) - k], place[k:]
+    good = (last - first <= s.reach - s.q) & (doc[: len(place) - k] == doc[k:])
+    first, last, doc = first[good], last[good], doc[: len(place) - k][good]
+    return np.maximum(last + s.q - s.reach - 2, edges[doc]), np.minimum(first + s.reach + 2, edges[doc + 1])
+
+
+def stretches(text: np.ndarray, edges: np.ndarray, bits: tuple[np.ndarray, np.ndarray], need: tuple[int, int], s: Search) -> list[tuple[int, int]]:
+    """Slices of some folded texts that together hold every stretch with enough q-grams of the bitmaps (of whole windows, of shorter ones)."""
+    found: list[list[np.ndarray]] = [[], []]
+    block = 1 << 18
+    for at in range(0, max(1, len(text) - s.q + 1), block):
+        g = _grams(text[at : at + block + s.q - 1], s.q)
+        for k in (0, 1):
+            found[k].append(np.flatnonzero(_inside(bits[k], g)) + at)
+    begins, ends = [], []
+    for k in (0, 1):
+        place = np.concatenate(found[k])
+        doc = np.searchsorted(edges, place, "right") - 1
+        own = place + s.q <= edges[doc + 1]
+        b, e = dense(place[own], doc[own], need[k], edges, s)
+        begins.append(b)
+        ends.append(e)
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    order = np.lexsort((end, begin))
+    begin, end = begin[order], np.maximum.accumulate(end[order]) if len(order) else end
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] >= end[:-1]
+    begin, end = begin[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1] if len(end) else end
     out = []
-    for (d, item), (ws, x, lo, hi) in sorted(found.items()):
-        lo, hi = max(lo, int(edges[d])), min(hi, int(edges[d + 1]))
-        out.append((d, item, len(ws), x, int(original[lo] - bounds[d]), int(original[hi - 1] + 1 - bounds[d])))
+    for b, e in zip(begin.tolist(), end.tolist(), strict=True):
+        while True:
+            out.append((b, min(e, b + s.slice)))
+            if b + s.slice >= e:
+                break
+            b += s.slice - 2 * s.reach
     return out
 
 
-def _scan(shared, s: Search):
+def _scan(bits, need: tuple[int, int], s: Search):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            ids = batch.column(0)
             for lo, _, data, bounds in tb.chunks(batch.column(1)):
-                rows = search(data, bounds, index, s)
+                text, edges, original = fold(data, bounds)
+                parts = stretches(text, edges, bits.value, need, s)
+                if parts:
+                    begin = original[np.array([b for b, _ in parts])]
+                    end = original[np.array([e for _, e in parts]) - 1] + 1
+                    doc = np.searchsorted(bounds, begin, "right") - 1
+                    raw = [data[b:e].tobytes() for b, e in zip(begin, end, strict=True)]
+                    ends: dict[tuple[int, bytes], list[int]] = {}  # of equal slices of a text the first and the last say all
+                    for i, x in enumerate(zip(doc.tolist(), raw, strict=True)):
+                        ends.setdefault(x, [i, i])[1] = i
+                    kept = np.array(sorted({i for x in ends.values() for i in x}))
+                    yield pa.record_batch([batch.column(0).take(pa.array(lo + doc[kept])), pa.array((begin - bounds[doc])[kept]), pa.array([raw[i] for i in kept], pa.binary())], names=["doc_id", "base", "part"])
+
+    return run
+
+
+def verify(parts: list[bytes], patterns: list[bytes], s: Search) -> Iterator[tuple[int, int, int, int]]:
+    """(pair, edits, begin, end in bytes of the part) of each pair of a slice and a window that the slice holds."""
+    raw = [np.frombuffer(x, np.uint8) for x in parts]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    text, edges, original = fold(np.concatenate(raw), bounds)
+    half, rows, bands = s.half_band, [], []
+    for i, w in enumerate(patterns):
+        own = _grams(np.frombuffer(w, np.uint8), s.q)
+        order = np.argsort(own, kind="stable")
+        g = _grams(text[edges[i] : edges[i + 1]], s.q)
+        first, end = np.searchsorted(own[order], g, "left"), np.searchsorted(own[order], g, "right")
+        n = end - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        band = (np.repeat(np.arange(len(g)), n) - order[at] + s.window) // half
+        band, n = np.unique(np.concatenate([band, band - 1]), return_counts=True)  # a band is two halves; they overlap
+        band = band[(n >= s.need(len(w))) & (band >= 0)]
+        rows.append(np.full(len(band), i))
+        bands.append(band)
+    row, band = np.concatenate(rows), np.concatenate(bands)
+    if not len(row):
+        return
+    sizes = np.array([len(w) for w in patterns])
+    shown = np.zeros((len(patterns), s.window), np.uint8)
+    for i, w in enumerate(patterns):
+        shown[i, : len(w)] = np.frombuffer(w, np.uint8)
+    slack = s.edits(s.window)
+    edits, end = align(text, edges[row], edges[row + 1], edges[row] + band * half - s.window - slack, shown[row], sizes[row], 2 * half + 2 * slack + 1)
+    for i, x, e in zip(row.tolist(), edits.tolist(), end.tolist(), strict=True):
+        if x <= s.edits(int(sizes[i])):
+            lo = max(e - int(sizes[i]), int(edges[i]))
+            yield i, x, int(original[lo] - bounds[i]), int(original[min(e, int(edges[i + 1])) - 1] + 1 - bounds[i])
+
+
+def _verified(s: Search):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                rows = list(verify(part.column(3).to_pylist(), part.column(4).to_pylist(), s))
                 if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.record_batch(
-                        [ids.take(pa.array([lo + d for d in cols[0]])), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array([index.windows_of[i] for i in cols[1]], pa.int32()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int64())],
-                        names=["doc_id", "item_id", "windows", "item_windows", "edits", "begin", "end"],
-                    )
+                    i, edits, begin, end = (np.array(x) for x in zip(*rows, strict=True))
+                    base = part.column(1).to_numpy()[i]
+                    yield pa.record_batch([part.column(0).take(pa.array(i)), part.column(2).take(pa.array(i)), pa.array(edits.astype(np.int32)), pa.array(base + begin), pa.array(base + end)], names=["doc_id", "class", "edits", "begin", "end"])
 
     return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Search = Search()) -> DataFrame:
-    """One row per document and benchmark item of which it holds a window: how many windows, the least edits, the span in UTF-8 bytes of the lower-cased text."""
+    """One row per document and benchmark item of which it holds a window: how many windows, the item's windows, the least edits, the span in UTF-8 bytes of the lower-cased text."""
     spark = docs.sparkSession
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    chars = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-chars // s.block_chars)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
-    out = None
-    for k in range(max(1, blocks)):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, blocks))) == k).orderBy("item_id", "text")
-        index = Index([(r["item_id"], r["text"]) for r in part.collect()], s)
-        found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(index), s), FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
+    lower = F.lower(F.col("text").cast("string")).alias("text")
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), lower)
+    cut = settle(items.mapInArrow(_windows(s), "item_id long, w binary").groupBy("item_id", "w").agg(F.count("*").alias("times")))
+    classes = settle(cut.select("w").distinct().withColumn("class", F.monotonically_increasing_id()))
+    grams = settle(classes.select("class", "w").mapInArrow(_counted_grams(s), "class long, g long, times int").join(classes.select("class", F.octet_length("w").alias("m")), "class"))
+
+    # Shorter windows need fewer q-grams, so they have a bitmap of their own.
+    facts = grams.agg(F.count("*").alias("n"), F.min("m").alias("least")).first()
+    need = (s.need(s.window), min([s.window, *(s.need(m) for m in range(facts["least"] or s.window, s.window))]))
+    bits = int(min(s.most_bits, max(16, np.ceil(np.log2(facts["n"] + 1)) + 4)))
+    shared = spark.sparkContext.broadcast(_bitmaps(grams, bits, s))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower)
+    slices = settle(rows.mapInArrow(_scan(shared, need, s), "doc_id long, base long, part binary").withColumn("slice", F.monotonically_increasing_id()))
+
+    # Of each window as many of its common q-grams are left out as it can spare; the rest of its need is what is left.
+    common = grams.groupBy("g").agg(F.count("*").alias("f")).where(F.col("f") > s.hot)
+    spare = F.col("m") - s.q + 1 - s.q * F.least(F.floor(F.col("m") * s.edit_percent / 100), F.greatest(F.floor((F.col("m") - s.q) / s.q), F.lit(0)))
+    ranked = grams.join(common, "g", "left").withColumn("need", spare.cast("long"))
+    upto = F.sum("times").over(W.partitionBy("class").orderBy(F.desc_nulls_last("f"), "g"))
+    ranked = ranked.withColumn("out", F.col("f").isNotNull() & (upto < F.col("need")))
+    left = F.col("need") - F.coalesce(F.sum(F.when(F.col("out"), F.col("times"))).over(W.partitionBy("class")), F.lit(0))
+    index = ranked.withColumn("left", left).where("not out").select("g", "class", F.col("times").alias("most"), "left")
+    met = slices.select("slice", "part").mapInArrow(_counted_grams(s, shared), "slice long, g long, times int").join(index, "g")
+    pairs = met.groupBy("slice", "class", "left").agg(F.sum(F.least("times", "most")).alias("n")).where("n >= left").select("slice", "class")
+    found = pairs.join(slices, "slice").join(classes, "class").select("doc_id", "base", "class", "part", "w").mapInArrow(_verified(s), "doc_id long, class long, edits int, begin long, end long")
+    spans = [F.min("edits").alias("edits"), F.min("begin").alias("begin"), F.max("end").alias("end")]
+    found = found.groupBy("doc_id", "class").agg(*spans).join(cut.join(classes, "w").select("item_id", "class", "times"), "class")
+    found = found.groupBy("doc_id", "item_id").agg(F.sum("times").cast("int").alias("windows"), *spans)
+    of_item = cut.groupBy("item_id").agg(F.sum("times").cast("int").alias("item_windows"))
+    return found.join(of_item, "item_id").select("doc_id", "item_id", "windows", "item_windows", "edits", "begin", "end")
