@@ -162,16 +162,6 @@ def test_components_against_union_find(spark, seed):
     assert got == {x: c for x, c in label.items() if any(x in e for e in links if e[0] != e[1])}
 
 
-def test_line_chunks_removed_once(spark):
-    passage = "\n".join(prose(50 + k, 12) for k in range(14))
-    long = prose(99, 60)
-    rows = [(1, f"{prose(1, 9)}\n{passage}\n{prose(2, 9)}", "en", "a"), (2, f"{prose(3, 9)}\n{prose(4, 9)}\n{passage}\n{prose(5, 9)}", "en", "a"), (3, f"{prose(6, 9)}\n{long}", "en", "a"), (4, f"{long}\n{prose(7, 9)}", "en", "a"), (5, prose(8, 200), "en", "a")]
-    got = {r.doc_id: r for r in line_dedup.remove_repeated_chunks(table(spark, rows)).collect()}
-    assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[5].text == rows[4][1]
-    assert got[2].n_removed > 0 and got[2].removed_chars > len(passage) / 3
-    assert got[4].text == prose(7, 9)
-
-
 def repeated_lines_gone(rows):
     """The texts that remain, line by line: pairs of adjacent lines with words and lines of 50 words, seen before or not."""
     seen, out = set(), {}
@@ -194,7 +184,7 @@ def test_repeated_runs_go_whole(spark):
     passages = ["\n".join(prose(1000 * k + j, rng.randrange(27, 45)) for j in range(2 + k % 5)) for k in range(25)]
     rows = [(i, f"{prose(i, 9)}\n{prose(i + 500, 9)}\n{passages[i % 25]}\n{rng.choice(['', prose(i + 700, 8)])}\n{prose(i + 900, 9)}", "en", "a") for i in range(75)]
     rows += [(80, "x y\n" * 6, "en", "a"), (81, f"{prose(5, 60)}\n\nx y\n \nx y\n", "en", "a"), (82, f"new\n{prose(5, 60)}\nx y", "en", "a"), (83, "", "en", "a"), (84, passages[0], "en", "a")]
-    got = {r.doc_id: r for r in line_dedup.remove_repeated_lines(table(spark, rows)).collect()}
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_chunks(table(spark, rows)).collect()}
     texts = {r[0]: r[1] for r in rows}
     assert {i: r.text for i, r in got.items()} == repeated_lines_gone(rows)
     for i in range(25, 75):
@@ -206,9 +196,9 @@ def test_repeated_runs_go_whole(spark):
 def test_repeated_lines_of_repeated_ids_and_nulls(spark):
     a, b = prose(1, 30) + "\n" + prose(2, 30), prose(3, 5)
     rows = [(None, a, "en", "a"), (1, a + "\n" + b, "en", "a"), (1, b, "en", "a"), (2, None, None, None), (3, a, "en", "a"), (3, a, "en", "a")]
-    got = sorted((r.doc_id or 0, r.text, r.n_removed) for r in line_dedup.remove_repeated_lines(table(spark, rows)).where("text is not null").collect())
+    got = sorted((r.doc_id or 0, r.text, r.n_removed) for r in line_dedup.remove_repeated_chunks(table(spark, rows)).where("text is not null").collect())
     assert got == sorted([(0, a, 0), (1, b, 2), (1, b, 0), (3, "", 2), (3, "", 2)])
-    assert line_dedup.remove_repeated_lines(table(spark, rows)).count() == 6 and line_dedup.remove_repeated_lines(table(spark, rows).limit(0)).count() == 0
+    assert line_dedup.remove_repeated_chunks(table(spark, rows)).count() == 6 and line_dedup.remove_repeated_chunks(table(spark, rows).limit(0)).count() == 0
 
 
 def test_pipeline_drops_short_repeated_runs(spark, sf_dir):
@@ -220,10 +210,33 @@ def test_pipeline_drops_short_repeated_runs(spark, sf_dir):
     assert all(runs[i] in out[i] and not set(runs[i].split("\n")) & set(out[i + 8].split("\n")) for i in range(8))
 
 
-def test_chunks_join_to_the_text(spark):
-    df = spark.createDataFrame([("a\n\nb\n",), ("",), ("\n",), (prose(1, 70) + "\nx\ny",)], "text string")
-    out = df.select("text", F.array_join(line_dedup.chunk_texts(F.col("text"), line_dedup.Chunking())["text"], "\n").alias("again"))
-    assert all(r.text == r.again for r in out.collect())
+@pytest.mark.parametrize("divisor", [1, 2, 4])
+def test_long_passages_and_runs_of_one_line(spark, divisor):
+    """Passages of 40 lines: all lines go with divisor 1, most with larger ones; of a run of one line the first stays."""
+    rows = [(2 * k + side, "\n".join([prose(70000 + 100 * k + 10 * side + j, 9) for j in range(10)] + [prose(50 * k + j, 9) for j in range(40)] + [prose(90000 + 100 * k + 10 * side + j, 9) for j in range(10)]), "en", "a") for k in range(20) for side in (0, 1)]
+    rows += [(1000, "\n".join(["the same line"] * 1000), "en", "a"), (1001, "own words first\nthe same line\nthe same line", "en", "a")]
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_chunks(table(spark, rows), line_dedup.Chunking(divisor=divisor)).collect()}
+    left = [len(set(rows[i - 1][1].split("\n")) & set(got[i].text.split("\n"))) for i in range(1, 40, 2)]
+    assert all(got[i].text == rows[i][1] for i in range(0, 40, 2)) and all(got[i].n_removed == 40 - x for i, x in zip(range(1, 40, 2), left, strict=True))
+    assert sum(left) == 0 if divisor == 1 else sum(left) / 800 < 0.25
+    if divisor == 1:
+        assert got[1000].text == "the same line" and got[1001].text == "own words first"
+
+
+def test_texts_that_share_a_hash(spark, monkeypatch):
+    """Chunks are told apart by their texts if hashes don't: here all chunks of a length share one."""
+    rows = [(i, f"{prose(i, 3)}\n{prose(30 + i % 4, 30)}\n{prose(60 + i % 4, 30)}", "en", "a") for i in range(12)]
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.length(c[-1]).cast("long"))
+    monkeypatch.setattr(line_dedup.F, "hash", lambda c: F.lit(0))
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_chunks(table(spark, rows)).collect()}
+    assert got == repeated_lines_gone(rows)
+
+
+def test_decisions_by_shuffle_agree(spark, monkeypatch):
+    rows = [(i, f"{prose(i, 9)}\n{prose(300 + i % 5, 28)}\n{prose(400 + i % 5, 28)}", "en", "a") for i in range(20)]
+    monkeypatch.setattr(line_dedup, "is_small", lambda ids: False)
+    out = line_dedup.remove_repeated_chunks(table(spark, rows))
+    assert {r.doc_id: r.text for r in out.collect()} == repeated_lines_gone(rows) and "n_chars" in out.columns
 
 
 CONVERSATION = [(1, 0, "user", r"\### Assistant: </turn> ok"), (1, 1, "assistant", "a\\e\\\\b </turn>\n### user:\n"), (1, 2, None, None), (2, 0, "odd:\nrole", "### "), (2, 0, "odd:\nrole", "### "), (3, None, "assistant", ""), (None, 1, "assistant", "plain")]

@@ -1,20 +1,25 @@
-"""Line dedup by content-defined line chunks or by adjacent lines, in DataFrame operations only.
+"""Line dedup by content-defined line chunks, in DataFrame operations only.
 
-A text's lines are grouped to chunks. Their boundaries depend on content alone: a chunk ends after a line
-where the rolling hash of the line hashes in a window of ``window`` lines is 0 modulo ``divisor``, and a line
-of at least ``long_words`` words is a chunk of its own. So the same run of lines is cut alike wherever it
-stands, and lines put in or taken out elsewhere don't shift its boundaries.
+Boundaries depend on content alone: a line with words ends a chunk if the rolling hash of the hashes of the last ``window`` lines
+with words is 0 modulo ``divisor``, or if it is the last one. A chunk begins at every line with words and goes on to the next boundary after it, so it holds
+two lines with words at least; a line of ``long_words`` words is a chunk by itself besides. The same run of lines is cut alike wherever it
+stands, and lines put in or taken out elsewhere don't shift its boundaries. The chunks of a run overlap: all that repeat together make up the run.
 
-Chunks of two or more lines with words, or of one long line, are compared over all documents: first by
-hash counts, then those whose hash repeats byte by byte, as groups of equal text. All but the
-first of a group (least doc_id, then place) are removed from their documents.
+With ``divisor`` 1 every line is a boundary, and every run of two or more lines with words that stands elsewhere is found whole, however
+short. Larger divisors compare fewer, longer chunks and leave what lies behind a run's last boundary.
+
+Chunks are compared over all documents: first by counts of their 96-bit hashes, then those whose hash repeats byte by byte.
+A line goes if it lies in a chunk of which an equal one stands before it, by doc_id and place; so the first of equal lines always stays,
+and of a run of one line the first alone stays.
 
 Defined results: a null text stays null; nothing is removed from a text without a repeated chunk; rows that
-repeat a doc_id count as the same document, of which each keeps its first chunk; if different texts share
-a hash of 128 bits, neither is removed; a null doc_id is a document that comes first; other columns
-pass through, but for those of the result's names;
-an empty table gives no rows. Hot chunks are counted by partial sums; hashes that repeat
-are broadcast to the chunks' texts only if they are few, else joined under AQE's skew handling.
+repeat a doc_id count as the same document, of which each keeps its first chunk; chunks of different texts that share
+a hash are told apart by their texts; a null doc_id is a document that comes first; other columns
+pass through, but for those of the result's names; an empty table gives no rows.
+
+Hot chunks are counted by partial sums. Only texts that hold a repeated chunk are shuffled, once: the ids of the others are
+known without them. While the ids fit a broadcast of bounded size, the rest of the texts pass by; beyond it all texts meet the decisions
+in one shuffle join.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnower.llm.quality_rules import bound
-from winnower.llm.shared import few, settle
+from winnower.llm.shared import is_small, settle
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -33,129 +38,89 @@ SPACES = r"[\x20\x09-\x0D]+"
 @dataclass(frozen=True)
 class Chunking:
     window: int = 2
-    divisor: int = 4
+    divisor: int = 1
     long_words: int = 50
-    min_lines: int = 2
-
-
-def line_hash(line: Column) -> Column:
-    """32 bits of the line's md5."""
-    return F.conv(F.left(F.md5(line), F.lit(8)), 16, 10).cast("long")
 
 
 def _n_words(line: Column) -> Column:
     return F.size(F.array_remove(F.split(line, SPACES), ""))
 
 
-def chunk_texts(text: Column, c: Chunking) -> Column:
-    """array<struct<text, lines, words>>: the chunks in order; joined by newlines they are the text again."""
-
-    def cut(lines: Column) -> Column:
-        marks = F.transform(lines, lambda x: F.struct(line_hash(x).alias("h"), _n_words(x).alias("n")))
-
-        def ends(m: Column) -> Column:
-            def last(x: Column, i: Column) -> Column:
-                rolled = x["h"]
-                for back in range(1, c.window):
-                    rolled = rolled * 31 + F.coalesce(F.get(m, i - back)["h"], F.lit(0))
-                long = (x["n"] >= c.long_words) | F.coalesce(F.get(m, i + 1)["n"] >= c.long_words, F.lit(False))
-                return F.when((rolled % c.divisor == 0) | long | (i + 1 == F.size(m)), i + 1)
-
-            return F.filter(F.transform(m, last), lambda x: x.isNotNull())
-
-        def pieces(m: Column) -> Column:
-            def parts(e: Column) -> Column:
-                def piece(x: Column, k: Column) -> Column:
-                    start = F.coalesce(F.get(e, k - 1), F.lit(0))
-                    own = F.slice(m, start + 1, x - start)
-                    return F.struct(F.array_join(F.slice(lines, start + 1, x - start), "\n").alias("text"), F.size(F.filter(own, lambda y: y["n"] > 0)).alias("lines"), F.aggregate(own, F.lit(0), lambda s, y: s + y["n"]).alias("words"))
-
-                return F.transform(e, piece)
-
-            return bound(ends(m), parts)
-
-        return bound(marks, pieces)
-
-    return bound(F.split(text, "\n", -1), cut)
+def line_chunks(text: Column, c: Chunking = Chunking()) -> Column:
+    """array<struct<text, begin, end>>: the chunks with the numbers of their first and last line."""
 
+    def chunks(lines: Column) -> Column:
+        marked = F.transform(lines, lambda x, i: F.struct(i.alias("i"), _n_words(x).alias("n"), *([F.xxhash64(x).alias("h")] if c.divisor > 1 else [])))
+        run = lambda a, b: F.struct(F.array_join(F.slice(lines, a + 1, b - a + 1), "\n").alias("text"), a.alias("begin"), b.alias("end"))
 
-def _chunks(docs: DataFrame, c: Chunking) -> DataFrame:
-    """One row per chunk that may be removed: doc_id, place, hash, text and the order over all chunks."""
-    each = docs.where("text is not null").select("doc_id", F.posexplode(chunk_texts(F.col("text"), c)).alias("place", "chunk"))
-    each = each.where((F.col("chunk.lines") >= c.min_lines) | (F.col("chunk.words") >= c.long_words))
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(12,0)") + F.col("place")
-    text = F.col("chunk.text")
-    return each.select("doc_id", "place", F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.length(text).alias("h3"), text.alias("chunk"), order.cast("decimal(38,0)").alias("ord"))
-
-
-def remove_repeated_chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
-    """``docs`` (doc_id, text) with repeated chunks taken out of the text, and n_removed and removed_chars."""
-    rest = [x for x in docs.columns if x not in ("doc_id", "text", "n_removed", "removed_chars")]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
-    key = ["h1", "h2", "h3"]
-    places = settle(_chunks(docs, c).select("doc_id", "place", *key, "ord"))
-    repeated = settle(places.groupBy(*key).agg(F.count("*").alias("n"), F.min("ord").alias("first")).where("n > 1").select(*key, "first"))
-    # Byte by byte: groups of equal text among the chunks whose hash repeats.
-    equal = _chunks(docs, c).select(*key, "chunk").join(few(repeated.select(*key)), key, "left_semi").groupBy(*key, "chunk").agg(F.count("*").alias("n"))
-    sure = equal.groupBy(*key).agg(F.count("*").alias("texts")).where("texts = 1").select(*key)
-    gone = places.join(repeated.join(sure, key), key).where("ord <> first").select("doc_id", "place", *key)
-    per_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("place", *key)).alias("gone"))
-    joined = docs.join(per_doc.withColumnRenamed("doc_id", "d"), F.col("doc_id").eqNullSafe(F.col("d")), "left").withColumn("chunks", F.when(F.col("gone").isNotNull(), chunk_texts(F.col("text"), c)))
-    here = lambda x, i: F.array_contains(F.col("gone"), F.struct(i.alias("place"), F.xxhash64(x["text"]).alias("h1"), F.hash(x["text"]).alias("h2"), F.length(x["text"]).alias("h3")))
-    left = joined.withColumn("left", F.filter("chunks", lambda x, i: ~here(x, i)))
-    text = F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join(F.col("left.text"), "\n"))
-    counted = {"n_removed": F.coalesce(F.size("chunks") - F.size("left"), F.lit(0)).cast("long"), "removed_chars": F.coalesce(F.length("text") - F.length(text), F.lit(0)).cast("long")}
-    return left.select("doc_id", text.alias("text"), *(F.col("_rest")[x].alias(x) for x in rest), *(v.alias(k) for k, v in counted.items()))
-
-
-def line_pieces(text: Column, long_words: int) -> Column:
-    """array<struct<text, begin, end>>: each line with words up to the next one with words, and each line of ``long_words`` by itself."""
-
-    def pieces(lines: Column) -> Column:
-        worded = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), _n_words(x).alias("n"))), lambda x: x["n"] > 0)
+        def rolled(w: Column, k: Column) -> Column:
+            value = F.get(w, k)["h"].cast("decimal(38,0)")
+            for back in range(1, c.window):
+                value = F.pmod(value * 31 + F.coalesce(F.get(w, k - back)["h"], F.lit(0)), F.lit(2**61 - 1).cast("decimal(20,0)"))
+            return F.pmod(value, F.lit(c.divisor)) == 0
 
         def cut(w: Column) -> Column:
-            def own(x: Column, k: Column) -> Column:
-                end = F.get(w, k + 1)["i"]
-                run = lambda j: F.struct(F.array_join(F.slice(lines, x["i"] + 1, j - x["i"] + 1), "\n").alias("text"), x["i"].alias("begin"), j.alias("end"))
-                return F.array(F.when(x["n"] >= long_words, run(x["i"])), F.when(end.isNotNull(), run(end)))
+            last = F.size(w) - 1
+            places = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: (k <= last) & ((k == last) | rolled(w, k)) if c.divisor > 1 else k <= last)
 
-            return F.filter(F.flatten(F.transform(w, own)), lambda x: x.isNotNull())
+            def ending(b: Column) -> Column:
+                """For each boundary the chunks that begin at the lines from the boundary before it on."""
+                starts = lambda e, j: F.sequence(F.coalesce(F.get(b, j - 1), F.lit(0)), e - 1)
+                return F.flatten(F.transform(b, lambda e, j: F.transform(starts(e, j), lambda k: run(F.get(w, k)["i"], F.get(w, e)["i"]))))
 
-        return bound(worded, cut)
+            long = F.transform(F.filter(w, lambda x: x["n"] >= c.long_words), lambda x: run(x["i"], x["i"]))
+            return F.concat(long, bound(places, ending))
 
-    return bound(F.split(text, "\n", -1), pieces)
+        return bound(F.filter(marked, lambda x: x["n"] > 0), cut)
 
+    return bound(F.split(text, "\n", -1), chunks)
 
-def _pieces(docs: DataFrame, long_words: int) -> DataFrame:
-    """One row per piece: document, row (the text's hash), lines, hash, text and the order over all pieces."""
-    row = F.xxhash64("text")
-    each = docs.where("text is not null").select("doc_id", row.alias("row"), F.explode(line_pieces(F.col("text"), long_words)).alias("piece"))
-    text, begin = F.col("piece.text"), F.col("piece.begin")
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(12,0)") + begin
-    return each.select("doc_id", "row", begin.alias("begin"), F.col("piece.end").alias("end"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.length(text).alias("h3"), text.alias("piece"), order.cast("decimal(38,0)").alias("ord"))
 
+def _places(docs: DataFrame, c: Chunking) -> DataFrame:
+    """One row per chunk: document, row (a hash of it), lines, hash, and the order over all chunks."""
+    each = docs.where("text is not null").select("doc_id", "_row", F.explode(line_chunks(F.col("text"), c)).alias("chunk"))
+    text, begin = F.col("chunk.text"), F.col("chunk.begin")
+    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(20,0)") * F.lit(2**31).cast("decimal(12,0)") + begin
+    return each.select("doc_id", "_row", begin.alias("begin"), F.col("chunk.end").alias("end"), F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), order.cast("decimal(38,0)").alias("ord"))
 
-def remove_repeated_lines(docs: DataFrame, long_words: int = 50) -> DataFrame:
-    """``docs`` (doc_id, text) without any run of two or more lines with words, or line of ``long_words``, that stands before, and n_removed (lines) and removed_chars.
 
-    No cut can part a run: every pair of adjacent lines with words is compared, and pairs that repeat overlap
-    to the whole run. A line goes only if an equal line stands before it, so that the first of equal lines always stays.
-    Apart from that, results are as defined above.
-    """
+def remove_repeated_chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
+    """``docs`` (doc_id, text) without the lines of chunks that stand before, and n_removed (lines) and removed_chars."""
     rest = [x for x in docs.columns if x not in ("doc_id", "text", "n_removed", "removed_chars")]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
-    key = ["h1", "h2", "h3"]
-    places = settle(_pieces(docs, long_words).select("doc_id", "row", "begin", "end", *key, "ord"))
+    docs = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    key, row = ["h1", "h2"], ["doc_id", "_row"]
+    places = settle(_places(docs, c))
     repeated = settle(places.groupBy(*key).agg(F.count("*").alias("n"), F.min("ord").alias("first")).where("n > 1").select(*key, "first"))
-    # Byte by byte: groups of equal text among the pieces whose hash repeats.
-    equal = _pieces(docs, long_words).select(*key, "piece").join(few(repeated.select(*key)), key, "left_semi").groupBy(*key, "piece").agg(F.count("*").alias("n"))
-    sure = equal.groupBy(*key).agg(F.count("*").alias("texts")).where("texts = 1").select(*key)
-    gone = places.join(repeated.join(sure, key), key).where("ord <> first").select("doc_id", "row", F.explode(F.sequence("begin", "end")).alias("line"))
-    per_row = gone.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_set("line").alias("gone"))
-    joined = docs.join(per_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("r")), "left")
-    keep = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")), lambda i: F.get(lines, i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(bound(F.split("text", "\n", -1), keep), "\n"))
-    left = joined.withColumn("left", text)
-    counted = {"n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"), "removed_chars": F.coalesce(F.length("text") - F.length("left"), F.lit(0)).cast("long")}
-    return left.select("doc_id", F.col("left").alias("text"), *(F.col("_rest")[x].alias(x) for x in rest), *(F.when(F.col("gone").isNull(), 0).otherwise(v).cast("long").alias(k) for k, v in counted.items()))
+    piece = F.struct("begin", "end", *key, "ord", (F.col("ord") != F.col("first")).alias("gone"))
+    met = settle(places.join(repeated, key).groupBy(*row).agg(F.collect_set(piece).alias("pieces")).select(F.col("doc_id").alias("d"), F.col("_row").alias("r"), "pieces"))
+    ids = settle(met.select(F.col("r").alias("i")).distinct())
+    small = is_small(ids)
+    here = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_row") == F.col("r"))
+    some = docs.join(F.broadcast(ids), F.col("_row") == F.col("i"), "left_semi") if small else docs
+    some = settle(some.join(met, here, "left").drop("d", "r"))
+
+    # Byte by byte: of the chunks whose hash repeats, those that share it with another text.
+    text_of = lambda lines: F.transform("pieces", lambda p: F.struct(p.alias("p"), F.array_join(F.slice(lines, p["begin"] + 1, p["end"] - p["begin"] + 1), "\n").alias("text")))
+    texts = some.where("pieces is not null").select(*row, F.explode(bound(F.split("text", "\n", -1), text_of)).alias("x"))
+    texts = texts.select(*row, "x.p.*", "x.text")
+    unsure = settle(texts.groupBy(*key, "text").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+    gone = F.filter("pieces", lambda p: p["gone"])
+    if unsure.take(1):  # these go if an equal text stands before
+        doubtful = texts.join(unsure, key)
+        first = doubtful.groupBy(*key, "text").agg(F.min("ord").alias("least"))
+        judged = doubtful.join(first, [*key, "text"]).groupBy(F.col("doc_id").alias("d"), F.col("_row").alias("r"))
+        judged = judged.agg(F.collect_set(F.struct("begin", "end")).alias("all"), F.collect_set(F.when(F.col("ord") != F.col("least"), F.struct("begin", "end"))).alias("sure"))
+        some = some.join(judged, here, "left")
+        of = lambda p: F.struct(p["begin"].alias("begin"), p["end"].alias("end"))
+        gone = F.filter("pieces", lambda p: F.when(F.coalesce(F.array_contains("all", of(p)), F.lit(False)), F.array_contains("sure", of(p))).otherwise(p["gone"]))
+    lost = F.array_distinct(F.flatten(F.transform(gone, lambda p: F.sequence(p["begin"], p["end"]))))
+    keep = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost")), lambda i: F.get(lines, i))
+    some = some.withColumn("lost", lost).withColumn("left", F.when(F.size("lost") > 0, F.array_join(bound(F.split("text", "\n", -1), keep), "\n")).otherwise(F.col("text")))
+    removed = [F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.length("text") - F.length("left"), F.lit(0)).cast("long").alias("removed_chars")]
+    columns = ["doc_id", F.col("left").alias("text"), *(F.col("_rest")[x].alias(x) for x in rest)]
+    out = some.select(*columns, *removed)
+    if small:
+        same = docs.join(F.broadcast(ids), F.col("_row") == F.col("i"), "left_anti").withColumn("left", F.col("text"))
+        out = out.unionByName(same.select(*columns, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("removed_chars")))
+    return out

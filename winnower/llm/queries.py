@@ -136,15 +136,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l),
-e AS (
-  SELECT *, CASE WHEN (h * 31 + coalesce(lag(h) OVER w, 0)) % 4 = 0 OR n >= 50 OR coalesce(lead(n) OVER w, 50) >= 50 THEN 1 ELSE 0 END AS ends
-  FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-p AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e),
-c AS (SELECT doc_id, place, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) FILTER (WHERE n > 0) AS lines, sum(n) AS words FROM p GROUP BY doc_id, place),
-r AS (SELECT *, (lines >= 2 OR words >= 50) AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM c),
-o AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text, count(*) FILTER (WHERE gone) AS n_removed FROM r GROUP BY doc_id)
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+w AS (SELECT * FROM (SELECT doc_id, i, len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l) WHERE n > 0),
+p AS (
+  SELECT * FROM (SELECT doc_id, i AS b, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM w) WHERE e IS NOT NULL
+  UNION ALL SELECT doc_id, i, i FROM w WHERE n >= 50),
+c AS (SELECT doc_id, b, e, array_to_string(string_split(text, chr(10))[b:e], chr(10)) AS chunk FROM p JOIN documents USING (doc_id)),
+r AS (SELECT doc_id, b, e FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, b) AS k FROM c) WHERE k > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(b, e + 1)) AS i FROM r),
+o AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text, count(g.i) AS n_removed FROM l LEFT JOIN g USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, o.text, coalesce(o.n_removed, 0)::BIGINT AS n_removed, coalesce(length(d.text) - length(o.text), 0)::BIGINT AS removed_chars FROM documents d LEFT JOIN o USING (doc_id)
 """
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from winnower.functions.durable import checkpoint_root, settle
 
-__all__ = ["checkpoint_root", "crc_remainder", "few", "pick", "read", "settle", "shared_path"]
+__all__ = ["checkpoint_root", "crc_remainder", "few", "is_small", "pick", "read", "settle", "shared_path"]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -27,9 +27,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def is_small(keys: DataFrame, most_bytes: int = 16 << 20) -> bool:
+    """Whether written-out keys of a few numbers each were counted and take at most so many bytes as a broadcast."""
+    return keys.count() * 16 * (1 + len(keys.columns)) <= most_bytes
+
+
 def few(keys: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
-    """Written-out keys of a few numbers each, marked for broadcast if they were counted and take at most so many bytes there."""
-    return F.broadcast(keys) if keys.count() * 16 * (1 + len(keys.columns)) <= most_bytes else keys
+    """Written-out keys, marked for broadcast if they are small."""
+    return F.broadcast(keys) if is_small(keys, most_bytes) else keys
 
 
 def pick(docs: DataFrame, ids: DataFrame, how: str = "left_semi", most_bytes: int = 16 << 20) -> DataFrame:
