@@ -320,6 +320,14 @@ def test_leaks_in_very_long_texts_and_common_items(spark):
     assert not any(d == 1 and k != 1000 for d, k in got)
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 30, 31, 32, 40])
+def test_stretches_of_few_places(n):
+    s = decontaminate.Search()
+    place, doc, edges = np.arange(n) * 2, np.zeros(n, int), np.array([0, 200])
+    begin, end = decontaminate.dense(place, doc, s.need(100), edges, s)
+    assert len(begin) == max(0, n - s.need(100) + 1) and all(b <= 2 * k and e >= 2 * k + s.q for k, (b, e) in enumerate(zip(begin, end, strict=True)))
+
+
 def test_leaks_of_repeated_rows_and_nulls(spark):
     item = prose(200, 25)
     rows = [(1, item, None, None), (1, item + " " + prose(3, 5), None, None), (None, item, None, None), (2, None, None, None)]

@@ -171,9 +171,10 @@ def _bitmaps(grams: DataFrame, bits: int, s: Search) -> tuple[np.ndarray, np.nda
 def dense(place: np.ndarray, doc: np.ndarray, need: int, edges: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the stretches around ``need`` places of one text that fit in the reach of a window."""
     k = max(need, 1) - 1
-    first, last = place[: len(place) - k], place[k:]
-    good = (last - first <= s.reach - s.q) & (doc[: len(place) - k] == doc[k:])
-    first, last, doc = first[good], last[good], doc[: len(place) - k][good]
+    n = max(0, len(place) - k)
+    first, last = place[:n], place[k:]
+    good = (last - first <= s.reach - s.q) & (doc[:n] == doc[k:])
+    first, last, doc = first[good], last[good], doc[:n][good]
     return np.maximum(last + s.q - s.reach - 2, edges[doc]), np.minimum(first + s.reach + 2, edges[doc + 1])
 
 
