@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 import struct
 import zlib
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from winnower.functions import rules, scores
 from winnower.operators import aggregates, lifecycle, results, similarity, windows
 from winnower.sources import files, raster
+from winnower.streaming import streams
 
 
 def write_png(path, rgb: np.ndarray) -> None:
@@ -211,3 +213,64 @@ def test_a_large_folder_takes_many_tasks(spark):
         want |= {i: folder if len(own) <= 40 else f"{folder}_batch_{k // 40 + 1:03d}" for k, (_, i) in enumerate(own)}
     assert {r.item_id: r.folder for r in out.collect()} == want and "_part" not in out.columns
     assert "windowspecdefinition(source_folder" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_session_state_ends(spark, tmp_path):
+    """State goes when a session completes and a day of event time after its last event; a session that goes on begins anew."""
+    schema = "session_id long, event_id long, ts timestamp, event_type string, decision string"
+    at = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    parts = [[(1, 1, at(0), "view", "approved"), (1, 2, at(1), "complete", "none"), (2, 3, at(0), "view", "none")], [(1, 4, at(2), "view", "approved"), (3, 5, at(3000), "complete", "none")], [(2, 6, at(3001), "complete", "none"), (1, 7, at(3002), "complete", "none")]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    for name, make in (("done", streams.completion_stream), ("progress", streams.progress_stream), ("marks", streams.checkpoint_stream)):
+        mode = "update" if name == "progress" else "append"
+        for k in range(len(parts)):  # a run for each part, with the state of the one before
+            events = spark.readStream.schema(schema).parquet(str(tmp_path / f"in/[0-{k}]"))
+            streams.write_batches(make(events), str(tmp_path / f"{name}/out"), str(tmp_path / f"{name}/state"), mode)
+        state = spark.read.format("statestore").load(str(tmp_path / f"{name}/state"))
+        assert state.count() == 0, (name, state.collect())
+    done = spark.read.parquet(str(tmp_path / "done/out")).collect()
+    assert sorted((r.session_id, r.event_id, r.processed, r.approved) for r in done) == [(1, 2, 2, 1), (1, 7, 1, 0), (2, 6, 1, 0), (3, 5, 1, 0)]
+
+
+def test_stale_stream(spark, tmp_path):
+    schema = "session_id long, event_id long, ts timestamp, event_type string, decision string"
+    at = lambda minutes: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)
+    rows = [(1, 1, at(0), "view", None), (1, 2, at(3), "view", None), (2, 3, at(0), "complete", None), (3, 4, at(9), "view", None), (4, 5, at(1), "view", None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    streams.write_batches(streams.stale_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.session_id, r.event_id, r.last_seen) for r in got) == [(1, 2, at(3)), (4, 5, at(1))]
+
+
+def test_hash_pairs_against_all_pairs(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("0123456789abcdef") for _ in range(16)) for _ in range(12)]
+
+    def near(h: str) -> str:
+        digits = list(h)
+        for _ in range(rng.randrange(8)):
+            digits[rng.randrange(16)] = rng.choice("0123456789abcdef")
+        return "".join(digits)
+
+    rows = [(i, *(near(rng.choice(base)) for _ in range(3))) for i in range(120)]
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and (d := min(sum(x != y for x, y in zip(p, q, strict=True)) for p, q in zip(a[1:], b[1:], strict=True))) <= 5:
+                want[a[0], b[0]] = d
+    got = similarity.hash_pairs(spark.createDataFrame(rows, "item_id long, phash string, dhash string, ahash string")).collect()
+    assert {(r.a, r.b): r.distance for r in got} == want and len(want) > 100
+
+
+def test_score_statistics_of_odd_tables(spark):
+    import numpy as np
+
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 0.5, rng.random()]), 1.0 if i < 3 else None) for i in range(101)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = {r.score: r for r in aggregates.score_statistics(df, ["a", "b"]).collect()}
+    for k, name in enumerate("ab"):
+        x = [r[k] for r in rows if r[k] is not None]
+        assert np.allclose([got[name].q25, got[name].median, got[name].q75, got[name].mean, got[name]["std"]], [*np.percentile(x, [25, 50, 75]), np.mean(x), np.std(x, ddof=1)])
+    assert aggregates.score_statistics(df.limit(0), ["a"]).count() == 0

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from winnower.functions.durable import settle
 from winnower.functions.exprs import present, ratio
+from winnower.operators.windows import global_rank
 
 
 def _is(decision: str) -> Column:
@@ -231,7 +233,18 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def score_statistics(decisions: DataFrame, scores: Sequence[str]) -> DataFrame:
-    """Per score column mean, median, sample deviation, extremes and quartiles; no rows for empty input."""
-    each = decisions.select(F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).alias("x")) for s in scores))).alias("y")).select("y.*")
-    q = lambda p: F.percentile("x", F.lit(p))
-    return each.groupBy("score").agg(F.avg("x").alias("mean"), q(0.5).alias("median"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), q(0.25).alias("q25"), q(0.75).alias("q75"))
+    """Per score column mean, median, sample deviation, extremes and quartiles; no rows for empty input.
+
+    Quantiles are exact: values are ranked over sorted ranges, and the two that a quantile lies between are picked by rank.
+    """
+    each = decisions.select(F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("x")) for s in scores))).alias("y")).select("y.*").where("x is not null")
+    ranked = settle(global_rank(each.withColumn("_tie", F.monotonically_increasing_id()), ("score", "x", "_tie"), "_k"))
+    stats = ranked.groupBy("score").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.min("_k").alias("_first"), F.count("*").alias("_n"))
+    names = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    at = lambda p: (F.col("_n") - 1) * p
+    part = lambda q, k, w: F.struct(F.lit(q).alias("q"), (F.col("_first") + k).cast("long").alias("_at"), w.alias("w"))
+    parts = [x for q, p in names.items() for x in (part(q, F.floor(at(p)), 1 - (at(p) - F.floor(at(p)))), part(q, F.floor(at(p)) + 1, at(p) - F.floor(at(p))))]
+    needed = stats.select(F.col("score").alias("s"), F.explode(F.array(*parts)).alias("p")).select("s", "p.*")  # six rows a score
+    own = ranked.join(F.broadcast(needed), (F.col("score") == F.col("s")) & (F.col("_k") == F.col("_at")))
+    quantiles = own.groupBy("score").agg(*(F.sum(F.when(F.col("q") == q, F.col("x") * F.col("w"))).alias(q) for q in names))
+    return stats.join(quantiles, "score").select("score", "mean", "median", "std", "min", "max", "q25", "q75")

@@ -6,6 +6,7 @@ from rounds of joins that end when nothing changes.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from winnower.functions.durable import settle
 from winnower.functions.exprs import col
+from winnower.operators import components
 
 #: Thresholds of the presets.
 PRESETS = {
@@ -62,22 +64,26 @@ def fuse(clip, visual, w: float = 0.7) -> Column:
     return F.concat(F.transform(l2_normalize(clip), lambda x: x * w), F.transform(l2_normalize(visual), lambda x: x * (1 - w)))
 
 
-def hash_pairs(hashes: DataFrame, t: int = 5, kinds: tuple[str, ...] = ("phash", "dhash", "ahash"), length: int = 16) -> DataFrame:
+def hash_pairs(hashes: DataFrame, t: int = 5, kinds: tuple[str, ...] = ("phash", "dhash", "ahash"), length: int = 16, equal: int = 3) -> DataFrame:
     """(a, b, distance): pairs of which some hash differs in at most t digits, with the least distance.
 
-    A hash is cut into t + 1 pieces; at most t differing digits leave one piece equal. Items of equal hashes are one
+    A hash is cut into t + ``equal`` pieces; at most t differing digits leave ``equal`` pieces alike. So every choice of that many
+    pieces is a key: 56 keys of six digits each at five of sixteen digits, of which one in 16.7 million agrees by chance. Items of equal hashes are one
     class first, so that large groups of copies don't multiply; pairs inside a class are given as links to its
     least item, at distance 0.
     """
     table = settle(hashes.groupBy(*kinds).agg(F.min("item_id").alias("node")))
-    cuts = [round(i * length / (t + 1)) for i in range(t + 2)]
-    piece = lambda kind, i: F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("band"), F.substring(kind, cuts[i] + 1, cuts[i + 1] - cuts[i]).alias("piece"))
-    bands = table.select("node", *kinds, F.explode(F.array(*(piece(k, i) for k in kinds for i in range(t + 1)))).alias("x")).select("node", *kinds, "x.*")
-    right = bands.select("kind", "band", "piece", F.col("node").alias("b"), *(F.col(k).alias(f"{k}_b") for k in kinds))
-    near = F.least(*(hash_distance(k, f"{k}_b") for k in kinds))
-    joined = bands.withColumnRenamed("node", "a").join(right, ["kind", "band", "piece"]).where("a < b").select("a", "b", near.alias("distance")).where(F.col("distance") <= t).distinct()
+    n = min(length, t + equal)
+    cuts = [round(i * length / n) for i in range(n + 1)]
+    choices = list(itertools.combinations(range(n), n - t if n > t else 1))
+    piece = lambda kind, i: F.substring(kind, cuts[i] + 1, cuts[i + 1] - cuts[i])
+    keys = lambda k, kind: [F.xxhash64(F.lit(k * len(choices) + j), *(piece(kind, i) for i in choice)) for j, choice in enumerate(choices)]
+    each = F.array(*(F.struct(F.array(*keys(k, kind)).alias("keys"), F.lit(k).alias("kind"), F.col(kind).alias("h")) for k, kind in enumerate(kinds)))
+    rows = table.select("node", F.explode(each).alias("x")).select("node", "x.kind", "x.h", F.explode("x.keys").alias("key"))
+    right = rows.select("key", "kind", F.col("node").alias("b"), F.col("h").alias("h_b"))
+    near = rows.withColumnRenamed("node", "a").join(right, ["key", "kind"]).where("a < b").select("a", "b", hash_distance("h", "h_b").alias("distance")).where(F.col("distance") <= t)
     same = hashes.join(table, list(kinds)).where("item_id <> node").select(F.col("node").alias("a"), F.col("item_id").alias("b"), F.lit(0.0).alias("distance"))
-    return joined.unionByName(same)
+    return near.groupBy("a", "b").agg(F.min("distance").alias("distance")).unionByName(same)
 
 
 def cosine_pairs(vectors: DataFrame, least: float, block: int = 2048, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -115,24 +121,9 @@ def similarity_level(s, t: Mapping[str, float] = PRESETS["balanced"]) -> Column:
     return F.when(col(s) >= t["identical"], "identical").when(col(s) >= t["near_duplicate"], "near_duplicate").when(col(s) >= t["similar"], "similar").otherwise("somewhat_similar")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(item_id, component) of all items of the edges (a, b), the component being its least item.
-
-    Every item takes the least label among its neighbours and its label's own label, round by round, until none
-    changes; labels are written to the shared checkpoint folder.
-    """
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = settle(both.groupBy(F.col("a").alias("item_id")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("item_id").alias("b"), "component"), "b").groupBy(F.col("a").alias("item_id")).agg(F.min("component").alias("near"))
-        up = labels.select(F.col("item_id").alias("component"), F.col("component").alias("up"))
-        new = labels.join(near, "item_id").withColumn("component", F.least("component", "near"))
-        new = settle(new.join(up, "component", "left").select("item_id", F.least("component", F.coalesce("up", "component")).alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "item_id").where("component <> old").take(1)
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(item_id, component) of all items of the edges (a, b), the component being its least item."""
+    return components.connected_components(edges).withColumnRenamed("node", "item_id")
 
 
 def dbscan(pairs: DataFrame, items: DataFrame, min_samples: int = 2) -> DataFrame:
@@ -237,4 +228,5 @@ def hash_image(bgr: np.ndarray) -> tuple[str, str, str]:
     dct = np.cos(np.pi * (2 * k[None] + 1) * k[:, None] / (2 * n))
     low = (dct @ _shrink(gray, n, n) @ dct.T)[:8, :8]
     eight, nine = _shrink(gray, 8, 8), _shrink(gray, 8, 9)
-    return hex16(low > np.median(low)), hex16(nine[:, 1:] > nine[:, :-1]), hex16(eight > eight.mean())
+    above = lambda a, b: np.round(a, 9) > np.round(b, 9)  # noqa: E731  ties must not hang on the order of sums
+    return hex16(above(low, np.median(low))), hex16(above(nine[:, 1:], nine[:, :-1])), hex16(above(eight, eight.mean()))

@@ -98,3 +98,19 @@ def _(r):
 def _(r):
     s, c = L.purge_sessions(r.sessions, r.checkpoints, now=F.lit("1999-01-01 00:00:00").cast("timestamp"), days=30)
     return s.select(F.lit("session").alias("kind"), "id").unionByName(c.select(F.lit("checkpoint").alias("kind"), "id"))
+
+
+@query("x03_safe_apply", "SELECT item_id, 'half' AS function, CASE WHEN n_chars % 5 = 0 THEN NULL ELSE n_chars // 2 END AS value, n_chars % 5 = 0 AS failed FROM (SELECT doc_id AS item_id, n_chars FROM documents) UNION ALL SELECT doc_id, 'source', len(source), false FROM documents")
+def _(r):
+    def half(row: dict) -> dict:
+        if row["n_chars"] % 5 == 0:
+            raise ValueError("divisible by five")
+        return {"value": row["n_chars"] // 2}
+
+    schema = T.StructType([T.StructField("value", T.LongType())])
+    df = r.documents.select(F.col("doc_id").alias("item_id"), "n_chars", "source")
+    good, bad = L.safe_apply(df, [("half", half, schema), ("source", lambda row: {"value": len(row["source"])}, schema)])
+    out = bad.select("item_id", "function", F.lit(None).cast("long").alias("value"), F.lit(True).alias("failed"))
+    for name, one in good.items():
+        out = out.unionByName(one.select("item_id", F.lit(name).alias("function"), "value", F.lit(False).alias("failed")))
+    return out

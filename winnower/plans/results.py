@@ -200,3 +200,13 @@ def _(r):
 @query("u04_mirror_paths", "SELECT item_id, CASE WHEN starts_with(image_path, '/in/src1/') THEN '/in/src1_processed' || substr(image_path, 9) END AS mirrored FROM items")
 def _(r):
     return r.items.select("item_id", O.mirror_path("image_path", "/in/src1").alias("mirrored"))
+
+
+@query("p08_select_analyses", "SELECT 'quality' AS analysis, item_id FROM quality UNION ALL SELECT 'defect', item_id FROM defects")
+def _(r):
+    every = {"quality": r.quality, "defect": r.defects, "compliance": r.scored, "similarity": r.clusters}
+    out = None
+    for name, df in O.select_analyses(every, ["quality", "defect"]).items():
+        one = df.select(F.lit(name).alias("analysis"), "item_id")
+        out = one if out is None else out.unionByName(one)
+    return out

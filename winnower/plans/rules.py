@@ -106,7 +106,7 @@ def _(r):
     return r.detections.select("item_id", "n", R.face_severity("quantity", F.lit(200.0)).alias("severity"))
 
 
-META = """SELECT d.doc_id, substr(text, 1, 200) AS description, CASE WHEN quality = 1 THEN 'T' || d.doc_id END AS title, CASE WHEN toxic = 1 THEN 'iPhone' END AS make, CASE WHEN d.doc_id % 7 = 0 THEN 'GPS' END AS gps,
+META = """SELECT d.doc_id, text AS description, CASE WHEN quality = 1 THEN 'T' || d.doc_id END AS title, CASE WHEN toxic = 1 THEN 'iPhone' END AS make, CASE WHEN d.doc_id % 7 = 0 THEN 'GPS' END AS gps,
   CASE WHEN d.doc_id % 11 = 0 THEN 'TrialSoft' END AS software FROM documents d LEFT JOIN marks m ON m.doc_id = d.doc_id"""
 
 
@@ -115,7 +115,7 @@ def metadata(r):
     entry = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
     i = F.col("doc_id")
     fields = F.array(
-        entry("description", F.when(i % 5 != 0, F.substring("text", 1, 200))), entry("title", F.when(F.col("quality") == 1, F.concat(F.lit("T"), i))), entry("Make", F.when(F.col("toxic") == 1, "iPhone")),
+        entry("description", F.when(i % 5 != 0, F.col("text"))), entry("title", F.when(F.col("quality") == 1, F.concat(F.lit("T"), i))), entry("Make", F.when(F.col("toxic") == 1, "iPhone")),
         entry("GPSInfo", F.when(i % 7 == 0, "GPS")), entry("Software", F.when(i % 11 == 0, "TrialSoft")),
     )
     return d.select("doc_id", "text", F.map_from_entries(F.filter(fields, lambda e: e["v"].isNotNull())).alias("metadata"))
@@ -319,3 +319,14 @@ def _(r):
 )
 def _(r):
     return r.scored.select("item_id", F.array_join(R.validate_ranges({"sharpness": (10, None), "noise": (0, 0.15)}, {"source_folder": ["src0", "src1", "src2"]}), ",").alias("problems"))
+
+
+@query(
+    "v02_validate_thresholds",
+    "SELECT l_returnflag AS preset, ((avg(l_discount) NOT BETWEEN 0 AND 1)::INT + (avg(l_quantity) NOT BETWEEN 0 AND 1)::INT + (abs(5 * avg(l_discount) - 1) > 0.01)::INT)::BIGINT AS n FROM lineitem GROUP BY 1",
+)
+def _(r):
+    """Thresholds as the averages of each return flag (three at most), checked on the driver as a caller would."""
+    means = r.lineitem.groupBy("l_returnflag").agg(F.avg("l_discount").cast("double").alias("d"), F.avg("l_quantity").cast("double").alias("q")).collect()
+    rows = [(m.l_returnflag, len(R.validate_thresholds({"low": m.d, "high": m.q, "weights": (m.d,) * 5}))) for m in means]
+    return r.spark.createDataFrame(rows, "preset string, n long")

@@ -83,7 +83,12 @@ def _(r):
     return S.connected_components(cos_pairs(r, 0.38))
 
 
-@query("sim10_leader_groups", None)
+@query(
+    "sim10_leader_groups",
+    f"""WITH RECURSIVE p AS ({COS_PAIRS.format(0.35)}), n AS (SELECT b, list(a) AS low FROM p GROUP BY b), o AS (SELECT vec_id AS i, row_number() OVER (ORDER BY vec_id) AS k, coalesce(low, []) AS low FROM embeddings LEFT JOIN n ON n.b = vec_id),
+      r(k, leads) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.k, CASE WHEN len(list_intersect(o.low, r.leads)) > 0 THEN r.leads ELSE list_append(r.leads, o.i) END FROM r JOIN o ON o.k = r.k + 1), f AS (SELECT leads FROM r ORDER BY k DESC LIMIT 1)
+    SELECT o.i AS item_id, coalesce(list_min(list_intersect(o.low, f.leads)), o.i) AS leader FROM o, f""",
+)
 def _(r):
     return S.leader_groups(cos_pairs(r, 0.35), r.embeddings.select(F.col("vec_id").alias("item_id")))
 
@@ -134,3 +139,17 @@ def _(r):
 @query("sim15_cluster_quality", f"SELECT * FROM (SELECT cluster_id, c.size, CASE WHEN size = 1 THEN 1.0e0 ELSE coalesce(m, 0.5e0) END AS quality FROM (SELECT cluster_id, count(*) AS size FROM clusters WHERE cluster_id <> 0 GROUP BY 1) c LEFT JOIN (SELECT cluster_id, avg(similarity) AS m FROM ({PAIRS}) GROUP BY 1) p USING (cluster_id)) WHERE quality >= 0.85", "quality")
 def _(r):
     return S.cluster_quality(r.clusters.where("cluster_id <> 0"), pairs(r).withColumnRenamed("similarity", "cosine"), 0.85)
+
+
+@query(
+    "sim16_threshold_config",
+    f"""SELECT preset, level, count(*) AS n FROM (SELECT preset, CASE WHEN similarity >= i THEN 'identical' WHEN similarity >= d THEN 'near_duplicate' WHEN similarity >= s THEN 'similar' ELSE 'somewhat_similar' END AS level
+      FROM ({PAIRS}), (VALUES ('strict', 0.98, 0.95, 0.85), ('balanced', 0.95, 0.90, 0.8), ('lenient', 0.90, 0.85, 0.70)) t(preset, i, d, s)) GROUP BY ALL""",
+)
+def _(r):
+    p, out = pairs(r).select("similarity"), None
+    for preset in S.PRESETS:
+        t = S.threshold_config(preset, {"similar": 0.8, "identical": 7, "min_cluster_size": 3} if preset == "balanced" else None)
+        one = p.select(F.lit(preset).alias("preset"), S.similarity_level("similarity", t).alias("level"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("preset", "level").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from winnower.functions.durable import checkpoint_root
 from winnower.operators import windows as W
+from winnower.operators.similarity import perceptual_hashes
 from winnower.plans.registry import query
 from winnower.plans.results import results
 from winnower.sources import files as S
@@ -103,3 +104,65 @@ def _(r):
 @query("sim01_average_hash", f"WITH p AS ({GRID}), m AS (SELECT item_id, avg(gray) AS m FROM p GROUP BY 1) SELECT item_id, format('{{:016x}}', sum(CASE WHEN gray > m THEN 1::UBIGINT << (63 - (y * 8 + x)) ELSE 0 END)::UBIGINT) AS ahash FROM p JOIN m USING (item_id) GROUP BY item_id")
 def _(r):
     return R.average_hash(grid(r))
+
+
+#: Colour images of 8 by 8 pixels from the same grid, a byte a channel, in the order blue, green, red.
+COLOUR = f"SELECT item_id, y, x, gray AS b, (7 * gray) % 256 AS g, 255 - gray AS r, floor(0.299e0 * (255 - gray) + 0.587e0 * ((7 * gray) % 256) + 0.114e0 * gray + 0.5e0) AS gray FROM ({GRID})"
+
+
+def images(r):
+    value = lambda v: F.floor((v.cast("double") + 1) * 127.5).cast("long")
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    data = F.unhex(F.array_join(F.transform("embedding", lambda v: F.concat(byte(value(v)), byte((7 * value(v)) % 256), byte(255 - value(v)))), ""))
+    return r.embeddings.select(F.col("vec_id").cast("string").alias("item_id"), F.lit(192).cast("long").alias("file_size"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
+
+
+@query("r07_pixel_table", f"SELECT item_id::VARCHAR AS item_id, y, x, b::INT AS b, g::INT AS g, r::INT AS r FROM ({COLOUR})")
+def _(r):
+    return R.pixel_table(images(r))
+
+
+MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+
+
+@query(
+    "r02_noise",
+    f"""WITH p AS ({COLOUR}), t AS (SELECT k - 2 AS d, w / 16e0 AS w FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest([1, 4, 6, 4, 1]) AS w)),
+      s AS (SELECT a.item_id, a.y, a.x, a.gray, floor(sum(b.gray * u.w * v.w) + 0.5e0) AS soft FROM p a, t u, t v, p b WHERE b.item_id = a.item_id AND b.y = {MIRROR.format("a.y + u.d")} AND b.x = {MIRROR.format("a.x + v.d")} GROUP BY ALL)
+    SELECT item_id::VARCHAR AS item_id, stddev_pop(abs(gray - soft)) / 255 AS noise FROM s GROUP BY 1""",
+    "noise",
+)
+def _(r):
+    return R.quality_metrics(images(r)).select("item_id", "noise")
+
+
+@query("r04_channel_means", f"SELECT item_id::VARCHAR AS item_id, avg(b) AS b, avg(g) AS g, avg(r) AS r FROM ({COLOUR}) GROUP BY 1", "b g r")
+def _(r):
+    return R.quality_metrics(images(r)).select("item_id", "b", "g", "r")
+
+
+@query(
+    "r05_quality_metrics",
+    f"""WITH p AS ({COLOUR}), q AS (SELECT a.item_id, a.y, a.x, sum(b.gray * CASE WHEN s.dy = 0 AND s.dx = 0 THEN -4 ELSE 1 END) AS v FROM p a, (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) s(dy, dx), p b
+      WHERE b.item_id = a.item_id AND b.y = {MIRROR.format("a.y + s.dy")} AND b.x = {MIRROR.format("a.x + s.dx")} GROUP BY ALL),
+      h AS (SELECT item_id, stddev_pop(n) AS s FROM (SELECT i.item_id, k, count(p.item_id) / 64 AS n FROM (SELECT DISTINCT item_id FROM p) i CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS k) LEFT JOIN p ON p.item_id = i.item_id AND greatest(0, (gray::INT - 1) // 51) = k GROUP BY ALL) GROUP BY 1)
+    SELECT p.item_id::VARCHAR AS item_id, 8 AS width, 8 AS height, any_value(z.sharpness) AS sharpness, avg(gray) / 255 AS brightness, stddev_pop(gray) / 255 AS contrast, avg((gray > 240)::INT) AS over_pct, avg((gray < 15)::INT) AS under_pct, 1 - any_value(h.s) AS histogram_balance, true AS decoded
+    FROM p JOIN (SELECT item_id, var_pop(v) AS sharpness FROM q GROUP BY 1) z USING (item_id) JOIN h USING (item_id) GROUP BY p.item_id""",
+    "sharpness brightness contrast over_pct under_pct histogram_balance",
+)
+def _(r):
+    return R.quality_metrics(images(r)).select("item_id", "width", "height", "sharpness", "brightness", "contrast", "over_pct", "under_pct", "histogram_balance", "decoded")
+
+
+HEX64 = "format('{{:016x}}', sum(CASE WHEN {0} THEN 1::UBIGINT << (63 - (y * 8 + x)) ELSE 0 END)::UBIGINT)"
+
+
+@query(
+    "sim01_perceptual_hashes",
+    f"""WITH p AS (SELECT item_id, y, x, 0.299e0 * r + 0.587e0 * g + 0.114e0 * b AS gray FROM ({COLOUR})), m AS (SELECT *, avg(gray) OVER (PARTITION BY item_id) AS mean, lag(gray) OVER (PARTITION BY item_id, y ORDER BY x) AS before FROM p),
+      c AS (SELECT u, y, sum(cos(pi() * (2 * k + 1) * u / 64)) AS w FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(32)) AS k, unnest(range(32)) // 4 AS y) GROUP BY ALL),
+      l AS (SELECT item_id, cu.u AS y, cv.u AS x, sum(gray * cu.w * cv.w) AS v FROM p JOIN c cu ON cu.y = p.y JOIN c cv ON cv.y = p.x GROUP BY ALL), d AS (SELECT *, median(v) OVER (PARTITION BY item_id) AS mid FROM l)
+    SELECT a.item_id::VARCHAR AS item_id, phash, dhash, ahash FROM (SELECT item_id, {HEX64.format('round(gray, 9) > round(before, 9)')} AS dhash, {HEX64.format('round(gray, 9) > round(mean, 9)')} AS ahash FROM m GROUP BY 1) a JOIN (SELECT item_id, {HEX64.format('round(v, 9) > round(mid, 9)')} AS phash FROM d GROUP BY 1) b USING (item_id)""",
+)
+def _(r):
+    return perceptual_hashes(images(r))

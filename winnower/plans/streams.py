@@ -98,12 +98,18 @@ def _(r):
 
 @query(
     "t08_completion_stream",
-    """SELECT session_id, event_id, processed, approved::BIGINT AS approved, elapsed, CASE WHEN elapsed = 0 THEN 0.0e0 ELSE processed / elapsed END AS speed FROM (SELECT *, count(*) OVER w AS processed, sum((coalesce(decision, '') = 'approved')::INT) OVER w AS approved, (epoch_us(ts) - min(epoch_us(ts)) OVER w) / 1e6 AS elapsed
-      FROM progress WINDOW w AS (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WHERE event_type = 'signup'""",
+    """WITH g AS (SELECT *, coalesce(sum((event_type = 'signup')::INT) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM progress)
+    SELECT session_id, event_id, processed, approved::BIGINT AS approved, elapsed, CASE WHEN elapsed = 0 THEN 0.0e0 ELSE processed / elapsed END AS speed FROM (SELECT *, count(*) OVER w AS processed, sum((coalesce(decision, '') = 'approved')::INT) OVER w AS approved, (epoch_us(ts) - min(epoch_us(ts)) OVER w) / 1e6 AS elapsed
+      FROM g WINDOW w AS (PARTITION BY session_id, part ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) WHERE event_type = 'signup'""",
     "elapsed speed",
 )
 def _(r):
-    return _run(r, T.completion_stream(_events(r), "signup"), "append").drop("batch")
+    return _run(r, T.completion_stream(_events(r), T.Life(done="signup")), "append").drop("batch")
+
+
+@query("t04_stale_stream", "SELECT session_id, arg_max(event_id, (ts, event_id)) AS event_id FROM progress GROUP BY 1 HAVING epoch_ms(max(ts)) + 300000 < (SELECT epoch_ms(max(ts)) FROM progress)")
+def _(r):
+    return _run(r, T.stale_stream(_events(r)), "append").select("session_id", "event_id")
 
 
 @query("t09_ingest_results", "SELECT DISTINCT session_id, concat('/in/', event_id % 20, '.jpg') AS image_path FROM progress")

@@ -79,10 +79,10 @@ VIEWS = {
     "checkpoints": """
         SELECT event_id AS id, user_id AS session_id, ts AS created_at, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) * 10 AS BIGINT) AS processed_count,
           CASE WHEN event_id % 30 = 0 THEN 'emergency' ELSE 'automatic' END AS checkpoint_type, event_id % 7 AS error_count, value AS memory_mb
-        FROM events WHERE event_id % 10 = 0""",
+        FROM events""",
     "hashes": """
         SELECT doc_id AS item_id, concat(substr(md5(text), 1, 12), substr(md5(concat('', doc_id)), 1, 4)) AS phash, substr(md5(concat(text, doc_id)), 1, 16) AS dhash,
-          substr(md5(substr(text, 1, 100)), 1, 16) AS ahash FROM documents""",
+          substr(md5(text), 1, 16) AS ahash FROM documents""",
     "clusters": """
         SELECT d.doc_id AS item_id, CASE WHEN c.n_copies > 1 THEN c.first_id + 1 ELSE 0 END AS cluster_id FROM documents d JOIN copies c ON c.copy_text = d.text""",
 }

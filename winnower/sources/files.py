@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +35,12 @@ def scan_images(spark: SparkSession, root: str, drop_invalid: bool = True) -> Da
 
 def count_inputs(spark: SparkSession, root: str) -> int:
     """Number of files with an image ending, decodable or not; 0 if the folder is missing. Spark lists no empty files."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return 0
-    return list_files(spark, root).count()
+    try:
+        return list_files(spark, root).count()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return 0
+        raise
 
 
 def file_name(path: str | Column) -> Column:

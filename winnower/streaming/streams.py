@@ -1,13 +1,15 @@
 """Continuous forms (T-01 to T-09) of progress, milestones, staleness, timelines, errors, checkpoints and ingestion.
 
 Input is a stream of events (session_id, event_id, ts, decision, event_type). State is per session and small:
-counters, the last ten speeds, the marks reached. Events of a session are taken in the order of time within a
-micro-batch; late ones count when they arrive, except in windows, where the watermark rules.
+counters, the last ten speeds, the marks reached. It is forgotten when the session completes (an event of type ``done`` is its last), or
+``ttl_seconds`` of event time after its last event. Events of a session are taken in the order of time within a
+micro-batch; those later than the watermark, ``delay`` behind the newest event, are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,33 +42,54 @@ def _advance(s: dict, event) -> None:
     s["last"], s["last_event"] = at, event.event_id
 
 
-def _stateful(events: DataFrame, schema: str, each: Callable[[dict, object], list[tuple]] | None, end: Callable[[int, dict], list[tuple]] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Life:
+    """When a session's state ends: the type of the event that completes it, and how long it is kept without one."""
+
+    done: str = "complete"
+    ttl_seconds: int = 86_400
+    delay: str = "1 hour"
+
+
+def _stateful(events: DataFrame, schema: str, life: Life, each: Callable[[dict, object], list[tuple]] | None, end: Callable[[int, dict], list[tuple]] | None = None) -> DataFrame:
     """Runs ``each`` after every event and ``end`` after a session's batch; both give rows to emit."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         s = dict(zip(_FIELDS, state.get if state.exists else _START, strict=True))
-        s["speeds"], s["reached"], rows = list(s["speeds"]), list(s["reached"]), []
+        s["speeds"], s["reached"], rows, over = list(s["speeds"]), list(s["reached"]), [], False
         for event in _sorted(batches).itertuples():
+            if over:  # a completed session that goes on begins anew
+                s = dict(zip(_FIELDS, _START, strict=True)) | {"speeds": [], "reached": []}
             _advance(s, event)
+            over = event.event_type == life.done
             if each:
                 rows += each(s, event)
         if end:
             rows += end(key[0], s)
-        state.update(tuple(s[f] for f in _FIELDS))
+        if over:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(tuple(s[f] for f in _FIELDS))
+            state.setTimeoutTimestamp(max(int((s["last"] + life.ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return events.groupBy("session_id").applyInPandasWithState(run, schema, STATE, "append" if each else "update", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", life.delay)
+    return timed.groupBy("session_id").applyInPandasWithState(run, schema, STATE, "append" if each else "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def progress_stream(events: DataFrame) -> DataFrame:
+def progress_stream(events: DataFrame, life: Life = Life()) -> DataFrame:
     """Counters and the mean of the last ten speeds, per session and batch (update mode)."""
     mean = lambda v: sum(v) / len(v) if v else 0.0
-    return _stateful(events, "session_id long, processed long, approved long, rejected long, speed double, last_event long", None, lambda k, s: [(k, s["processed"], s["approved"], s["rejected"], mean(s["speeds"]), s["last_event"])])
+    return _stateful(events, "session_id long, processed long, approved long, rejected long, speed double, last_event long", life, None, lambda k, s: [(k, s["processed"], s["approved"], s["rejected"], mean(s["speeds"]), s["last_event"])])
 
 
-def milestone_stream(events: DataFrame) -> DataFrame:
+def milestone_stream(events: DataFrame, life: Life = Life()) -> DataFrame:
     """Each mark that a session passes, once; events carry the session's ``total``."""
 
     def each(s: dict, event) -> list[tuple]:
@@ -77,10 +100,10 @@ def milestone_stream(events: DataFrame) -> DataFrame:
         s["mark"] = max(s["mark"], hours)
         return [(event.session_id, d, event.event_id) for d in fresh]
 
-    return _stateful(events, "session_id long, milestone string, event_id long", each)
+    return _stateful(events, "session_id long, milestone string, event_id long", life, each)
 
 
-def checkpoint_stream(events: DataFrame, interval: int = 10, forced: tuple[str, ...] = ()) -> DataFrame:
+def checkpoint_stream(events: DataFrame, interval: int = 10, forced: tuple[str, ...] = (), life: Life = Life()) -> DataFrame:
     """A row whenever a session advanced by ``interval`` since its last one, and on events of a forced type."""
 
     def each(s: dict, event) -> list[tuple]:
@@ -89,19 +112,19 @@ def checkpoint_stream(events: DataFrame, interval: int = 10, forced: tuple[str,
         s["mark"] = s["processed"]
         return [(event.session_id, event.event_id, s["processed"], event.event_type in forced)]
 
-    return _stateful(events, "session_id long, event_id long, processed long, forced boolean", each)
+    return _stateful(events, "session_id long, event_id long, processed long, forced boolean", life, each)
 
 
-def completion_stream(events: DataFrame, done: str = "complete") -> DataFrame:
-    """Totals of a session at each event of the type that completes it."""
+def completion_stream(events: DataFrame, life: Life = Life()) -> DataFrame:
+    """Totals of a session at the event that completes it, counted from its beginning or its last completion."""
 
     def each(s: dict, event) -> list[tuple]:
-        if event.event_type != done:
+        if event.event_type != life.done:
             return []
         elapsed = s["last"] - s["start"]
         return [(event.session_id, event.event_id, s["processed"], s["approved"], elapsed, s["processed"] / elapsed if elapsed else 0.0)]
 
-    return _stateful(events, "session_id long, event_id long, processed long, approved long, elapsed double, speed double", each)
+    return _stateful(events, "session_id long, event_id long, processed long, approved long, elapsed double, speed double", life, each)
 
 
 def latest_progress(events: DataFrame, ttl_seconds: int = 3600, done: str = "complete") -> DataFrame:
@@ -134,7 +157,7 @@ def stale_stream(events: DataFrame, minutes: int = 5, done: str = "complete") ->
         if state.hasTimedOut:
             event_id, at = state.get
             state.remove()
-            yield pd.DataFrame([(key[0], event_id, pd.Timestamp(at, unit="s"))], columns=["session_id", "event_id", "last_seen"])
+            yield pd.DataFrame([(key[0], event_id, pd.Timestamp(at, unit="s").round("us"))], columns=["session_id", "event_id", "last_seen"])
             return
         last = _sorted(batches).iloc[-1]
         at = last.ts.timestamp()
