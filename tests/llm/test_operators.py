@@ -9,10 +9,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from winnower.llm import chat_format, components, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, toxicity
+from winnower.llm import chat_format, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, toxicity
+from winnower.operators import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, component string, kept string, gone string"
 KEY = pii.Pseudonyms(key=b"k")
@@ -516,3 +518,156 @@ def test_secrets_in_texts_without_digits(spark):
         out, found = pii.pseudonymise(texts[i] or "", KEY)
         assert (text or "") == out and n == found.total() == sum(int(k.split(":")[1]) for k in kinds.split(",") if k)
     assert [r[2] for r in got] == [1, 1, 0, 0, 0, 1]
+
+
+TEXTS = ["The cat sat. the THE cat ran!", "", "a", "Wörter ÜBER Straße 12, 12 a***", "no no  no\n\tNo way_out", " lead", "x1 y2 x1 y2"]
+
+
+def as_bytes(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+
+
+def plain_words(text: str) -> list[bytes]:
+    return [w for w in re.split(rb"[\x20\x09-\x0D]+", text.encode()) if w]
+
+
+def lower(word: bytes) -> bytes:
+    return bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+
+
+def test_quality_tokens_and_pooling_against_python():
+    """Every word gives its hashed self, its shape and the mark of a repetition; pooling is their mean and the log of the length."""
+
+    def shape(word: bytes) -> str:
+        kinds = "".join("d" if 48 <= c <= 57 else "U" if 65 <= c <= 90 else "l" if 97 <= c <= 122 or c >= 128 else "m" if c in b".,;:'\"()-" else "s" for c in word)
+        return re.sub(r"(.)\1+", r"\1", kinds)
+
+    size, entry_of = 1 << 13, {}
+    entry, first = quality_model.tokens(*as_bytes(TEXTS), size)
+    vectors = np.random.default_rng(1).normal(size=(size, 5))
+    pooled = quality_model._pool(entry, first, vectors)
+    for i, text in enumerate(TEXTS):
+        own = entry[first[i] : first[i + 1]].reshape(-1, 3)
+        words = plain_words(text)
+        assert len(own) == len(words)
+        for k, w in enumerate(words):
+            assert entry_of.setdefault(("word", lower(w)), own[k, 0]) == own[k, 0] < size // 2
+            assert entry_of.setdefault(("shape", shape(w)), own[k, 1]) == own[k, 1] and size // 2 <= own[k, 1] < size - 2
+            assert own[k, 2] == size - 2 + (k > 0 and lower(words[k - 1]) == lower(w))
+        want = vectors[own.ravel()].mean(axis=0) if words else np.zeros(5)
+        assert np.allclose(pooled[i, :-1], want) and np.isclose(pooled[i, -1], np.log1p(len(words)))
+    assert len(set(entry_of.values())) == len(entry_of)  # different tokens of this small fixture have different entries
+
+
+def test_quality_contexts_against_python():
+    fit = quality_model.Fit(vocabulary=64, dims=4)
+    index, want = quality_model.index_vectors(fit), np.zeros((64, 4))
+    entry, first = quality_model.tokens(*as_bytes(TEXTS), 64)
+    for b, e in zip(first, first[1:], strict=False):
+        for i in range(b, e):
+            for j in range(max(b, i - 3), min(e, i + 4)):
+                if i != j:
+                    want[entry[i]] += index[entry[j]]
+    got = np.zeros((64, 4))
+    for batch in quality_model._contexts(fit)(iter([pa.record_batch([pa.array(TEXTS)], names=["text"])])):
+        got[batch.column(0).to_numpy()] = batch.column(1).to_pylist()
+    assert np.array_equal(got, want)
+
+
+def test_toxicity_features_and_updates_against_python():
+    fit = toxicity.Fit(size=1 << 14, l1=0.1)
+    at, own = toxicity.features(*as_bytes(TEXTS), fit.size)
+    coordinate: dict[tuple, int] = {}
+    sets = []
+    for i, text in enumerate(TEXTS):
+        w = [lower(x) for x in re.findall(rb"[A-Za-z0-9\x80-\xff]+", text.encode())]
+        features = {(x,) for x in w} | {(1, *x) for x in zip(w, w[1:], strict=False)} | {(2, *x) for x in zip(w, w[2:], strict=False)}
+        sets.append(set(at[own == i].tolist()))
+        assert len(sets[i]) == len(features)
+        for f in [(x,) for x in w]:
+            assert coordinate.setdefault(f, toxicity.features(*as_bytes([f[0].decode()]), fit.size)[0][0]) in sets[i]
+    # FTRL, one text after another, with plain numbers
+    labels, z, n = [1, 0, 1, 0, 1, 1, 0], {}, {}
+    weight = lambda k: -(z.get(k, 0.0) - math.copysign(fit.l1, z.get(k, 0.0)) * (k != fit.size)) / ((fit.beta + math.sqrt(n.get(k, 0.0))) / fit.alpha + fit.l2) if k == fit.size or abs(z.get(k, 0.0)) > fit.l1 else 0.0
+    for y, s in zip(labels, sets, strict=True):
+        keys = [*s, fit.size]
+        w = {k: weight(k) for k in keys}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - y
+        for k in keys:
+            root = math.sqrt(n.get(k, 0.0))
+            n[k] = n.get(k, 0.0) + g * g
+            z[k] = z.get(k, 0.0) + g - (math.sqrt(n[k]) - root) / fit.alpha * w[k]
+
+    class State:
+        value = (np.zeros(fit.size + 1), np.zeros(fit.size + 1))
+
+    rows = pa.record_batch([pa.array(labels, pa.int32()), pa.array([sorted(s) for s in sets], pa.list_(pa.int32()))], names=["label", "x"])
+    zs, ns = toxicity.passed(State.value, [rows], fit)
+    assert all(np.isclose(zs[k], z[k]) and np.isclose(ns[k], n[k]) for k in z) and np.count_nonzero(ns) == len(n)
+
+
+def test_language_vectors_against_python(spark):
+    """Counts of letter pairs and triples, TF-IDF, and the nearest centroid of every text."""
+    dims, texts = 2048, [t.lower() for t in TEXTS]
+    got = language_id.counts(*as_bytes(texts), dims)
+    entry = lambda gram: int((np.frombuffer(gram, np.uint8).astype(np.uint32) * np.array([257**k for k in range(len(gram) - 1, -1, -1)], np.uint32)).sum(dtype=np.uint32) * np.uint32(2654435761) >> np.uint32(21))
+    for i, t in enumerate(texts):
+        folded = re.sub(rb"[^a-z\x80-\xff]+", b" ", t.encode())
+        want = np.zeros(dims)
+        for k in (2, 3):
+            for j in range(len(folded) - k + 1):
+                want[entry(folded[j : j + k])] += 1
+        assert np.array_equal(got[i], want), t
+    docs = table(spark, [(i, f"{w} {prose(i, 8)}", "ab"[i % 2], None) for i, w in enumerate(["über straße"] * 10 + ["the cat"] * 10)] + [(99, "Über Straße", None, None)])
+    model = language_id.train(docs, F.col("lang").isNotNull())
+    c = language_id.counts(*as_bytes([r.text.lower() for r in sorted(docs.collect())]), dims)
+    x = np.log1p(c) * model.idf
+    cos = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ model.centroids.T
+    out = sorted(language_id.detect(docs, model).collect())
+    assert [r.lang_pred for r in out] == [model.langs[k] for k in cos.argmax(axis=1)] and np.allclose([r.score for r in out], cos.max(axis=1).clip(0, 1))
+    same = table(spark, [(i, "equal text", "ab"[i % 2], None) for i in range(10)])
+    assert all(r.score > 0.99 for r in language_id.detect(same, language_id.train(same, F.lit(True))).collect())
+
+
+def test_pipeline_stages_against_brute_force(spark, sf_dir):
+    """Which documents each stage keeps, and with which texts."""
+    import corpus_pipeline as P
+
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if r.text]
+    rows = [(i, prose(i, 70), "en", "ab"[i % 2]) for i in range(20)]
+    rows += [(20 + i, prose(i, 70)[:-4] + " end", "en", "a") for i in range(6)]  # near copies
+    rows += [(30 + i, f"{prose(40 + i, 30)} {bench[i][1]} {prose(60 + i, 30)}", "en", "b") for i in range(4)]
+    rows += [(40 + i, f"{prose(80 + i, 9)}\n{prose(99, 30)}\n{prose(98, 30)}\n{prose(120 + i, 40)}", "en", "b") for i in range(3)]
+    rows += [(50, None, None, None), (51, "", "en", "a")]
+    docs = table(spark, rows).select(*P.COLUMNS)
+    texts = {r[0]: r[1] for r in rows}
+    lined = {r.doc_id: r.text for r in P.lines(spark, docs, sf_dir).collect()}
+    assert lined == repeated_lines_gone([r for r in rows if r[1] is not None]) | {50: None}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items() if t}
+    copies = {j for i in sets for j in sets if i < j and jaccard(sets[i], sets[j]) >= 0.8}
+    assert {r.doc_id for r in P.near_duplicates(spark, docs, sf_dir).collect()} == set(texts) - copies and copies == set(range(20, 26))
+    leaked = {30, 31, 32, 33}
+    assert {d for d, _ in leaks_by_alignment([(i, texts[i]) for i in [0, 20, *leaked]], bench[:6], decontaminate.Search())} == leaked
+    assert {r.doc_id for r in P.leaks(spark, docs, sf_dir).collect()} == set(texts) - leaked
+    weights = {r.doc_id: {1: 2.0, 0: 0.5}.get(r.quality, 1.0) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    want, _ = mixed_by_sorting(rows, weights, mixing.Mix())
+    assert {r.doc_id: r.copies for r in P.mix(spark, docs, sf_dir).collect()} == want
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality_model.train(given.select(*P.COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    good = {r.doc_id for r in quality_model.score(given, model).collect() if r.score >= 0.3}
+    assert {r.doc_id for r in P.quality(spark, given, sf_dir).collect()} == good and 0 < len(good) < given.count()
+
+
+def test_very_long_texts_pass_every_operator(spark):
+    """Texts of ten and more megabytes beside short ones; null conversation ids and clashing column names."""
+    docs = table(spark, [(1, prose(5, 50) * 30_000, "en", "a"), (2, "z" * 12_000_000, "en", "a"), (3, prose(6, 40), "en", "b")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    for m in (quality_model, toxicity):
+        assert m.score(docs, m.train(docs, labels)).count() == 3
+    assert language_id.detect(docs, language_id.train(docs, F.lit(True))).where("lang_pred = 'en'").count() == 3
+    assert pii.hide_personal_data(docs, KEY).count() == 3 and near_dedup.near_duplicates(docs).where("kept").count() == 3
+    clash = docs.where("doc_id = 3").withColumns({c: F.lit(1) for c in ("_id", "w_id", "node", "_row", "_rest", "i", "d", "r", "s", "slice", "class")})
+    assert line_dedup.remove_repeated_chunks(clash).columns[2:] == clash.columns[2:] + ["n_removed", "removed_chars"]
+    assert mixing.mix_sources(clash, labels.select("doc_id", F.lit(1.0).alias("weight"), F.lit(0).alias("size"))).count() == 1
+    assert decontaminate.find_leaks(clash, clash.select(F.col("doc_id").alias("item_id"), "text", "node")).count() == 1

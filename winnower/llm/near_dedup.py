@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
-from winnower.llm.components import connected_components
 from winnower.llm.shared import pick, settle
+from winnower.operators.components import connected_components
 
 _STEP = (np.random.default_rng(5).integers(1, 2**62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 FEATURES = "doc_id long, n_shingles long, d1 long, d2 long, signature binary, bands array<long>"

@@ -85,7 +85,7 @@ def tokens(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray,
         change[starts] = True
     at = np.flatnonzero(change & (kinds > 0))
     runs = np.searchsorted(at, starts), np.searchsorted(at, ends)
-    weight = np.concatenate([[0], np.cumsum((kinds[at].astype(np.uint64) + np.uint64(1)) * tb.mix(np.minimum(np.arange(len(at)) - np.repeat(runs[0], runs[1] - runs[0]), 7).astype(np.uint64) + np.uint64(77)), dtype=np.uint64)]).astype(np.uint64)
+    weight = np.concatenate([np.zeros(1, np.uint64), np.cumsum((kinds[at].astype(np.uint64) + np.uint64(1)) * tb.mix(np.minimum(np.arange(len(at)) - np.repeat(runs[0], runs[1] - runs[0]), 7).astype(np.uint64) + np.uint64(77)), dtype=np.uint64)])
     shapes = tb.mix(weight[runs[1]] - weight[runs[0]] + np.uint64(1))
     again = np.zeros(len(hashes), bool)
     again[1:] = hashes[1:] == hashes[:-1]

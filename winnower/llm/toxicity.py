@@ -17,7 +17,7 @@ score is the share of label 1 (0 without any label).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,24 +91,28 @@ def _weights(z: np.ndarray, n: np.ndarray, fit: Fit) -> np.ndarray:
     return np.where(np.abs(z) <= fit.l1, 0.0, -(z - np.sign(z) * fit.l1) / ((fit.beta + np.sqrt(n)) / fit.alpha + fit.l2))
 
 
+def passed(state: tuple[np.ndarray, np.ndarray], batches: Iterable[pa.RecordBatch], fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """z and n after the texts of some batches (label, x), one after another."""
+    z, n = state[0].copy(), state[1].copy()
+    for batch in batches:
+        labels, xs = batch.column(0).to_pylist(), batch.column(1)
+        for y, x in zip(labels, xs, strict=True):
+            i = np.append(np.asarray(x.values), fit.size)  # the last coordinate is the bias
+            zi, ni = z[i], n[i]
+            w = _weights(zi, ni, fit)
+            w[-1] = -zi[-1] / ((fit.beta + np.sqrt(ni[-1])) / fit.alpha + fit.l2)  # no L1 on the bias
+            g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
+            root = np.sqrt(ni)
+            n[i] = ni + g * g
+            z[i] = zi + g - (np.sqrt(n[i]) - root) / fit.alpha * w
+    return z, n
+
+
 def _round(state, fit: Fit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z0, n0 = state.value
-        z, n = z0.copy(), n0.copy()
-        for batch in batches:
-            labels, xs = batch.column(0).to_pylist(), batch.column(1)
-            for y, x in zip(labels, xs, strict=True):
-                i = np.append(np.asarray(x.values), fit.size)  # the last coordinate is the bias
-                zi, ni = z[i], n[i]
-                w = _weights(zi, ni, fit)
-                if i[-1] == fit.size:  # no L1 on the bias
-                    w[-1] = -zi[-1] / ((fit.beta + np.sqrt(ni[-1])) / fit.alpha + fit.l2)
-                g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y
-                root = np.sqrt(ni)
-                n[i] = ni + g * g
-                z[i] = zi + g - (np.sqrt(n[i]) - root) / fit.alpha * w
-        at = np.flatnonzero(n != n0)
-        parts = [pa.array([x.tobytes()], pa.binary()) for x in (at, (z - z0)[at], (n - n0)[at])]
+        z, n = passed(state.value, batches, fit)
+        at = np.flatnonzero(n != state.value[1])
+        parts = [pa.array([x.tobytes()], pa.binary()) for x in (at, (z - state.value[0])[at], (n - state.value[1])[at])]
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), *parts], names=["shard", "at", "dz", "dn"])
 
     return run
