@@ -2,7 +2,7 @@
 
 Every text gets integer measures; a base rule (too few words, too many repeated words) fails some texts
 outright. For the others each measure is sketched per language and source: a sketch is a table of counts
-by value bucket, exact below 64 and within 1/32 above (six leading bits), so that partial sketches from
+by value bucket, exact below 512 and within 1/256 above (nine leading bits), so that partial sketches from
 any number of tasks merge by adding counts, in any order, to the same result.
 
 A text is kept if every measure lies within a fence around the quartiles of its group, ``fence`` times their distance
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from winnower.llm.shared import settle
 
+#: Leading bits that a bucket of the sketches keeps.
+BITS = 9
 SPACES = r"[\x20\x09-\x0D]+"
 #: Measures of the fences: code points in a hundred words; letters in a thousand code points of words (ASCII letters and all
 #: that isn't ASCII); and symbols, equal lines and repeated words in a thousand words.
@@ -92,9 +94,9 @@ def measure(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def bucket(v: Column) -> Column:
-    """The lower end of the value's bucket: the value with all but its six leading bits cleared."""
-    shift = F.length(F.bin(v)) - 6
-    return F.when(v < 64, v).otherwise(F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift))
+    """The lower end of the value's bucket: the value with all but its leading bits cleared."""
+    shift = F.length(F.bin(v)) - BITS
+    return F.when(v < 2**BITS, v).otherwise(F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def fences(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
     table = table.select("g_lang", "g_measure", *(blend(F.col(f"g_{q}"), F.col("g_n"), F.col(f"a_{q}")).alias(f"g_{q}") for q in ("q1", "q3")))
     table = own.join(table, F.col("o_lang").eqNullSafe(F.col("g_lang")) & (F.col("o_measure") == F.col("g_measure")))
     table = table.select("o_lang", "o_source", "o_measure", *(blend(F.col(f"o_{q}"), F.col("o_n"), F.col(f"g_{q}")).alias(q) for q in ("q1", "q3")))
-    spread = rules.fence * F.greatest(F.col("q3") - F.col("q1"), F.call_function("div", F.col("q3"), F.lit(32)), F.lit(1))
+    spread = rules.fence * F.greatest(F.col("q3") - F.col("q1"), F.call_function("div", F.col("q3"), F.lit(2 ** (BITS - 1))), F.lit(1))
     return table.select(F.col("o_lang").alias("t_lang"), F.col("o_source").alias("t_source"), F.col("o_measure").alias("measure"), (F.col("q1") - spread).alias("lo"), (F.col("q3") + spread).alias("hi"))
 
 

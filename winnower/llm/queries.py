@@ -109,7 +109,7 @@ b AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(word_chars * 100 // nullif(n_words, 0), 0) AS word_length, coalesce(n_letters * 1000 // nullif(word_chars, 0), 0) AS letters, coalesce(n_symbols * 1000 // nullif(n_words, 0), 0) AS symbols,
     coalesce(n_dup_lines * 1000 // nullif(n_words, 0), 0) AS dup_lines, coalesce(n_repeat_words * 1000 // nullif(n_words, 0), 0) AS repeats FROM m),
 u AS (
-  SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)::BIGINT) << (length(bin(v)) - 6)::BIGINT END AS x
+  SELECT lang, source, measure, CASE WHEN v < 512 THEN v ELSE (v >> (length(bin(v)) - 9)::BIGINT) << (length(bin(v)) - 9)::BIGINT END AS x
   FROM (UNPIVOT (SELECT lang, source, word_length, letters, symbols, dup_lines, repeats FROM b WHERE NOT base_failed) ON word_length, letters, symbols, dup_lines, repeats INTO NAME measure VALUE v)),
 cc AS (SELECT lang, source, measure, CASE WHEN x > 0 OR 2 * count(*) FILTER (WHERE x = 0) OVER (PARTITION BY measure) <= count(*) OVER (PARTITION BY measure) THEN x END AS x FROM u),
 qa AS (SELECT measure, quantile_disc(x, 0.25) AS q1, quantile_disc(x, 0.75) AS q3 FROM cc GROUP BY ALL),
@@ -119,7 +119,7 @@ qg AS (
 qo AS (
   SELECT cc.lang, cc.source, cc.measure, coalesce((quantile_disc(x, 0.25) * count(x) + any_value(qg.q1) * 50) // (count(x) + 50), any_value(qg.q1)) AS q1, coalesce((quantile_disc(x, 0.75) * count(x) + any_value(qg.q3) * 50) // (count(x) + 50), any_value(qg.q3)) AS q3
   FROM cc JOIN qg ON cc.measure = qg.measure AND cc.lang IS NOT DISTINCT FROM qg.lang GROUP BY cc.lang, cc.source, cc.measure),
-ql AS (SELECT lang, source, measure, q1 - 5 * greatest(q3 - q1, q3 // 32, 1) AS lo, q3 + 5 * greatest(q3 - q1, q3 // 32, 1) AS hi FROM qo),
+ql AS (SELECT lang, source, measure, q1 - 5 * greatest(q3 - q1, q3 // 256, 1) AS lo, q3 + 5 * greatest(q3 - q1, q3 // 256, 1) AS hi FROM qo),
 mj AS (UNPIVOT (SELECT r, lang, source, word_length, letters, symbols, dup_lines, repeats FROM b WHERE NOT base_failed) ON word_length, letters, symbols, dup_lines, repeats INTO NAME measure VALUE v),
 mk AS (SELECT r, bool_and(coalesce(v BETWEEN lo AND hi, true)) AS fine FROM mj JOIN ql ON mj.measure = ql.measure AND mj.lang IS NOT DISTINCT FROM ql.lang AND mj.source IS NOT DISTINCT FROM ql.source GROUP BY r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fine AS kept FROM b LEFT JOIN mk USING (r)
