@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
-from winnower.llm.shared import few, settle
+from winnower.llm.shared import few, settle, small_batches
 
 
 @dataclass(frozen=True)
@@ -130,6 +130,7 @@ def _centroids(fit: Fit):
 def train(docs: DataFrame, learn: Column, fit: Fit = Fit()) -> Model:
     """Fits on the rows of ``docs`` (doc_id, text, lang) that fulfil ``learn`` and have a text and a language."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"))
     df = rows.select("text").mapInArrow(_frequencies(fit), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).toPandas().set_index("entry")["n"]
     total = int(df.get(-1, 0))
@@ -148,6 +149,7 @@ def train(docs: DataFrame, learn: Column, fit: Fit = Fit()) -> Model:
 def detect(docs: DataFrame, model: Model, fit: Fit = Fit()) -> DataFrame:
     """``docs`` with lang_pred, score (cosine to the nearest centroid, 0 to 1) and rejected."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

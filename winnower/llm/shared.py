@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from winnower.functions.durable import checkpoint_root, settle
 
-__all__ = ["checkpoint_root", "crc_remainder", "few", "is_small", "pick", "read", "settle", "shared_path"]
+__all__ = ["checkpoint_root", "crc_remainder", "few", "is_small", "pick", "read", "settle", "shared_path", "small_batches"]
+
+
+BATCH_BYTES, SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -17,6 +20,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, most: str = "2m") -> None:
+    """Bounds the bytes of Arrow batches, so that texts don't pile up in Python workers, unless the session has a bound of its own.
+
+    Spark reads the setting when a query runs, so it stays for the session; one that the caller set is never touched.
+    """
+    if spark.conf.get(BATCH_BYTES) == SPARK_DEFAULT:
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
