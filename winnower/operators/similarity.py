@@ -86,13 +86,15 @@ def hash_pairs(hashes: DataFrame, t: int = 5, kinds: tuple[str, ...] = ("phash",
     return near.groupBy("a", "b").agg(F.min("distance").alias("distance")).unionByName(same)
 
 
-def cosine_pairs(vectors: DataFrame, least: float, block: int = 2048, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def cosine_pairs(vectors: DataFrame, least: float, block: int = 16384, tile: int = 2048, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(a, b, cosine) of all pairs at ``least`` or above, exactly.
 
-    Vectors are dealt to blocks by hash of the key; each pair of blocks meets in one task as a matrix product. A task holds
-    two blocks, whatever the number of vectors; the work is that of all pairs, spread evenly.
+    Vectors are dealt to blocks by hash of the key; each pair of blocks meets in one task, which multiplies them tile by tile.
+    A task holds two blocks and one tile of products, whatever the number of vectors; the work is that of all pairs, spread evenly,
+    and each vector is copied once per block, so that larger blocks shuffle less. Few vectors get blocks of a tile, to use more tasks.
     """
-    n = max(1, -(-vectors.count() // block))
+    count = vectors.count()
+    n = max(1, -(-count // block), min(-(-count // tile), 8))
     dealt = vectors.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(column, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     copies = dealt.select("id", "v", "own", other.alias("o")).select("id", "v", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "own")
@@ -106,13 +108,15 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = 2048, key: str =
             norm = np.linalg.norm(x, axis=1, keepdims=True) if x.size else np.ones((len(part), 1))
             sides.append((part["id"].to_numpy(), np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)))
         (ia, a), (ib, b) = sides
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64"})
-        cos = a @ b.T
-        r, c = np.nonzero(cos >= least)
-        keep = ia[r] < ib[c] if p == q else np.ones(len(r), bool)
-        r, c = r[keep], c[keep]
-        return pd.DataFrame({"a": np.minimum(ia[r], ib[c]), "b": np.maximum(ia[r], ib[c]), "cosine": cos[r, c]})
+        found = [pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64", "cosine": "float64"})]
+        tiles = itertools.product(range(0, len(a), tile), range(0, len(b), tile)) if len(a) and len(b) else ()
+        for i, j in tiles:
+            cos = a[i : i + tile] @ b[j : j + tile].T
+            r, c = np.nonzero(cos >= least)
+            x, y, cos = ia[i + r], ib[j + c], cos[r, c]
+            keep = x < y if p == q else np.ones(len(x), bool)
+            found.append(pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "cosine": cos[keep]}))
+        return pd.concat(found, ignore_index=True)
 
     return copies.groupBy("p", "q").applyInPandas(compare, "a long, b long, cosine double")
 

@@ -34,7 +34,7 @@ VIEWS = {
         SELECT item_id, count(*) AS n, least(1.0e0, count(*) * avg(confidence) / 10) AS anomaly, sum(CASE WHEN confidence > 0.5e0 THEN 1 ELSE 0 END) AS high
         FROM detections GROUP BY item_id""",
     "marks": "SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id",
-    "copies": "SELECT text AS copy_text, min(doc_id) AS first_id, count(*) AS n_copies FROM documents GROUP BY text",
+    "copies": "SELECT copy_digest, min(doc_id) AS first_id, count(*) AS n_copies FROM (SELECT doc_id, md5(text) AS copy_digest FROM documents) t GROUP BY copy_digest",
     "scored": """
         SELECT d.doc_id AS item_id, d.doc_id % 8 AS session_id, i.image_path, i.filename, i.source_folder, q.sharpness, q.noise, q.color_balance, q.brightness,
           0.3e0 * least(1.0e0, q.sharpness / 200) + 0.2e0 * greatest(0.0e0, 1 - 10 * q.noise) + 0.25e0 * q.brightness + 0.15e0 * q.color_balance
@@ -44,18 +44,20 @@ VIEWS = {
           CASE WHEN m.toxic = 1 THEN 1 ELSE 0 END AS privacy_count, CASE WHEN m.quality = 0 THEN 2 ELSE 0 END AS issue_count,
           CASE WHEN m.toxic = 1 OR m.quality = 0 THEN greatest(0.0e0, 1 - 0.4e0 * (CASE WHEN m.toxic = 1 THEN 1 ELSE 0 END) - 0.1e0 * (CASE WHEN m.quality = 0 THEN 2 ELSE 0 END)) ELSE 1.0e0 END AS compliance,
           i.width, i.height, i.file_size, e.ts AS created_at, e.value / 100 AS processing_time, e.event_type = 'signup' AS human_override
-        FROM documents d JOIN items i ON i.item_id = d.doc_id JOIN quality q ON q.item_id = d.doc_id LEFT JOIN defects f ON f.item_id = d.doc_id
-          LEFT JOIN marks m ON m.doc_id = d.doc_id LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN copies c ON c.copy_text = d.text""",
+        FROM (SELECT doc_id, md5(text) AS digest FROM documents) d JOIN items i ON i.item_id = d.doc_id JOIN quality q ON q.item_id = d.doc_id LEFT JOIN defects f ON f.item_id = d.doc_id
+          LEFT JOIN marks m ON m.doc_id = d.doc_id LEFT JOIN events e ON e.event_id = d.doc_id LEFT JOIN copies c ON c.copy_digest = d.digest""",
     "results": """
-        SELECT s.*, CASE WHEN r.quality_low OR r.anomaly_high OR r.compliance_low THEN 'rejected' WHEN r.weighted >= 0.75e0 AND r.n_reasons = 0 THEN 'approved'
-            WHEN r.weighted <= 0.4e0 OR r.n_reasons >= 3 THEN 'rejected' WHEN s.item_id % 17 = 0 THEN 'pending' ELSE 'review_required' END AS final_decision,
-          concat_ws(',', CASE WHEN s.overall < 0.6e0 THEN 'low_quality' END, CASE WHEN s.anomaly > 0.3e0 THEN 'defects_detected' END,
-            CASE WHEN s.similarity_group > 0 THEN 'similar_images' END, CASE WHEN s.privacy_count > 0 THEN 'privacy_violation' END, CASE WHEN s.issue_count > 0 THEN 'metadata_issues' END) AS reasons,
-          r.weighted, CASE WHEN s.human_override THEN s.created_at END AS human_review_at
-        FROM scored s JOIN (
-          SELECT item_id, overall < 0.3e0 AS quality_low, anomaly > 0.7e0 AS anomaly_high, compliance < 0.5e0 AS compliance_low,
-            0.35e0 * overall + 0.25e0 * greatest(0.0e0, 1 - anomaly) + 0.2e0 * (CASE WHEN similarity_group > 0 THEN 0.5e0 ELSE 1.0e0 END) + 0.15e0 * compliance + 0.05e0 AS weighted,
-            (CASE WHEN overall < 0.6e0 THEN 1 ELSE 0 END) + (CASE WHEN anomaly > 0.3e0 THEN 1 ELSE 0 END) + (CASE WHEN compliance < 0.8e0 THEN 1 ELSE 0 END) AS n_reasons FROM scored) r ON r.item_id = s.item_id""",
+        SELECT item_id, session_id, image_path, filename, source_folder, sharpness, noise, color_balance, brightness, overall, anomaly, defect_count, similarity_group,
+          privacy_count, issue_count, compliance, width, height, file_size, created_at, processing_time, human_override,
+          CASE WHEN overall < 0.3e0 OR anomaly > 0.7e0 OR compliance < 0.5e0 THEN 'rejected' WHEN weighted >= 0.75e0 AND n_reasons = 0 THEN 'approved'
+            WHEN weighted <= 0.4e0 OR n_reasons >= 3 THEN 'rejected' WHEN item_id % 17 = 0 THEN 'pending' ELSE 'review_required' END AS final_decision,
+          concat_ws(',', CASE WHEN overall < 0.6e0 THEN 'low_quality' END, CASE WHEN anomaly > 0.3e0 THEN 'defects_detected' END,
+            CASE WHEN similarity_group > 0 THEN 'similar_images' END, CASE WHEN privacy_count > 0 THEN 'privacy_violation' END, CASE WHEN issue_count > 0 THEN 'metadata_issues' END) AS reasons,
+          weighted, CASE WHEN human_override THEN created_at END AS human_review_at
+        FROM (
+          SELECT s.*, 0.35e0 * overall + 0.25e0 * greatest(0.0e0, 1 - anomaly) + 0.2e0 * (CASE WHEN similarity_group > 0 THEN 0.5e0 ELSE 1.0e0 END) + 0.15e0 * compliance + 0.05e0 AS weighted,
+            (CASE WHEN overall < 0.6e0 THEN 1 ELSE 0 END) + (CASE WHEN anomaly > 0.3e0 THEN 1 ELSE 0 END) + (CASE WHEN compliance < 0.8e0 THEN 1 ELSE 0 END) AS n_reasons
+          FROM scored s) w""",
     "projects": "SELECT c_custkey AS id, c_name AS name, CASE c_mktsegment WHEN 'BUILDING' THEN 'active' WHEN 'MACHINERY' THEN 'completed' ELSE 'idle' END AS status, c_acctbal AS budget FROM customer",
     "session_lines": """
         SELECT l_orderkey AS session_id, count(*) AS total_images, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS processed_images,
@@ -84,7 +86,7 @@ VIEWS = {
         SELECT doc_id AS item_id, concat(substr(md5(text), 1, 12), substr(md5(concat('', doc_id)), 1, 4)) AS phash, substr(md5(concat(text, doc_id)), 1, 16) AS dhash,
           substr(md5(text), 1, 16) AS ahash FROM documents""",
     "clusters": """
-        SELECT d.doc_id AS item_id, CASE WHEN c.n_copies > 1 THEN c.first_id + 1 ELSE 0 END AS cluster_id FROM documents d JOIN copies c ON c.copy_text = d.text""",
+        SELECT d.doc_id AS item_id, CASE WHEN c.n_copies > 1 THEN c.first_id + 1 ELSE 0 END AS cluster_id FROM (SELECT doc_id, md5(text) AS digest FROM documents) d JOIN copies c ON c.copy_digest = d.digest""",
 }
 _NAMES = list(VIEWS)
 

@@ -73,7 +73,8 @@ APPROVED = "SELECT i.* FROM items i JOIN results r ON r.item_id = i.item_id WHER
 
 
 def approved(r):
-    return r.items.join(r.results.where("final_decision <> 'rejected'").select("item_id"), "item_id", "left_semi")
+    """Only the columns that order and folders need: ranked rows are written to storage in between."""
+    return r.items.select("item_id", "image_path", "source_folder").join(r.results.where("final_decision <> 'rejected'").select("item_id"), "item_id", "left_semi")
 
 
 @query("w05_assign_folders", f"SELECT item_id, ((row_number() OVER (ORDER BY image_path, item_id) - 1) // 200 + 1)::BIGINT AS folder FROM ({APPROVED})")
@@ -88,7 +89,7 @@ def _(r):
 
 @query("w07_resolve_names", "SELECT item_id, CASE WHEN k = 0 THEN filename ELSE replace(filename, '.jpg', '_' || k || '.jpg') END AS new_name FROM (SELECT item_id, filename, row_number() OVER (PARTITION BY filename ORDER BY item_id) - 1 AS k FROM items)")
 def _(r):
-    return O.resolve_names(r.items.withColumn("folder", F.lit("out"))).select("item_id", "new_name")
+    return O.resolve_names(r.items.select("item_id", "filename", F.lit("out").alias("folder"))).select("item_id", "new_name")
 
 
 @query(
@@ -130,7 +131,7 @@ def _(r):
 
 @query("w12_batch_index", 'SELECT item_id, (i // 64)::BIGINT AS batch, (i % 64)::BIGINT AS "offset" FROM (SELECT item_id, row_number() OVER (ORDER BY image_path, item_id) - 1 AS i FROM items)')
 def _(r):
-    return O.batch_index(r.items, 64).select("item_id", "batch", "offset")
+    return O.batch_index(r.items.select("item_id", "image_path"), 64).select("item_id", "batch", "offset")
 
 
 @query(
