@@ -5,10 +5,10 @@ pairs with one word between, hashed to ``Fit.size`` coordinates. Each coordinate
 rate, and L1 keeps most weights at exactly zero, so that the model is a short list of coordinates and
 weights: small to broadcast, whatever the size of the corpus.
 
-The fit sees at most ``Fit.rows`` labelled documents (a bounded sample), in ``Fit.shards`` partitions of Spark.
-In each of ``Fit.epochs`` rounds every task goes through its shard from the common state and returns the
+The fit sees at most ``Fit.rows`` labelled documents (a bounded sample), dealt to ``Fit.shards`` shards by hash of doc_id.
+In each of ``Fit.epochs`` rounds every shard is gone through in a fixed order from the common state and gives the
 changes to z and n as three arrays; the next state adds to each coordinate the mean of the changes of the shards that
-touched it. The driver gets ``Fit.shards`` rows a round, of at most 5 MB each. Tasks hold one batch at a time.
+touched it. The driver gets ``Fit.shards`` rows a round, of at most 7 MB each, however many partitions Spark makes. Tasks hold one batch at a time.
 
 Defined results: a null, empty or wordless text has the score of the bias alone; rows that repeat are
 scored alike; other columns are ignored; an empty table gives no rows; without labels of both kinds the
@@ -19,11 +19,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +83,8 @@ def _sampled(fit: Fit):
                 pairs = np.unique(own * fit.size + at)
                 cuts = np.searchsorted(pairs, np.arange(hi - lo + 1) * fit.size)
                 x = [(pairs[s:e] % fit.size).astype(np.int32) for s, e in zip(cuts, cuts[1:])]
-                yield pa.record_batch([batch.column(1).slice(lo, hi - lo), pa.array(x, pa.list_(pa.int32()))], names=["label", "x"])
+                rest = [batch.column(k).slice(lo, hi - lo) for k in (1, 2, 3)]
+                yield pa.record_batch([*rest, pa.array(x, pa.list_(pa.int32()))], names=["doc_id", "shard", "label", "x"])
 
     return run
 
@@ -108,12 +110,23 @@ def passed(state: tuple[np.ndarray, np.ndarray], batches: Iterable[pa.RecordBatc
     return z, n
 
 
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches, cut where the shard changes."""
+    for batch in batches:
+        shards = batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1), len(shards)]
+        for s, e in zip(cuts, cuts[1:]):
+            if s < e:
+                yield int(shards[s]), batch.select(["label", "x"]).slice(s, e - s)
+
+
 def _round(state, fit: Fit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = passed(state.value, batches, fit)
-        at = np.flatnonzero(n != state.value[1])
-        parts = [pa.array([x.tobytes()], pa.binary()) for x in (at, (z - state.value[0])[at], (n - state.value[1])[at])]
-        yield pa.record_batch([pa.array([TaskContext.get().partitionId()]), *parts], names=["shard", "at", "dz", "dn"])
+        for shard, own in groupby(_pieces(batches), key=itemgetter(0)):
+            z, n = passed(state.value, (piece for _, piece in own), fit)
+            at = np.flatnonzero(n != state.value[1])
+            parts = [pa.array([x.tobytes()], pa.binary()) for x in (at, (z - state.value[0])[at], (n - state.value[1])[at])]
+            yield pa.record_batch([pa.array([shard]), *parts], names=["shard", "at", "dz", "dn"])
 
     return run
 
@@ -127,7 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "to
     if not known["n"] or known["p"] in (0.0, 1.0):
         p = np.clip(known["p"] or 0.0, 1e-9, 1 - 1e-9)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(p / (1 - p))))
-    rows = settle(sample.select("text", "label").mapInArrow(_sampled(fit), "label int, x array<int>"))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "doc_id"), F.lit(fit.shards)).cast("int").alias("shard")
+    rows = sample.select("text", "doc_id", shard, "label").mapInArrow(_sampled(fit), "doc_id long, shard int, label int, x array<int>")
+    # A shard is whole in one partition and goes through in the same order in every run, whatever the number of partitions.
+    rows = rows.repartition(4 * fit.shards, "shard").sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id")
+    rows = settle(rows.select("shard", "label", "x"))
     z, n = np.zeros(fit.size + 1), np.zeros(fit.size + 1)
     for _ in range(fit.epochs):
         state = spark.sparkContext.broadcast((z, n))
