@@ -671,3 +671,18 @@ def test_very_long_texts_pass_every_operator(spark):
     assert line_dedup.remove_repeated_chunks(clash).columns[2:] == clash.columns[2:] + ["n_removed", "removed_chars"]
     assert mixing.mix_sources(clash, labels.select("doc_id", F.lit(1.0).alias("weight"), F.lit(0).alias("size"))).count() == 1
     assert decontaminate.find_leaks(clash, clash.select(F.col("doc_id").alias("item_id"), "text", "node")).count() == 1
+
+
+def test_toxicity_shards_do_not_hang_on_partitions_or_batches():
+    class State:
+        value = (np.zeros(65), np.zeros(65))
+
+    fit = toxicity.Fit(size=64, l1=0.1)
+    xs = pa.array([[1, 2], [2, 3], [], [4], [1, 4]], pa.list_(pa.int32()))
+    rows = pa.record_batch([pa.array([0, 0, 1, 1, 1], pa.int32()), pa.array([1, 0, 1, 0, 1], pa.int32()), xs], names=["shard", "label", "x"])
+    run = toxicity._round(State, fit)
+    changes = lambda *parts: [tuple(r.values()) for part in parts for out in run(iter(part)) for r in out.to_pylist()]
+    whole = changes([rows])
+    assert [r[0] for r in whole] == [0, 1]
+    assert changes([rows.slice(i, 1) for i in range(5)]) == whole
+    assert changes([rows.slice(0, 2)], [], [rows.slice(2, 1), rows.slice(3)]) == whole
