@@ -104,6 +104,19 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * _inverses[starts])
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """Hashes of words in order, in slices of about ``limit`` bytes, so that the sums of a very long text are never held at once."""
+    if len(data) <= limit:
+        return span_hashes(prefix_sums(data), starts, ends)
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + limit, "right")))
+        sums = prefix_sums(data[starts[lo] : ends[hi - 1]])
+        out[lo:hi] = span_hashes(sums, starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo])
+        lo = hi
+    return out
+
+
 def owner(first: np.ndarray) -> np.ndarray:
     """For each word the index of its text, from the first words of the texts."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
