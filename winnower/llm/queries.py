@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from winnower.llm import chat_format, decontaminate, language_id, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, toxicity
+from winnower.llm import chat_format, collocations, decontaminate, importance, language_id, language_model, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, toxicity
 from winnower.llm.shared import crc_remainder, read
 
 
@@ -173,19 +173,86 @@ FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.k
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, {_LOWER} AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k))),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w, k, unnest(range(1, k)) AS j FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+o AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, string_split(phrase, ' ') AS w, k, f, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY ALL),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN o USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("text"))
+
+
+_CRC_TABLE = "SELECT list(list_reduce([i::UBIGINT] || [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"
+#: crc32 of the bytes whose hexadecimal digits are x.
+_CRC = "xor(list_reduce([4294967295::UBIGINT] || list_transform(range(1, len(x) + 1, 2), lambda i: ('0x' || substr(x, i, 2))::UBIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255)::BIGINT + 1])), 4294967295::UBIGINT)"
+
+OP12_SQL = rf"""
+WITH tab AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+sd AS (SELECT r, unnest(ws) AS w FROM d), tq AS (SELECT unnest(ws) AS w FROM q),
+v AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM sd UNION SELECT w FROM tq)),
+k AS (SELECT w, {_CRC} % 10000 AS b FROM v, tab),
+s AS (SELECT b, count(*) AS s FROM sd JOIN k USING (w) GROUP BY b), t AS (SELECT b, count(*) AS t FROM tq JOIN k USING (w) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM sd) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM tq) + 10000)::DOUBLE)))::BIGINT AS gain FROM s FULL JOIN t USING (b)),
+m AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM sd JOIN k USING (w) JOIN g USING (b) GROUP BY r),
+o AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(floor(total::DOUBLE / n), 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM o),
+y AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id, n_features) END AS place FROM x)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) FROM x WHERE n_features >= 20) * 10 // 100 THEN place END AS rank FROM y
+"""
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), crc_remainder("doc_id", 7) == 2)
+
+
+OP13_SQL = rf"""
+WITH tab AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_CRC} % 7 = 2 AS held_out, ['  '] || regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') || [' '] AS ws
+  FROM (SELECT doc_id, text, hex(encode(coalesce(doc_id::VARCHAR, ''))) AS x FROM documents), tab),
+g AS (SELECT r, held_out, ws[j] AS w, ws[j - 1] AS v, CASE WHEN j > 2 THEN ws[j - 2] END AS u FROM (SELECT *, unnest(range(2, len(ws) + 1)) AS j FROM d)),
+c1 AS (SELECT w, count(*) AS c1 FROM g WHERE NOT held_out GROUP BY ALL), c2 AS (SELECT v, w, count(*) AS c2 FROM g WHERE NOT held_out GROUP BY ALL), c3 AS (SELECT u, v, w, count(*) AS c3 FROM g WHERE NOT held_out AND u IS NOT NULL GROUP BY ALL),
+n AS (SELECT coalesce(sum(c1), 0)::BIGINT AS n, count(*) AS v, (SELECT count(*) FROM d WHERE NOT held_out) AS texts FROM c1),
+k AS (SELECT g.r, coalesce(c1.c1, 0) AS c1, coalesce(c2.c2, 0) AS c2, coalesce(c3.c3, 0) AS c3, CASE WHEN g.v = '  ' THEN n.texts ELSE coalesce(x.c1, 0) END AS h2, coalesce(y.c2, 0) AS h3, (coalesce(c1.c1, 0) + 1) / (n.n + n.v + 1)::DOUBLE AS p1
+  FROM g CROSS JOIN n LEFT JOIN c1 ON c1.w = g.w LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w LEFT JOIN c3 ON c3.u = g.u AND c3.v = g.v AND c3.w = g.w LEFT JOIN c1 x ON x.w = g.v LEFT JOIN c2 y ON y.v = g.u AND y.w = g.v),
+p AS (SELECT *, CASE WHEN h2 >= 1 THEN (c2 + 500 * p1) / (h2 + 500) ELSE p1 END AS p2 FROM k),
+s AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (WHERE c1 > 0) AS n_known, sum(log10(p1)) AS base_score, sum(log10(CASE WHEN h3 >= 8 THEN (c3 + 16 * p2) / (h3 + 16) ELSE p2 END)) AS score FROM p GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, (SELECT n FROM n) AS train_tokens, round(base_score, 6) AS base_score, round(score, 6) AS score FROM d JOIN s USING (r)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_SQL = {"op1_chat_format": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL}
+_SQL = {"op1_chat_format": OP1_SQL, "op5_mix_sources": OP5_SQL, "op6_quality_rules": OP6_SQL, "op7_line_dedup": OP7_SQL, "op10_minhash_near_dedup": OP10_SQL, "op11_collocations": OP11_SQL, "op12_importance_resampling": OP12_SQL, "op13_language_model": OP13_SQL}
 
 
 def queries() -> dict:
     ops = (
         op1_chat_format, op2_quality_classifier, op3_pseudonyms, op4_language_id, op5_mix_sources,
-        op6_quality_rules, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_minhash_near_dedup, pipeline,
+        op6_quality_rules, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_minhash_near_dedup,
+        op11_collocations, op12_importance_resampling, op13_language_model, pipeline,
     )
     return {f.__name__: f for f in ops}
 
