@@ -13,6 +13,7 @@ from winnower.plans.registry import query
 from winnower.plans.results import results
 from winnower.sources import files as S
 from winnower.sources import raster as R
+from winnower.sources.image_files import encode_png, write_image_files
 
 
 @query("s04_content_digest", "SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
@@ -117,6 +118,46 @@ def images(r):
     return r.embeddings.select(F.col("vec_id").cast("string").alias("item_id"), F.lit(192).cast("long").alias("file_size"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(3).alias("channels"), data.alias("data"))
 
 
+#: Of every fifty images one is no image, one is empty, one has another ending and one has it in capitals.
+TREE = "SELECT vec_id, concat('f', vec_id % 7, '/', vec_id, CASE vec_id % 50 WHEN 3 THEN '.jpg' WHEN 5 THEN '.txt' WHEN 6 THEN '.PNG' ELSE '.png' END) AS path, vec_id % 50 AS kind FROM embeddings"
+
+
+def image_tree(r) -> str:
+    """The images as files below a fresh root on shared storage."""
+    root = f"{checkpoint_root(r.spark).rstrip('/')}/images-{uuid.uuid4().hex}"
+    i, kind = F.col("item_id").cast("long"), F.col("item_id").cast("long") % 50
+    ending = F.when(kind == 3, ".jpg").when(kind == 5, ".txt").when(kind == 6, ".PNG").otherwise(".png")
+    df = encode_png(images(r)).withColumn("path", F.concat(F.lit("f"), (i % 7).cast("string"), F.lit("/"), "item_id", ending))
+    content = F.when(kind == 3, F.lit("no image").cast("binary")).when(kind != 4, F.col("content"))
+    write_image_files(df.select("path", content.alias("content")), root)
+    return root
+
+
+def below(column: str = "item_id"):
+    """The last two parts of a path."""
+    return F.array_join(F.slice(F.split(column, "/"), -2, 2), "/")
+
+
+PIXELS = f"SELECT item_id, string_agg(printf('%02X%02X%02X', b, g, r), '' ORDER BY y, x) AS pixels FROM ({COLOUR}) GROUP BY item_id"
+
+
+@query("s01_scan_images", f"SELECT path, 268::BIGINT AS file_size, 8 AS height, 8 AS width, 3 AS channels, pixels FROM ({TREE}) t JOIN ({PIXELS}) p ON p.item_id = vec_id WHERE kind NOT IN (3, 4, 5)")
+def _(r):
+    root = image_tree(r)
+    return S.scan_images(r.spark, root).select(below().alias("path"), "file_size", "height", "width", "channels", F.hex("data").alias("pixels"))
+
+
+@query("s02_count_inputs", f"SELECT split_part(path, '/', 1) AS folder, count(*) AS n_files, sum(CASE kind WHEN 3 THEN 8 WHEN 4 THEN 0 ELSE 268 END)::BIGINT AS bytes FROM ({TREE}) WHERE kind <> 5 GROUP BY 1")
+def _(r):
+    return S.count_by_folder(r.spark, image_tree(r))
+
+
+@query("s03_image_metadata", f"SELECT path, split_part(path, '/', 2) AS filename, '.png' AS extension, 268::BIGINT AS file_size, 8 AS width, 8 AS height, 3 AS channels FROM ({TREE}) WHERE kind NOT IN (3, 4, 5)")
+def _(r):
+    root = image_tree(r)
+    return S.image_metadata(S.scan_images(r.spark, root)).select(below().alias("path"), "filename", "extension", "file_size", "width", "height", "channels")
+
+
 @query("r07_pixel_table", f"SELECT item_id::VARCHAR AS item_id, y, x, b::INT AS b, g::INT AS g, r::INT AS r FROM ({COLOUR})")
 def _(r):
     return R.pixel_table(images(r))

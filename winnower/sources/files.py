@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from winnower.functions.exprs import col
+from winnower.sources.image_files import read_image_files
 
 #: Fixed value: the file endings that count as images.
 EXTENSIONS = ["jpg", "jpeg", "png", "JPG", "JPEG", "PNG"]
@@ -33,8 +34,13 @@ def scan_images(spark: SparkSession, root: str, drop_invalid: bool = True) -> Da
     return images.select(plain("origin"), "height", "width", "nChannels", "data").join(files, "origin").select(F.col("origin").alias("item_id"), F.col("length").alias("file_size"), "height", "width", F.col("nChannels").alias("channels"), "data").orderBy("item_id")
 
 
+def input_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (below the root) and length of all files with an image ending, empty and undecodable ones too; contents aren't read."""
+    return read_image_files(spark, root, ",".join(f".{x}" for x in EXTENSIONS), content=False).select("path", "length")
+
+
 def count_inputs(spark: SparkSession, root: str) -> int:
-    """Number of files with an image ending, decodable or not; 0 if the folder is missing. Spark lists no empty files."""
+    """Number of files with an image ending that hold something, decodable or not; 0 if the folder is missing. Spark lists no empty files."""
     try:
         return list_files(spark, root).count()
     except AnalysisException as e:
@@ -43,6 +49,12 @@ def count_inputs(spark: SparkSession, root: str) -> int:
         raise
 
 
+def count_by_folder(spark: SparkSession, root: str) -> DataFrame:
+    """folder (the first part of the path below the root), n_files and bytes of all files with an image ending, empty ones too; contents aren't read."""
+    files = read_image_files(spark, root, ",".join(f".{x}" for x in EXTENSIONS), content=False)
+    return files.groupBy(F.element_at(F.split("path", "/"), 1).alias("folder")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+
+
 def file_name(path: str | Column) -> Column:
     return F.element_at(F.split(col(path), "/"), -1)
 
