@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from winnower.functions.durable import settle
 from winnower.functions.exprs import ratio
+from winnower.operators.scans import ranged, scan, with_halo
 
 
 def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", partitions: int | None = None) -> DataFrame:
@@ -51,11 +52,20 @@ def keep_best_scored(members: DataFrame, vectors: DataFrame) -> DataFrame:
 def keep_medoid(pairs: DataFrame, members: DataFrame, identical: float = 0.95, near: float = 0.90) -> DataFrame:
     """From pairs (cluster_id, a, b, similarity) and members (item_id, file_size): the item of highest mean similarity is kept."""
     both = pairs.select("cluster_id", F.col("a").alias("item_id"), "similarity").unionByName(pairs.select("cluster_id", F.col("b").alias("item_id"), "similarity"))
-    mean = both.groupBy("cluster_id", "item_id").agg(F.round(F.avg("similarity"), 9).alias("mean"), F.max("similarity").alias("most")).join(members, "item_id")
-    w = W.partitionBy("cluster_id")
-    best, most = F.row_number().over(w.orderBy(F.desc("mean"), F.desc("file_size"), "item_id")), F.max("most").over(w)
-    action = F.when(most <= near, "review").when(best == 1, "keep").when(most > identical, "remove").otherwise("review")
-    return mean.select("cluster_id", "item_id", "mean", action.alias("action"))
+    means = both.groupBy("cluster_id", "item_id").agg(F.avg("similarity").alias("mean"))
+    return keep_medoid_of_means(means, pairs.groupBy("cluster_id").agg(F.max("similarity").alias("most")), members, identical, near)
+
+
+def keep_medoid_of_means(means: DataFrame, most: DataFrame, members: DataFrame, identical: float = 0.95, near: float = 0.90) -> DataFrame:
+    """The same from each item's mean similarity (cluster_id, item_id, mean) and each cluster's largest (cluster_id, most).
+
+    The item to keep is the largest of a struct, so that a cluster is aggregated in parts and no window sees it whole.
+    """
+    rows = means.select("cluster_id", "item_id", F.round("mean", 9).alias("mean")).join(members, "item_id")
+    rows = rows.withColumn("_rank", F.struct("mean", "file_size", (-F.col("item_id")).alias("i")))
+    best = rows.groupBy("cluster_id").agg(F.max("_rank").alias("_best")).join(most, "cluster_id")
+    action = F.when(F.col("most") <= near, "review").when(F.col("_rank").eqNullSafe(F.col("_best")), "keep").when(F.col("most") > identical, "remove").otherwise("review")
+    return rows.join(best, "cluster_id").select("cluster_id", "item_id", "mean", action.alias("action"))
 
 
 def prune_checkpoints(checkpoints: DataFrame, n: int = 5) -> DataFrame:
@@ -95,25 +105,30 @@ def resolve_names(items: DataFrame, folder: str = "folder") -> DataFrame:
     return df.drop("_k", "_again")
 
 
-def _running(key: str = "session_id", time: str = "ts", tie: str = "event_id"):
-    return W.partitionBy(key).orderBy(time, tie)
+_ORDER = ("ts", "event_id")
+
 
+def running_totals(progress: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Counts so far of each event's session; a session of any size is spread over ranges of time."""
+    n = lambda d: F.when(F.col("decision") == d, 1).otherwise(0)
+    dealt = ranged(progress, "session_id", _ORDER, partitions)
+    df = scan(dealt, "session_id", _ORDER, {"processed": F.lit(1), "approved": n("approved"), "rejected": n("rejected")}, whole={"of": (F.count("*"), F.sum)})
+    return df.withColumns({"percentage": 100 * F.col("processed") / F.col("of"), "approve_rate": ratio(F.col("approved"), F.col("processed"))}).drop("_part")
 
-def running_totals(progress: DataFrame) -> DataFrame:
-    w = _running().rowsBetween(W.unboundedPreceding, 0)
-    n = lambda d: F.sum(F.when(F.col("decision") == d, 1).otherwise(0)).over(w)
-    df = progress.withColumns({"processed": F.count("*").over(w), "approved": n("approved"), "rejected": n("rejected"), "of": F.count("*").over(W.partitionBy("session_id"))})
-    return df.withColumns({"percentage": 100 * F.col("processed") / F.col("of"), "approve_rate": ratio(F.col("approved"), F.col("processed"))})
 
+def moving_speed(progress: DataFrame, n: int = 10, partitions: int | None = None, chunk: int = 65536) -> DataFrame:
+    """Mean of the last n values of 1 / Δt in seconds, values of Δt = 0 left out; time left at that speed.
 
-def moving_speed(progress: DataFrame, n: int = 10) -> DataFrame:
-    """Mean of the last n values of 1 / Δt in seconds, values of Δt = 0 left out; time left at that speed."""
-    w, micros = _running(), F.unix_micros(F.col("ts").cast("timestamp"))
-    df = progress.withColumn("dt", (micros - F.lag(micros).over(w)) / 1e6)
-    timed = df.where("dt > 0").withColumn("speed", F.avg(1 / F.col("dt")).over(w.rowsBetween(-(n - 1), 0)))
-    total = progress.groupBy("session_id").agg(F.count("*").alias("of"))
-    done = progress.withColumn("processed", F.row_number().over(w)).select("event_id", "processed")
-    return timed.join(done, "event_id").join(total, "session_id").select("event_id", "session_id", "ts", "speed", ((F.col("of") - F.col("processed")) / F.col("speed")).alias("eta"))
+    Events get their rank among the timed ones of their session from two scans, and are dealt to chunks of ranks for the mean.
+    """
+    dealt = ranged(progress.select("event_id", "session_id", "ts"), "session_id", _ORDER, partitions)
+    first = scan(dealt, "session_id", _ORDER, {"processed": F.lit(1)}, {"before": "ts"}, {"of": (F.count("*"), F.sum)})
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    timed = settle(first.withColumn("dt", (micros("ts") - micros("before")) / 1e6).where("dt > 0"))
+    ranked = with_halo(scan(timed, "session_id", _ORDER, {"_rank": F.lit(1)}), "session_id", "_rank", n - 1, chunk)
+    w = W.partitionBy("session_id", "_chunk").orderBy("_rank").rowsBetween(-(n - 1), 0)
+    out = ranked.withColumn("speed", F.avg(1 / F.col("dt")).over(w)).where("not _halo")
+    return out.select("event_id", "session_id", "ts", "speed", ((F.col("of") - F.col("processed")) / F.col("speed")).alias("eta"))
 
 
 #: Progress marks.
@@ -127,13 +142,11 @@ def due_milestones(processed: Column, total: Column, hours: Column) -> Column:
     return F.concat(F.array_compact(F.array(*marks)), hourly)
 
 
-def milestones(progress: DataFrame) -> DataFrame:
+def milestones(progress: DataFrame, partitions: int | None = None) -> DataFrame:
     """The first event at which a session passes each mark."""
-    w = _running().rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy("session_id")
+    dealt = ranged(progress.select("event_id", "session_id", "ts"), "session_id", _ORDER, partitions)
+    df = scan(dealt, "session_id", _ORDER, {"k": F.lit(1)}, {"before": "ts"}, {"n": (F.count("*"), F.sum), "start": (F.min("ts"), F.min)})
     hours = lambda t: F.floor((F.unix_timestamp(t) - F.unix_timestamp("start")) / 3600).cast("int")
-    df = progress.withColumns({"k": F.count("*").over(w), "n": F.count("*").over(whole), "start": F.min("ts").over(whole)})
-    df = df.withColumn("before", F.lag("ts").over(_running()))
     new_hours = F.transform(F.when(hours("ts") > F.coalesce(hours("before"), F.lit(0)), F.sequence(F.coalesce(hours("before"), F.lit(0)) + 1, hours("ts"))).otherwise(F.array().cast("array<int>")), lambda h: F.concat(F.lit("hour_"), h.cast("string")))
     fresh = lambda now, before, key: F.when(now & ~before, F.lit(key))
     k, n = F.col("k"), F.col("n")
