@@ -156,10 +156,15 @@ def compliance_rollup(items: DataFrame, logos: DataFrame, privacy: DataFrame, is
 
 
 def cluster_stats(pairs: DataFrame, key: str = "cluster_id", similarity: str = "similarity") -> DataFrame:
+    """From pairs: mean, extremes and variance of each cluster's similarities, counts per level, quality and recommendation."""
     from winnower.operators.similarity import similarity_level
 
     s, level = F.col(similarity), similarity_level(similarity)
-    df = pairs.groupBy(key).agg(F.avg(s).alias("avg"), F.max(s).alias("max"), F.min(s).alias("min"), F.var_pop(s).alias("variance"), *(F.count_if(level == x).alias(x) for x in ("identical", "near_duplicate", "similar", "somewhat_similar")))
+    return graded_stats(pairs.groupBy(key).agg(F.avg(s).alias("avg"), F.max(s).alias("max"), F.min(s).alias("min"), F.var_pop(s).alias("variance"), *(F.count_if(level == x).alias(x) for x in ("identical", "near_duplicate", "similar", "somewhat_similar"))))
+
+
+def graded_stats(df: DataFrame) -> DataFrame:
+    """Quality and recommendation by the mean, and rounding, for rows of statistics whatever made them."""
     avg = F.col("avg")
     return df.withColumns({
         "quality": F.when(avg > 0.85, "high").when(avg > 0.75, "medium").otherwise("low"),

@@ -1,7 +1,6 @@
 """Similarity of items and their grouping (SIM-02 to SIM-16).
 
-Pairs come from joins that follow the data: equal pieces of hashes, or blocks of vectors against blocks; groups
-from rounds of joins that end when nothing changes.
+Pairs of hashes come from joins on equal pieces (pairs of vectors: ``metric``); groups from rounds of joins that end when nothing changes.
 """
 
 from __future__ import annotations
@@ -11,12 +10,14 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnower.functions.durable import settle
 from winnower.functions.exprs import col
 from winnower.operators import components
+from winnower.operators.scans import ranged, scan
 
 #: Thresholds of the presets.
 PRESETS = {
@@ -86,41 +87,6 @@ def hash_pairs(hashes: DataFrame, t: int = 5, kinds: tuple[str, ...] = ("phash",
     return near.groupBy("a", "b").agg(F.min("distance").alias("distance")).unionByName(same)
 
 
-def cosine_pairs(vectors: DataFrame, least: float, block: int = 16384, tile: int = 2048, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(a, b, cosine) of all pairs at ``least`` or above, exactly.
-
-    Vectors are dealt to blocks by hash of the key; each pair of blocks meets in one task, which multiplies them tile by tile.
-    A task holds two blocks and one tile of products, whatever the number of vectors; the work is that of all pairs, spread evenly,
-    and each vector is copied once per block, so that larger blocks shuffle less. Few vectors get blocks of a tile, to use more tasks.
-    """
-    count = vectors.count()
-    n = max(1, -(-count // block), min(-(-count // tile), 8))
-    dealt = vectors.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias("id"), F.transform(column, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    copies = dealt.select("id", "v", "own", other.alias("o")).select("id", "v", F.least("own", "o").alias("p"), F.greatest("own", "o").alias("q"), "own")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        sides = []
-        for k in (p, q):
-            part = pdf[pdf["own"] == k]
-            x = np.array(part["v"].to_list(), np.float64).reshape(len(part), -1)
-            norm = np.linalg.norm(x, axis=1, keepdims=True) if x.size else np.ones((len(part), 1))
-            sides.append((part["id"].to_numpy(), np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)))
-        (ia, a), (ib, b) = sides
-        found = [pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64", "cosine": "float64"})]
-        tiles = itertools.product(range(0, len(a), tile), range(0, len(b), tile)) if len(a) and len(b) else ()
-        for i, j in tiles:
-            cos = a[i : i + tile] @ b[j : j + tile].T
-            r, c = np.nonzero(cos >= least)
-            x, y, cos = ia[i + r], ib[j + c], cos[r, c]
-            keep = x < y if p == q else np.ones(len(x), bool)
-            found.append(pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "cosine": cos[keep]}))
-        return pd.concat(found, ignore_index=True)
-
-    return copies.groupBy("p", "q").applyInPandas(compare, "a long, b long, cosine double")
-
-
 def similarity_level(s, t: Mapping[str, float] = PRESETS["balanced"]) -> Column:
     return F.when(col(s) >= t["identical"], "identical").when(col(s) >= t["near_duplicate"], "near_duplicate").when(col(s) >= t["similar"], "similar").otherwise("somewhat_similar")
 
@@ -145,28 +111,74 @@ def dbscan(pairs: DataFrame, items: DataFrame, min_samples: int = 2) -> DataFram
     return items.select("item_id").join(labels.unionByName(border), "item_id", "left").select("item_id", F.coalesce(F.col("component") + 1, F.lit(0)).alias("cluster_id"))
 
 
-def leader_groups(pairs: DataFrame, items: DataFrame, most_rounds: int = 200) -> DataFrame:
+def leader_groups(pairs: DataFrame, items: DataFrame, bound: int = 200_000) -> DataFrame:
     """(item_id, leader): going through items in order, one without a group leads all later free items that pair with it.
 
-    In rounds: an item leads as soon as all its smaller neighbours are decided and none of them leads; one with a leading
-    smaller neighbour follows the least such. Decisions depend on smaller items only, so this is the sequential result.
+    Decisions hang on smaller items only. A round decides every item whose smaller neighbours are decided, or that has a leading neighbour below all open ones;
+    most items are decided in a few rounds. When a round decides less than a tenth of the open items, what is open are chains: components of
+    at most ``bound`` open links are then finished in one task each, and from larger ones the least items with so many links, in one task; then rounds go on.
+    Each turn ends at least that many links or a whole round, so there is no bound on their number.
     """
-    down = settle(pairs.select(F.greatest("a", "b").alias("item_id"), F.least("a", "b").alias("low")).distinct())
+    down = settle(pairs.select(F.greatest("a", "b").alias("item_id"), F.least("a", "b").alias("low")).where("item_id <> low").distinct())
     state = settle(items.select("item_id", F.lit(None).cast("long").alias("leader")))
-    for _ in range(most_rounds):
+    left = state.count()
+    while left:
+        before, open_before = left, state
         near = down.join(state.withColumnRenamed("item_id", "low"), "low").groupBy("item_id").agg(F.min(F.when(F.col("leader") == F.col("low"), F.col("low"))).alias("leads"), F.count_if(F.col("leader").isNull()).alias("open"), F.min(F.when(F.col("leader").isNull(), F.col("low"))).alias("first_open"))
-        joined = state.join(near, "item_id", "left")
+        joined = open_before.join(near, "item_id", "left")
         follows = F.when(F.col("leads").isNotNull() & F.coalesce(F.col("leads") < F.col("first_open"), F.lit(True)), F.col("leads"))
         free = (F.coalesce("open", F.lit(0)) == 0) & F.col("leads").isNull()
         state = settle(joined.select("item_id", F.coalesce("leader", follows, F.when(free, F.col("item_id"))).alias("leader")))
-        if not state.where("leader is null").take(1):
-            return state
-    raise RuntimeError(f"groups did not settle in {most_rounds} rounds")
+        left = state.where("leader is null").count()
+        if left and before - left < before / 10:
+            state = settle(_finish_chains(down, state, bound))
+            left = state.where("leader is null").count()
+    return state
+
+
+def _finish_chains(down: DataFrame, state: DataFrame, bound: int) -> DataFrame:
+    """Decides open items that no outer neighbour touches any more: whole components of open links, or the least items of a large one."""
+    free = state.where("leader is null").select("item_id")
+    inner = settle(down.join(free, "item_id").join(free.withColumnRenamed("item_id", "low"), "low").select("item_id", "low"))
+    # Decided neighbours that lead may still be followed: the least one goes with each item to its task.
+    led = state.where("leader = item_id").select(F.col("item_id").alias("low"))
+    outer = settle(down.join(free, "item_id").join(led, "low").groupBy("item_id").agg(F.min("low").alias("outer")))
+    parts = components.connected_components(inner.select(F.col("item_id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "item_id")
+    links = settle(inner.join(parts, "item_id"))
+    sizes = links.groupBy("component").agg(F.count("*").alias("n"))
+    small = links.join(sizes.where(F.col("n") <= bound).select("component"), "component")
+    large = links.join(sizes.where(F.col("n") > bound).select("component"), "component")
+    # The least items of a large component, with at most ``bound`` links: counted in ranges of items.
+    counts = large.groupBy("component", "item_id").agg(F.count("*").alias("n"))
+    first = scan(ranged(counts, "component", ("item_id",)), "component", ("item_id",), {"upto": F.col("n")}).where(F.col("upto") <= bound).select("component", "item_id")
+    todo = small.select("component", "item_id", "low").unionByName(large.join(first, ["component", "item_id"]).select("component", "item_id", "low"))
+    todo = todo.join(outer, "item_id", "left").join(outer.select(F.col("item_id").alias("low"), F.col("outer").alias("outer_low")), "low", "left")
+    done = todo.select("component", "item_id", "low", "outer", "outer_low").groupBy("component").applyInArrow(_decided, "item_id long, leader long")
+    return state.join(done.withColumnRenamed("leader", "now"), "item_id", "left").select("item_id", F.coalesce("leader", "now").alias("leader"))
+
+
+def _decided(links: pa.Table) -> pa.Table:
+    """Leaders of the items of a component's open links, in the order of items; ``outer`` is the least leader among an item's decided neighbours."""
+    links = links.sort_by([("item_id", "ascending"), ("low", "ascending")])
+    items, lows = links["item_id"].to_numpy(), links["low"].to_numpy()
+    led_by = dict(zip(lows.tolist(), links["outer_low"].to_pylist(), strict=True)) | dict(zip(items.tolist(), links["outer"].to_pylist(), strict=True))
+    cuts = np.append(np.flatnonzero(np.r_[True, items[1:] != items[:-1]]), len(items))
+    # Items without an open smaller neighbour come first: only what is decided binds them.
+    leader = {x: x if led_by[x] is None else led_by[x] for x in set(lows.tolist()) - set(items.tolist())}
+    for s, e in zip(cuts, cuts[1:]):
+        item = int(items[s])
+        near = [x for x in lows[s:e].tolist() if leader[x] == x] + [x for x in (led_by[item],) if x is not None]
+        leader[item] = min(near, default=item)
+    return pa.table({"item_id": pa.array(leader.keys(), pa.int64()), "leader": pa.array(leader.values(), pa.int64())})
 
 
 def classify_groups(pairs: DataFrame) -> DataFrame:
     """From pairs (cluster_id, distance, cosine): duplicate if the mean distance is below 3 or the mean cosine above 0.95."""
-    df = pairs.groupBy("cluster_id").agg(F.avg("distance").alias("distance"), F.avg("cosine").alias("cosine"))
+    return classify_means(pairs.groupBy("cluster_id").agg(F.avg("distance").alias("distance"), F.avg("cosine").alias("cosine")))
+
+
+def classify_means(df: DataFrame) -> DataFrame:
+    """The same from one row a cluster with the mean distance and the mean cosine, null where there is none."""
     return df.withColumn("kind", F.when(F.coalesce(F.col("distance") < 3, F.lit(False)) | F.coalesce(F.col("cosine") > 0.95, F.lit(False)), "duplicate").otherwise("similar"))
 
 
@@ -189,9 +201,13 @@ def graded_actions(groups: DataFrame, t: Mapping[str, float] = PRESETS["balanced
 
 def cluster_quality(clusters: DataFrame, pairs: DataFrame, least: float = 0.7) -> DataFrame:
     """(cluster_id, size, quality) of clusters with enough mean cosine; alone 1.0, without vectors 0.5."""
+    return quality_of_means(clusters, pairs.groupBy("cluster_id").agg(F.avg("cosine").alias("mean")), least)
+
+
+def quality_of_means(clusters: DataFrame, means: DataFrame, least: float = 0.7) -> DataFrame:
+    """The same from the mean cosine of each cluster (cluster_id, mean)."""
     sizes = clusters.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    mean = pairs.groupBy("cluster_id").agg(F.avg("cosine").alias("mean"))
-    df = sizes.join(mean, "cluster_id", "left")
+    df = sizes.join(means, "cluster_id", "left")
     return df.select("cluster_id", "size", F.when(F.col("size") == 1, 1.0).otherwise(F.coalesce("mean", F.lit(0.5))).alias("quality")).where(F.col("quality") >= least)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from winnower.functions import rules as R
 from winnower.operators import aggregates as A
+from winnower.operators import metric as M
 from winnower.plans.registry import query
 from winnower.plans.results import results
 from winnower.plans.rules import ERRORS, classified, now
@@ -187,6 +188,19 @@ def _(r):
     return A.cluster_stats(pairs(r))
 
 
+@query(
+    "a20_vector_cluster_stats",
+    f"""SELECT cluster_id, n_pairs, round(avg, 3) AS avg, round(max, 3) AS max, round(min, 3) AS min, round(variance, 3) AS variance, identical, near_duplicate, "similar", somewhat_similar, CASE WHEN avg > 0.85 THEN 'high' WHEN avg > 0.75 THEN 'medium' ELSE 'low' END AS quality,
+      CASE WHEN avg >= 0.95 THEN 'remove_duplicates' WHEN avg >= 0.90 THEN 'review_duplicates' WHEN avg >= 0.75 THEN 'review_similar' ELSE 'keep_all' END AS recommendation FROM (SELECT cluster_id, count(*) AS n_pairs, avg(c) AS avg, max(c) AS max, min(c) AS min, var_pop(c) AS variance,
+      count(*) FILTER (WHERE c >= 0.4) AS identical, count(*) FILTER (WHERE c >= 0.3 AND c < 0.4) AS near_duplicate, count(*) FILTER (WHERE c >= 0.2 AND c < 0.3) AS "similar", count(*) FILTER (WHERE c < 0.2) AS somewhat_similar FROM (
+        SELECT a.label::BIGINT AS cluster_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id) GROUP BY cluster_id)""",
+    "avg max min variance",
+)
+def _(r):
+    v = r.embeddings.select("vec_id", "embedding", F.col("label").cast("long").alias("cluster_id"))
+    return A.graded_stats(M.cluster_cosines(v, levels={"identical": 0.4, "near_duplicate": 0.3, "similar": 0.2}))
+
+
 @query(
     "a21_group_statistics",
     """SELECT count(*) AS groups, count(*) FILTER (WHERE kind = 'singleton') AS singletons, count(*) FILTER (WHERE kind = 'duplicate') AS duplicate_groups, count(*) FILTER (WHERE kind = 'similar') AS similar_groups, coalesce(sum(size - 1) FILTER (WHERE kind = 'duplicate'), 0)::BIGINT AS duplicates,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from winnower.operators import metric as M
 from winnower.operators import similarity as S
 from winnower.plans.registry import query
 from winnower.plans.windows import PAIRS, members, pairs
@@ -47,11 +48,13 @@ def _(r):
     return S.hash_pairs(r.hashes)
 
 
-COS_PAIRS = "SELECT * FROM (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id) WHERE cosine >= {0}"
+#: Pairs of distinct vectors by the least id of each, and each further item of a vector with its least id.
+COS_PAIRS = """WITH u AS (SELECT embedding AS e, min(vec_id) AS i FROM embeddings GROUP BY 1), p AS (SELECT least(a.i, b.i) AS a, greatest(a.i, b.i) AS b, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS cosine FROM u a JOIN u b ON a.i < b.i)
+    SELECT a, b, cosine FROM p WHERE cosine >= {0} UNION ALL SELECT i, vec_id, 1.0e0 FROM embeddings JOIN u ON e = embedding WHERE vec_id <> i"""
 
 
 def cos_pairs(r, least: float):
-    return S.cosine_pairs(r.embeddings, least)
+    return M.cosine_pairs(r.embeddings, least)
 
 
 @query("sim06_cosine_pairs", COS_PAIRS.format(0.3), "cosine")
@@ -72,7 +75,7 @@ def _(r):
     SELECT vec_id AS item_id, coalesce(l.c + 1, bd.c + 1, 0)::BIGINT AS cluster_id FROM embeddings LEFT JOIN l ON l.i = vec_id LEFT JOIN bd ON bd.i = vec_id""",
 )
 def _(r):
-    return S.dbscan(cos_pairs(r, 0.35), r.embeddings.select(F.col("vec_id").alias("item_id")), 3)
+    return M.density_clusters(r.embeddings, 0.35, 3)
 
 
 @query(
@@ -90,7 +93,7 @@ def _(r):
     SELECT o.i AS item_id, coalesce(list_min(list_intersect(o.low, f.leads)), o.i) AS leader FROM o, f""",
 )
 def _(r):
-    return S.leader_groups(cos_pairs(r, 0.35), r.embeddings.select(F.col("vec_id").alias("item_id")))
+    return M.cosine_leaders(r.embeddings, 0.35)
 
 
 GRADED = f"SELECT *, ((a + b) % 7)::DOUBLE AS distance FROM ({PAIRS})"
@@ -141,6 +144,26 @@ def _(r):
     return S.cluster_quality(r.clusters.where("cluster_id <> 0"), pairs(r).withColumnRenamed("similarity", "cosine"), 0.85)
 
 
+#: All pairs of the vectors of a label, for what the vectors' sums and blocks give without them.
+LABEL_PAIRS = "SELECT a.label::BIGINT AS cluster_id, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"
+
+
+def labelled(r):
+    return r.embeddings.select("vec_id", "embedding", F.col("label").cast("long").alias("cluster_id"))
+
+
+@query("sim11_classify_vectors", f"SELECT cluster_id, NULL::DOUBLE AS distance, avg(cosine) AS cosine, CASE WHEN avg(cosine) > 0.95e0 THEN 'duplicate' ELSE 'similar' END AS kind FROM ({LABEL_PAIRS}) GROUP BY cluster_id", "distance cosine")
+def _(r):
+    means = M.mean_cosines(labelled(r))[0].where("avg is not null")
+    return S.classify_means(means.select("cluster_id", F.lit(None).cast("double").alias("distance"), F.col("avg").alias("cosine")))
+
+
+@query("sim15_vector_quality", f"SELECT * FROM (SELECT label::BIGINT AS cluster_id, count(*) AS size, CASE WHEN count(*) = 1 THEN 1.0e0 ELSE coalesce(any_value(m), 0.5e0) END AS quality FROM embeddings LEFT JOIN (SELECT cluster_id, avg(cosine) AS m FROM ({LABEL_PAIRS}) GROUP BY 1) ON cluster_id = label GROUP BY 1) WHERE quality >= -0.1", "quality")
+def _(r):
+    means = M.mean_cosines(labelled(r))[0].select("cluster_id", F.col("avg").alias("mean"))
+    return S.quality_of_means(labelled(r), means, -0.1)
+
+
 @query(
     "sim16_threshold_config",
     f"""SELECT preset, level, count(*) AS n FROM (SELECT preset, CASE WHEN similarity >= i THEN 'identical' WHEN similarity >= d THEN 'near_duplicate' WHEN similarity >= s THEN 'similar' ELSE 'somewhat_similar' END AS level

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from winnower.operators import metric as M
 from winnower.operators import windows as O
 from winnower.plans.registry import query
 
@@ -64,6 +65,20 @@ def _(r):
     return O.keep_medoid(pairs(r), r.items.select("item_id", "file_size"))
 
 
+@query(
+    "w03_vector_medoid",
+    """WITH p AS (SELECT a.label::BIGINT AS cluster_id, a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
+      m AS (SELECT cluster_id, a AS item_id, round(avg(similarity), 9) AS mean, max(similarity) AS most FROM p GROUP BY ALL)
+    SELECT cluster_id, m.item_id, mean, CASE WHEN max(most) OVER w <= 0.2e0 THEN 'review' WHEN row_number() OVER (PARTITION BY cluster_id ORDER BY mean DESC, file_size DESC, m.item_id) = 1 THEN 'keep' WHEN max(most) OVER w > 0.4e0 THEN 'remove' ELSE 'review' END AS action
+    FROM m JOIN items i ON i.item_id = m.item_id WINDOW w AS (PARTITION BY cluster_id)""",
+    "mean",
+)
+def _(r):
+    v = r.embeddings.select("vec_id", "embedding", F.col("label").cast("long").alias("cluster_id"))
+    means = M.mean_cosines(v)[1].where("mean is not null")
+    return O.keep_medoid_of_means(means, M.cluster_cosines(v).select("cluster_id", F.col("max").alias("most")), r.items.select("item_id", "file_size"), 0.4, 0.2)
+
+
 @query("w04_prune_checkpoints", "SELECT id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) AS k FROM checkpoints) WHERE k > 5")
 def _(r):
     return O.prune_checkpoints(r.checkpoints).select("id", "session_id")
