@@ -227,7 +227,7 @@ def test_session_state_ends(spark, tmp_path):
         for k in range(len(parts)):  # a run for each part, with the state of the one before
             events = spark.readStream.schema(schema).parquet(str(tmp_path / f"in/[0-{k}]"))
             streams.write_batches(make(events), str(tmp_path / f"{name}/out"), str(tmp_path / f"{name}/state"), mode)
-        state = spark.read.format("statestore").load(str(tmp_path / f"{name}/state"))
+        state = spark.read.format("statestore").option("stateVarName", "counters").load(str(tmp_path / f"{name}/state"))
         assert state.count() == 0, (name, state.collect())
     done = spark.read.parquet(str(tmp_path / "done/out")).collect()
     assert sorted((r.session_id, r.event_id, r.processed, r.approved) for r in done) == [(1, 2, 2, 1), (1, 7, 1, 0), (2, 6, 1, 0), (3, 5, 1, 0)]

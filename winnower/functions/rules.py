@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnower.functions.exprs import clamp, col, contains_any, present, ratio, tokens
@@ -236,6 +236,21 @@ def resume_options(processed, batch) -> Column:
     return present((F.lit(True), "fresh_start"), (col(processed) > 0, "continue"), (col(batch) > 0, "restart_batch"))
 
 
+def resume_points(processed, batch_start, total=None, rate=None) -> Column:
+    """The options to resume as structs (option, start_index, seconds_left): what is left after the start, at ``rate`` items a second (null without a rate)."""
+    done, start = col(processed).cast("long"), col(batch_start).cast("long")
+    left = lambda at: F.when(F.lit(None).cast("double").isNotNull(), 0.0) if total is None or rate is None else F.when(col(rate) > 0, F.greatest(F.lit(0), col(total) - at) / col(rate))
+    point = lambda option, at: F.struct(F.lit(option).alias("option"), at.alias("start_index"), left(at).cast("double").alias("seconds_left"))
+    return F.array_compact(F.array(point("fresh_start", F.lit(0).cast("long")), F.when(done > 0, point("continue", done)), F.when(start > 0, point("restart_batch", start))))
+
+
+def state_valid(states: DataFrame, sessions: DataFrame, stored: str, *fields: str) -> DataFrame:
+    """``states`` with column valid: its stored hash is that of its fields, and its session (session_id) exists."""
+    known = sessions.select(F.col("id").alias("_known")).distinct()
+    right = F.coalesce(F.col(stored) == state_hash(*fields), F.lit(False))
+    return states.join(known, F.col("session_id") == F.col("_known"), "left").withColumn("valid", right & F.col("_known").isNotNull()).drop("_known")
+
+
 def state_hash(*fields: str) -> Column:
     """sha256 of the JSON of the fields in order of their names; null fields are kept."""
     return F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -52,9 +53,15 @@ def exposure_passed(brightness="brightness", contrast="contrast", over="over_pct
     return (exposure_score(brightness, contrast, over, under) > q.exposure) & (col(over) < 0.05) & (col(under) < 0.05) & (col(contrast) > 0.1)
 
 
+def quality_parts(q: QualityLimits = QualityLimits()) -> dict[str, Column]:
+    """The conditions of the quality test by name."""
+    size = (F.col("width") >= q.width) & (F.col("height") >= q.height)
+    return {"sharpness": F.col("sharpness") >= q.sharpness, "noise": F.col("noise") <= q.noise, "exposure": exposure_passed(q=q), "color_balance": F.col("color_balance") >= q.color, "resolution": size}
+
+
 def quality_passed(q: QualityLimits = QualityLimits()) -> Column:
-    sharp = (F.col("sharpness") >= q.sharpness) & (F.col("noise") <= q.noise)
-    return sharp & exposure_passed(q=q) & (F.col("color_balance") >= q.color) & (F.col("width") >= q.width) & (F.col("height") >= q.height)
+    parts = quality_parts(q)
+    return parts["sharpness"] & parts["noise"] & parts["exposure"] & parts["color_balance"] & parts["resolution"]
 
 
 def color_balance(r, g, b, grayscale=None) -> Column:
@@ -155,8 +162,19 @@ def ai_quality_overall(sharpness, noise, aesthetic, technical, confidence) -> Co
     return clamp(0.25 * col(sharpness) + 0.20 * (1 - col(noise)) + 0.25 * col(aesthetic) + 0.20 * col(technical) + 0.10 * col(confidence))
 
 
-def ai_quality_reasons(sharpness, noise, aesthetic, technical, confidence) -> Column:
-    return present((col(confidence) < 0.7, "low_confidence"), (col(sharpness) < 0.8, "low_sharpness"), (col(noise) > 0.3, "high_noise"), (col(aesthetic) < 0.6, "low_aesthetic"), (col(technical) < 0.7, "low_technical"))
+def ai_quality_reasons(sharpness, noise, aesthetic, technical, confidence, parts: Mapping[str, Column] | None = None) -> Column:
+    """Reasons against an item; ``parts`` are the conditions of the plain quality test by name, of which the failed ones are reasons too."""
+    failed = [(~F.coalesce(c, F.lit(False)), name) for name, c in (parts or {}).items()]
+    return present(*_ai_reasons(sharpness, noise, aesthetic, technical, confidence), *failed)
+
+
+def ai_quality_decide(reasons: Column | str) -> Column:
+    """approved if there is no reason against it."""
+    return F.when(F.size(col(reasons)) == 0, "approved").otherwise("rejected")
+
+
+def _ai_reasons(sharpness, noise, aesthetic, technical, confidence) -> tuple:
+    return ((col(confidence) < 0.7, "low_confidence"), (col(sharpness) < 0.8, "low_sharpness"), (col(noise) > 0.3, "high_noise"), (col(aesthetic) < 0.6, "low_aesthetic"), (col(technical) < 0.7, "low_technical"))
 
 
 def feature_scores(vector) -> dict[str, Column]:

@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from winnower.functions.durable import settle
+from winnower.sources.tables import change_table
 
 ERROR_FIELDS = [T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), T.StructField("seconds", T.DoubleType())]
 
@@ -36,6 +37,32 @@ def apply_analyzer(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructTy
     return df.mapInPandas(run, out)
 
 
+def apply_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType, key: str = "item_id") -> DataFrame:
+    """``fn`` on whole batches of rows: one call a batch as long as nothing fails. A batch that fails is halved until the bad rows are
+    alone, which become rows of status ``error`` as with ``apply_analyzer``; ``fn`` must return a row for each that it gets, in their order."""
+    out = T.StructType([df.schema[key], *schema.fields, *ERROR_FIELDS])
+
+    def attempt(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        began = time.perf_counter()
+        try:
+            made = fn(pdf)[schema.names].reset_index(drop=True)
+            if len(made) != len(pdf):
+                raise ValueError(f"{len(made)} rows made of {len(pdf)}")
+            done, status, error = made, "ok", None
+        except Exception as e:  # any failure of the user's function is data here
+            if len(pdf) > 1:
+                return attempt(pdf.iloc[: len(pdf) // 2]) + attempt(pdf.iloc[len(pdf) // 2 :])
+            done, status, error = pd.DataFrame([[None] * len(schema.names)], columns=schema.names), "error", traceback.format_exception_only(e)[-1].strip()
+        done.insert(0, key, pdf[key].to_numpy())
+        return [done.assign(status=status, error=error, seconds=(time.perf_counter() - began) / len(pdf))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield from attempt(pdf) if len(pdf) else []
+
+    return df.mapInPandas(run, out)
+
+
 def apply_model(df: DataFrame, make_predict: Callable, column: str, batch_size: int = 256, output: str = "prediction", dims: int | None = None) -> DataFrame:
     """A user's model over batches of a vector column; ``make_predict`` loads it once per worker."""
     from pyspark.ml.functions import predict_batch_udf
@@ -92,6 +119,27 @@ def resume(results: DataFrame, option: str, batch_start: int = 0) -> DataFrame:
     return results.where(keep[option])
 
 
+def resume_sessions(sessions: DataFrame, results: DataFrame, checkpoints: DataFrame, option: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions and results after resumption from checkpoints (session_id, processed_count, batch_start, at most one a session).
+
+    ``results`` have their index within the session. continue keeps all of them, restart_batch those before the batch, fresh_start none. Sessions with a checkpoint
+    run again without an error message; unless they continue, their counters are those of the results that stay. Others don't change.
+    """
+    start = {"continue": F.lit(None).cast("long"), "restart_batch": F.col("batch_start").cast("long"), "fresh_start": F.lit(0).cast("long")}
+    if option not in start:
+        raise ValueError(f"unknown option: {option}")
+    points = checkpoints.select(F.col("session_id").alias("_id"), start[option].alias("_start"), F.lit(True).alias("_again"))
+    kept = results.join(points, results.session_id == points["_id"], "left").where(F.col("_start").isNull() | (F.col("index") < F.col("_start"))).drop("_id", "_start", "_again")
+    found = sessions.join(points, sessions.id == points["_id"], "left").drop("_id", "_start")
+    again = F.coalesce("_again", F.lit(False))
+    found = found.withColumns({"status": F.when(again, "running").otherwise(F.col("status")), "error_message": F.when(~again, F.col("error_message"))})
+    if option == "continue":
+        return found.drop("_again"), kept
+    names = ("processed_images", "approved_images", "rejected_images")
+    counted = update_counters(found.where("_again"), kept.join(points.select(F.col("_id").alias("session_id")), "session_id", "left_semi"))
+    return found.where(~again).unionByName(counted.select(*(F.col(c).cast(found.schema[c].dataType).alias(c) if c in names else c for c in found.columns))).drop("_again"), kept
+
+
 def update_counters(sessions: DataFrame, results: DataFrame) -> DataFrame:
     """Session counters counted again from the results."""
     c = results.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("processed_images"), F.count_if(F.col("final_decision") == "approved").alias("approved_images"), F.count_if(F.col("final_decision") == "rejected").alias("rejected_images"))
@@ -122,3 +170,25 @@ def delete_sessions(sessions: DataFrame, gone: DataFrame, *children: DataFrame)
 def purge_sessions(sessions: DataFrame, *children: DataFrame, now: Column, days: int = 30) -> tuple[DataFrame, ...]:
     old = sessions.where((F.col("status") == "completed") & (F.col("updated_at") < now - F.expr(f"INTERVAL {days} DAYS")))
     return delete_sessions(sessions, old.select("id"), *children)
+
+
+def review_table(spark: SparkSession, path: str, reviews: DataFrame, by: str = "session_id") -> int:
+    """Reviews in a results table in place: only partitions with a reviewed item are written again; their number."""
+    return change_table(spark, path, by, reviews, ["item_id"], lambda rows: review(rows, reviews).select(*rows.columns))
+
+
+def purge_table(spark: SparkSession, path: str, gone: DataFrame, by: str = "session_id") -> int:
+    """Removes the rows of sessions (id) from a results or checkpoints table in place; the number of partitions that changed."""
+    ids = gone.select(F.col("id").alias("session_id"))
+    return change_table(spark, path, by, ids, ["session_id"], lambda rows: rows.join(ids, "session_id", "left_anti").select(*rows.columns))
+
+
+def set_status_table(spark: SparkSession, path: str, action: str, chosen: DataFrame, by: str) -> int:
+    """Pauses or resumes the chosen sessions (id) in place; the number of partitions that changed."""
+    mine = chosen.select("id").distinct().withColumn("_chosen", F.lit(True))
+
+    def change(rows: DataFrame) -> DataFrame:
+        marked = rows.join(mine, "id", "left")
+        return set_status(marked, action, F.coalesce(F.col("_chosen"), F.lit(False))).select(*rows.columns)
+
+    return change_table(spark, path, by, chosen, ["id"], change)

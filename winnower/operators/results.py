@@ -43,6 +43,23 @@ def list_sessions(sessions: DataFrame, project_id=None, status: Sequence[str] |
     return df if limit is None else df.offset(offset).limit(limit)
 
 
+def list_projects(projects: DataFrame, status: str | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Newest first."""
+    df = projects if status is None else projects.where(F.col("status") == status)
+    df = df.orderBy(F.desc("created_at"), F.desc("id"))
+    return df if limit is None else df.offset(offset).limit(limit)
+
+
+def active_projects(projects: DataFrame) -> DataFrame:
+    """Running and paused projects, the last changed first."""
+    return projects.where(F.col("status").isin("running", "paused")).orderBy(F.desc("updated_at"), F.desc("id"))
+
+
+def concurrent_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions that are running or about to, newest first."""
+    return list_sessions(sessions, status=["running", "created"])
+
+
 def session_status(sessions: DataFrame) -> DataFrame:
     percent = lambda a, b: F.round(100 * ratio(F.col(a), F.col(b)), 2)
     return sessions.select("id", "status", percent("processed_images", "total_images").alias("progress"), percent("approved_images", "processed_images").alias("approval"))
@@ -174,6 +191,12 @@ def compare_structure(in_dirs: DataFrame, out_dirs: DataFrame) -> DataFrame:
     return source.subtract(target).withColumn("side", F.lit("missing")).unionByName(target.subtract(source).withColumn("side", F.lit("extra")))
 
 
+def structure_valid(in_dirs: DataFrame, out_dirs: DataFrame) -> DataFrame:
+    """One row: n_missing, n_extra, and valid if both sides have the same directories."""
+    n = lambda side: F.count_if(F.col("side") == side)
+    return compare_structure(in_dirs, out_dirs).agg(n("missing").alias("n_missing"), n("extra").alias("n_extra"), (F.count("*") == 0).alias("valid"))
+
+
 def union_defects(objects: DataFrame, edges: DataFrame, shapes: DataFrame) -> DataFrame:
     """item_id, object_type, defect_type, confidence, description of three detectors."""
     edge = edges.select("item_id", F.lit("edge_feature").alias("object_type"), "defect_type", "confidence", F.format_string("%s with %s severity", "defect_type", "severity").alias("description"))

@@ -31,6 +31,34 @@ def _(r):
     return O.list_sessions(r.sessions, status=["running", "paused"], limit=40, offset=10).select("id", "project_id", "status")
 
 
+#: Projects with the state of their newest session, when they were made and last changed.
+PROJECTS = """SELECT p.id, p.name, coalesce(s.status, 'idle') AS status, coalesce(f.created_at, TIMESTAMP '1990-01-01 00:00:00') AS created_at, coalesce(s.updated_at, TIMESTAMP '1990-01-01 00:00:00') AS updated_at FROM projects p
+  LEFT JOIN (SELECT project_id, min(created_at) AS created_at FROM sessions GROUP BY 1) f ON f.project_id = p.id LEFT JOIN (SELECT * FROM sessions QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) = 1) s ON s.project_id = p.id"""
+
+
+def dated_projects(r):
+    last = r.sessions.groupBy("project_id").agg(F.max_by(F.struct("status", "updated_at"), F.struct("created_at", "id")).alias("s"), F.min("created_at").alias("created_at"))
+    old = F.lit("1990-01-01 00:00:00").cast("timestamp_ntz")
+    df = r.projects.select("id", "name").join(last, F.col("id") == F.col("project_id"), "left")
+    return df.select("id", "name", F.coalesce("s.status", F.lit("idle")).alias("status"), F.coalesce("created_at", old).alias("created_at"), F.coalesce("s.updated_at", old).alias("updated_at"))
+
+
+@query("p03_list_projects", f"SELECT id, name FROM ({PROJECTS}) WHERE status = 'completed' ORDER BY created_at DESC, id DESC LIMIT 40 OFFSET 10")
+def _(r):
+    return O.list_projects(dated_projects(r), "completed", 40, 10).select("id", "name")
+
+
+@query("p03_active_projects", f"SELECT id, name, status FROM ({PROJECTS}) WHERE status IN ('running', 'paused')")
+def _(r):
+    return O.active_projects(dated_projects(r)).select("id", "name", "status")
+
+
+@query("p03_concurrent_sessions", "SELECT id, project_id, status FROM (SELECT id, project_id, CASE WHEN status = 'paused' THEN 'created' ELSE status END AS status FROM sessions) WHERE status IN ('running', 'created')")
+def _(r):
+    made = r.sessions.withColumn("status", F.when(F.col("status") == "paused", "created").otherwise(F.col("status")))  # the view has none that are created
+    return O.concurrent_sessions(made).select("id", "project_id", "status")
+
+
 @query(
     "p04_session_status",
     """SELECT id, status, CASE WHEN total_images = 0 THEN 0.0e0 ELSE round(100.0e0 * processed_images / total_images, 2) END AS progress,
@@ -179,6 +207,17 @@ def _(r):
     return O.compare_structure(r.orders.select(F.col("o_custkey").cast("string").alias("name")), r.lineitem.select(F.col("l_suppkey").cast("string").alias("name")))
 
 
+@query(
+    "u01_structure_valid",
+    """WITH a AS (SELECT DISTINCT o_custkey::VARCHAR AS name FROM orders), b AS (SELECT DISTINCT l_suppkey::VARCHAR AS name FROM lineitem), m AS (SELECT count(*) AS n FROM (SELECT * FROM a EXCEPT SELECT * FROM b)), x AS (SELECT count(*) AS n FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
+      SELECT 'all' AS input, m.n AS n_missing, x.n AS n_extra, m.n + x.n = 0 AS valid FROM m, x UNION ALL SELECT 'same', 0, 0, true""",
+)
+def _(r):
+    source, target = (r.orders.select(F.col("o_custkey").cast("string").alias("name")), r.lineitem.select(F.col("l_suppkey").cast("string").alias("name")))
+    every = O.structure_valid(source, target).select(F.lit("all").alias("input"), "*")
+    return every.unionByName(O.structure_valid(source, source).select(F.lit("same").alias("input"), "*"))
+
+
 @query(
     "u02_union_defects",
     """SELECT item_id, object_type, defect_type, confidence, defect_type || ' on ' || object_type AS description FROM detections WHERE n = 1

@@ -286,7 +286,20 @@ def _(r):
     return c.select("id", R.recovery_action("processed_count", "error_count", "created_at", now()).alias("action"), R.recovery_confidence("error_count", "memory_mb", "created_at", now()).alias("confidence"))
 
 
-@query("f48_resume_options", "SELECT id, concat_ws(',', 'fresh_start', CASE WHEN processed_count - 10 > 0 THEN 'continue' END, CASE WHEN (processed_count - 10) // 20 > 0 THEN 'restart_batch' END) AS options, greatest(0, 500 - processed_count) / 2.5e0 AS seconds_left FROM checkpoints", "seconds_left")
+@query(
+    "f48_resume_options",
+    """WITH c AS (SELECT id, processed_count - 10 AS done, (processed_count - 10) // 20 * 20 AS start, CASE WHEN id % 6 = 0 THEN 0.0e0 ELSE 2.5e0 END AS rate FROM checkpoints)
+    SELECT id, 'fresh_start' AS option, 0::BIGINT AS start_index, CASE WHEN rate > 0 THEN 500 / rate END AS seconds_left FROM c UNION ALL SELECT id, 'continue', done, CASE WHEN rate > 0 THEN greatest(0, 500 - done) / rate END FROM c WHERE done > 0
+    UNION ALL SELECT id, 'restart_batch', start, CASE WHEN rate > 0 THEN greatest(0, 500 - start) / rate END FROM c WHERE start > 0""",
+    "seconds_left",
+)
+def _(r):
+    done = F.col("processed_count") - 10
+    points = R.resume_points(done, F.floor(done / 20) * 20, F.lit(500), F.when(F.col("id") % 6 == 0, 0.0).otherwise(2.5))
+    return r.checkpoints.select("id", F.inline(points))
+
+
+@query("f48_options", "SELECT id, concat_ws(',', 'fresh_start', CASE WHEN processed_count - 10 > 0 THEN 'continue' END, CASE WHEN (processed_count - 10) // 20 > 0 THEN 'restart_batch' END) AS options, greatest(0, 500 - processed_count) / 2.5e0 AS seconds_left FROM checkpoints", "seconds_left")
 def _(r):
     done = F.col("processed_count") - 10
     return r.checkpoints.select("id", F.array_join(R.resume_options(done, F.floor(done / 20)), ",").alias("options"), (F.greatest(F.lit(0), 500 - F.col("processed_count")) / 2.5).alias("seconds_left"))
@@ -295,11 +308,16 @@ def _(r):
 STATE = """concat('{"checkpoint_type":"', checkpoint_type, '","error_count":', error_count, ',"processed_count":', processed_count, ',"session_id":', session_id, '}')"""
 
 
-@query("f49_state_hash", f"SELECT id, sha256({STATE}) AS state_hash, true AS valid FROM checkpoints")
+@query(
+    "f49_state_hash",
+    f"""SELECT id, sha256({STATE}) AS state_hash, id % 9 <> 4 AND id % 11 <> 5 AND EXISTS (SELECT 1 FROM sessions s WHERE s.id = c.session_id) AS valid FROM checkpoints c""",
+)
 def _(r):
-    h = R.state_hash("session_id", "processed_count", "error_count", "checkpoint_type")
-    known = r.checkpoints.withColumn("stored", h)
-    return known.select("id", h.alias("state_hash"), (F.col("stored") == h).alias("valid"))
+    fields = ("session_id", "processed_count", "error_count", "checkpoint_type")
+    # Of every nine stored hashes one is that of another count, of every eleven one is missing; sessions come from another table, so some are unknown.
+    stored = F.when(F.col("id") % 9 == 4, F.sha2(F.concat(R.state_hash(*fields), F.lit("!")), 256)).when(F.col("id") % 11 != 5, R.state_hash(*fields))
+    rows = r.checkpoints.withColumn("stored", stored)
+    return R.state_valid(rows, r.sessions, "stored", *fields).select("id", R.state_hash(*fields).alias("state_hash"), "valid")
 
 
 @query(

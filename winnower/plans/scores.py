@@ -138,15 +138,18 @@ FALLBACK = """SELECT item_id, least(1.0e0, sharpness / 200) AS sharp, greatest(0
 
 @query(
     "f13_ai_quality",
-    f"""SELECT item_id, greatest(0.0e0, least(1.0e0, 0.25 * sharp + 0.2 * (1 - noisy) + 0.25 * aesthetic + 0.2 * technical + 0.1 * confidence)) AS overall,
-      concat_ws(',', CASE WHEN confidence < 0.7 THEN 'low_confidence' END, CASE WHEN sharp < 0.8 THEN 'low_sharpness' END, CASE WHEN noisy > 0.3 THEN 'high_noise' END, CASE WHEN aesthetic < 0.6 THEN 'low_aesthetic' END, CASE WHEN technical < 0.7 THEN 'low_technical' END) AS reasons
-    FROM (SELECT *, (sharp + 1 - noisy) / 2 AS technical FROM ({FALLBACK}))""",
+    f"""SELECT item_id, overall, reasons, CASE WHEN reasons = '' THEN 'approved' ELSE 'rejected' END AS decision FROM (SELECT item_id, greatest(0.0e0, least(1.0e0, 0.25 * sharp + 0.2 * (1 - noisy) + 0.25 * aesthetic + 0.2 * technical + 0.1 * confidence)) AS overall,
+      concat_ws(',', CASE WHEN confidence < 0.7 THEN 'low_confidence' END, CASE WHEN sharp < 0.8 THEN 'low_sharpness' END, CASE WHEN noisy > 0.3 THEN 'high_noise' END, CASE WHEN aesthetic < 0.6 THEN 'low_aesthetic' END, CASE WHEN technical < 0.7 THEN 'low_technical' END, CASE WHEN NOT sharpness >= 100 THEN 'sharpness' END, CASE WHEN NOT noise <= 0.1e0 THEN 'noise' END, CASE WHEN NOT ({EXPOSED}) THEN 'exposure' END, CASE WHEN NOT color_balance >= 0.5 THEN 'color_balance' END, CASE WHEN NOT (width >= 1920 AND height >= 1080) THEN 'resolution' END) AS reasons
+    FROM (SELECT q.*, sharp, noisy, aesthetic, confidence, (sharp + 1 - noisy) / 2 AS technical FROM ({FALLBACK}) f JOIN quality q ON q.item_id = f.item_id))""",
     "overall",
 )
 def _(r):
-    f = r.quality.select("item_id", *(v.alias(k) for k, v in S.quality_fallback(F.col("sharpness") >= 100).items()))
+    parts = S.quality_parts()
+    f = r.quality.select("item_id", *(v.alias(k) for k, v in S.quality_fallback(F.col("sharpness") >= 100).items()), *(c.alias(f"p_{k}") for k, c in parts.items()))
     five = ("sharpness", "noise", "aesthetic", "technical", "confidence")
-    return f.select("item_id", S.ai_quality_overall(*five).alias("overall"), F.array_join(S.ai_quality_reasons(*five), ",").alias("reasons"))
+    reasons = S.ai_quality_reasons(*five, parts={k: F.col(f"p_{k}") for k in parts})
+    f = f.select("item_id", S.ai_quality_overall(*five).alias("overall"), reasons.alias("reasons"))
+    return f.select("item_id", "overall", F.array_join("reasons", ",").alias("reasons"), S.ai_quality_decide("reasons").alias("decision"))
 
 
 @query(

@@ -45,10 +45,37 @@ def _(r):
     return S.decode_results(raw, "props", "struct<k: long>").select("event_id", "props.k")
 
 
+#: Results of three analyzers in one JSON column, some of them cut off.
+RAW = "SELECT event_id, event_id % 3 AS analyzer, CASE WHEN event_id % 9 = 4 THEN '{' || body ELSE body END AS raw FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('{\"quality\":{\"sharpness\":', event_id % 401, '},\"k\":', props->>'k', '}') WHEN 1 THEN concat('{\"defects\":[\"crack\",\"blur', event_id % 5, '\"],\"k\":\"', props->>'k', '\"}') ELSE concat('{\"compliant\":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, '}') END AS body FROM events)"
+
+
+def raw_results(r):
+    i, k = F.col("event_id"), F.get_json_object("props", "$.k")
+    text = lambda v: v.cast("string")
+    quality = F.concat(F.lit('{"quality":{"sharpness":'), text(i % 401), F.lit('},"k":'), k, F.lit("}"))
+    defects = F.concat(F.lit('{"defects":["crack","blur'), text(i % 5), F.lit('"],"k":"'), k, F.lit('"}'))
+    compliant = F.concat(F.lit('{"compliant":'), text(i % 2 == 0), F.lit("}"))
+    body = F.when(i % 3 == 0, quality).when(i % 3 == 1, defects).otherwise(compliant)
+    return r.events.select("event_id", (i % 3).alias("analyzer"), F.when(i % 9 == 4, F.concat(F.lit("{"), body)).otherwise(body).alias("raw"))
+
+
+@query("s07_variant_results", f"SELECT event_id, CASE WHEN ok AND analyzer = 0 THEN json_extract(raw, '$.quality.sharpness')::BIGINT END AS sharpness, CASE WHEN ok AND analyzer = 1 THEN json_extract_string(raw, '$.defects[1]') END AS second_defect, CASE WHEN ok AND analyzer = 2 THEN json_extract(raw, '$.compliant')::BOOLEAN END AS compliant, CASE WHEN ok THEN json_extract_string(raw, '$.k')::BIGINT END AS k FROM (SELECT *, event_id % 9 <> 4 AS ok FROM ({RAW}))")
+def _(r):
+    fields = {"sharpness": ("$.quality.sharpness", "long"), "second_defect": ("$.defects[1]", "string"), "compliant": ("$.compliant", "boolean"), "k": ("$.k", "long")}
+    return S.decode_variants(raw_results(r), "raw").select("event_id", *S.variant_fields("raw", fields))
+
+
+@query("s07_variant_schema", f"SELECT analyzer, CASE analyzer WHEN 0 THEN 'OBJECT<k: BIGINT, quality: OBJECT<sharpness: BIGINT>>' WHEN 1 THEN 'OBJECT<defects: ARRAY<STRING>, k: STRING>' ELSE 'OBJECT<compliant: BOOLEAN>' END AS schema FROM ({RAW}) GROUP BY 1")
+def _(r):
+    return S.merged_schema(S.decode_variants(raw_results(r), "raw"), "raw", "analyzer")
+
+
 @query("s08_save_load_results", "SELECT item_id, session_id, final_decision FROM results WHERE session_id = 3")
 def _(r):
     path = f"{checkpoint_root(r.spark).rstrip('/')}/results-{uuid.uuid4().hex}"
-    S.save_results(r.results.select("item_id", "session_id", "final_decision"), path)
+    rows = r.results.select("item_id", "session_id", "final_decision")
+    for batch in ("0", "1", "0"):  # the repeated batch changes nothing
+        S.save_results(rows.where(F.col("item_id") % 2 == int(batch)), path, batch)
     return S.load_results(r.spark, path, 3).select("item_id", F.col("session_id").cast("long").alias("session_id"), "final_decision")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Mapping
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,20 +99,80 @@ def decode_results(raw: DataFrame, column: str, schema: str) -> DataFrame:
     return raw.withColumn(column, F.from_json(column, schema, {"mode": "PERMISSIVE"}))
 
 
+def decode_variants(raw: DataFrame, column: str) -> DataFrame:
+    """The JSON column as a variant, whatever its shape; malformed JSON is null and its row stays."""
+    return raw.withColumn(column, F.try_parse_json(column))
+
+
+def variant_fields(column: str | Column, fields: Mapping[str, tuple[str, str]]) -> list[Column]:
+    """Columns from a variant: name to (JSON path, type); null where the path is missing or the value doesn't fit."""
+    return [F.try_variant_get(col(column), path, kind).alias(name) for name, (path, kind) in fields.items()]
+
+
+def merged_schema(decoded: DataFrame, column: str, *by: str) -> DataFrame:
+    """The schema that all variants of a column (of each group) fit, types merged."""
+    return decoded.groupBy(*by).agg(F.schema_of_variant_agg(column).alias("schema"))
+
+
 def failed_result(message: str | Column) -> dict[str, Column]:
     """Decision and reasons of an item whose processing failed."""
     return {"final_decision": F.lit("rejected"), "reasons": F.array(F.concat(F.lit("Processing error: "), col(message)))}
 
 
-def save_results(results: DataFrame, path: str) -> None:
-    """Appends the rows below one folder per session."""
-    results.write.mode("append").partitionBy("session_id").parquet(path)
+_LEDGER = "batch string, attempt string, n_rows long, digest decimal(38,0)"
+
+
+def _digest(rows: DataFrame) -> tuple[int, object]:
+    """Number of rows and the sum of their hashes, which doesn't hang on their order; 0 without rows."""
+    r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*sorted(c for c in rows.columns)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("h")).first()
+    return r["n"], r["h"]
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of a results table: batch, attempt, n_rows and digest of every batch that was committed."""
+    try:
+        return spark.read.schema(_LEDGER).json(f"{path}/_ledger/*")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], _LEDGER)
+        raise
+
+
+def save_results(results: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Adds the rows below one folder per session, as a batch that is visible as a whole or not at all; whether it was new.
+
+    Rows go to a folder of this attempt. The batch then counts by one small file of the ledger, whose folder bears its name and can only be made
+    once: a job that dies before leaves rows that nobody reads, and a batch that is saved again changes nothing (an error if its
+    rows differ). Without a name every call is a batch of its own.
+    """
+    spark, batch, attempt = results.sparkSession, batch or uuid.uuid4().hex, uuid.uuid4().hex
+    if not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError(f"not a name for a batch: {batch!r}")
+    known = committed(spark, path).where(F.col("batch") == batch).first()
+    if known is None:
+        target = f"{path}/data/batch=b-{batch}/attempt=a-{attempt}"  # never digits alone, which would come back as numbers
+        results.write.partitionBy("session_id").parquet(target)
+        n, digest = _digest(spark.read.schema(results.schema).parquet(target).select(*results.columns))
+        entry = spark.createDataFrame([(batch, attempt, n, digest)], _LEDGER)
+        try:
+            entry.coalesce(1).write.mode("errorifexists").json(f"{path}/_ledger/batch-{batch}")
+            return True
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+        known = committed(spark, path).where(F.col("batch") == batch).first()  # another attempt was first
+    if (known["n_rows"], known["digest"]) != _digest(results):
+        raise ValueError(f"batch {batch} was committed with other rows")
+    return False
 
 
 def load_results(spark: SparkSession, path: str, session_id: int | None = None) -> DataFrame:
-    """Saved rows; a session's rows come from its folder alone."""
-    df = spark.read.parquet(path)
-    return df if session_id is None else df.where(F.col("session_id") == session_id)
+    """Rows of committed batches; a session's rows come from its folders alone, and attempts that the ledger doesn't name aren't read."""
+    ledger = committed(spark, path).select("batch", "attempt")
+    df = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
+    df = df if session_id is None else df.where(F.col("session_id") == session_id)
+    named = ledger.select(F.concat(F.lit("b-"), "batch").alias("batch"), F.concat(F.lit("a-"), "attempt").alias("attempt"))
+    return df.join(named, ["batch", "attempt"], "left_semi").drop("batch", "attempt")
 
 
 def export_rows(results: DataFrame) -> DataFrame:

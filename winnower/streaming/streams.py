@@ -4,24 +4,34 @@ Input is a stream of events (session_id, event_id, ts, decision, event_type). St
 counters, the last ten speeds, the marks reached. It is forgotten when the session completes (an event of type ``done`` is its last), or
 ``ttl_seconds`` of event time after its last event. Events of a session are taken in the order of time within a
 micro-batch; those later than the watermark, ``delay`` behind the newest event, are left out.
+
+Progress, milestones, checkpoints and completions are stateful processors (``transformWithStateInPandas``) with typed state: a value for the counters, a list for the
+speeds, a map for the marks, and an event-time timer for the end of a session's life. They need the RocksDB state store, which
+these functions choose for the session if it has Spark's default. A session's events of a micro-batch are processed as arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from winnower.functions.rules import error_category, error_severity
+from winnower.functions.rules import crash_type, error_category, error_severity, resume_options, state_hash
+from winnower.operators.results import latest_checkpoint
 from winnower.operators.windows import COUNTS, PERCENTS
+from winnower.sources.files import save_results
 
-STATE = "processed long, approved long, rejected long, start double, last double, speeds array<double>, mark long, reached array<string>, last_event long"
-_START = (0, 0, 0, float("nan"), float("nan"), [], 0, [], -1)
-_FIELDS = [f.split()[0] for f in STATE.split(", ")]
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_COUNTERS = "processed long, approved long, rejected long, errors long, start double, last double, last_event long, mark long, hours long, timer long"
+_NAMES = [f.split()[0] for f in _COUNTERS.split(", ")]
+_START = dict.fromkeys(_NAMES, 0) | {"start": float("nan"), "last": float("nan"), "last_event": -1}
 KEEP = 10
 
 
@@ -29,19 +39,6 @@ def _sorted(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts", "event_id"])
 
 
-def _advance(s: dict, event) -> None:
-    """Takes one event into the state of its session."""
-    at = event.ts.timestamp()
-    if s["processed"] and at > s["last"]:
-        s["speeds"] = [*s["speeds"], 1 / (at - s["last"])][-KEEP:]
-    if not s["processed"]:
-        s["start"] = at
-    s["processed"] += 1
-    s["approved"] += event.decision == "approved"
-    s["rejected"] += event.decision == "rejected"
-    s["last"], s["last_event"] = at, event.event_id
-
-
 @dataclass(frozen=True)
 class Life:
     """When a session's state ends: the type of the event that completes it, and how long it is kept without one."""
@@ -51,80 +48,181 @@ class Life:
     delay: str = "1 hour"
 
 
-def _stateful(events: DataFrame, schema: str, life: Life, each: Callable[[dict, object], list[tuple]] | None, end: Callable[[int, dict], list[tuple]] | None = None) -> DataFrame:
-    """Runs ``each`` after every event and ``end`` after a session's batch; both give rows to emit."""
-    names = [f.split()[0] for f in schema.split(", ")]
+@dataclass
+class Step:
+    """A session's events up to a completion or the end of the batch, with the counters after each."""
+
+    events: pd.DataFrame
+    seconds: np.ndarray
+    processed: np.ndarray
+    approved: np.ndarray
+    over: bool
+
+
+class SessionProcessor(StatefulProcessor):
+    """Counters of a session; what it emits is up to the classes below."""
+
+    def __init__(self, life: Life):
+        self.life = life
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counters = handle.getValueState("counters", _COUNTERS)
+        self.speeds = handle.getListState("speeds", "speed double")
+        self.reached = handle.getMapState("reached", "milestone string", "event_id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = _sorted(rows)
+        ends = np.flatnonzero((batch["event_type"] == self.life.done).to_numpy()) + 1
+        cuts = [0, *ends.tolist(), *([len(batch)] if not len(ends) or ends[-1] < len(batch) else [])]
+        found, held, speeds = [], self.counters.get(), None
+        s = dict(zip(_NAMES, held, strict=True)) if held is not None else None
+        for lo, hi in zip(cuts, cuts[1:]):
+            if s is None:  # a session begins, or one that was completed goes on and begins anew
+                s, speeds = dict(_START), []
+            elif speeds is None:
+                speeds = [r[0] for r in self.speeds.get()]
+            step = self._advance(s, speeds, batch.iloc[lo:hi], hi in ends)
+            speeds = speeds[-KEEP:]
+            found += self.emit(key[0], s, speeds, step)
+            if step.over:
+                self._forget(s["timer"])
+                s = None
+        if s is not None:
+            if s["timer"]:
+                self.handle.deleteTimer(s["timer"])
+            s["timer"] = max(int((s["last"] + self.life.ttl_seconds) * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+            self.handle.registerTimer(s["timer"])
+            self.counters.update(tuple(s[n] for n in _NAMES))
+            if speeds:  # a list state can't be empty
+                self.speeds.put([(float(v),) for v in speeds])
+            elif self.speeds.exists():
+                self.speeds.clear()
+        if found:
+            yield pd.DataFrame(found, columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget(0)
+        return iter(())
+
+    def _forget(self, timer: int) -> None:
+        if timer:
+            self.handle.deleteTimer(timer)
+        for state in (self.counters, self.speeds, self.reached):
+            if state.exists():
+                state.clear()
+
+    def _advance(self, s: dict, speeds: list[float], events: pd.DataFrame, over: bool) -> Step:
+        seconds = events["ts"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
+        gaps = np.diff(seconds, prepend=s["last"] if s["processed"] else np.nan)
+        speeds += (1 / gaps[gaps > 0]).tolist()
+        decision = events["decision"]
+        processed = s["processed"] + np.arange(1, len(events) + 1)
+        approved = s["approved"] + np.cumsum((decision == "approved").to_numpy())
+        s["start"] = s["start"] if s["processed"] else float(seconds[0])
+        s["processed"], s["approved"] = int(processed[-1]), int(approved[-1])
+        s["rejected"] += int((decision == "rejected").sum())
+        s["errors"] += int((events["event_type"] == "error").sum())
+        s["last"], s["last_event"] = float(seconds[-1]), int(events["event_id"].iloc[-1])
+        return Step(events, seconds, processed, approved, over)
+
+    def emit(self, key: int, s: dict, speeds: list[float], step: Step) -> list[tuple]:
+        raise NotImplementedError
+
+
+class Progress(SessionProcessor):
+    columns = ["session_id", "processed", "approved", "rejected", "total", "percentage", "speed", "eta", "stage", "last_event"]
+
+    def emit(self, key, s, speeds, step):
+        total = step.events["total"].iloc[-1] if "total" in step.events else None
+        total = None if total is None or pd.isna(total) else int(total)
+        speed = sum(speeds) / len(speeds) if speeds else 0.0
+        percentage = 100.0 * s["processed"] / total if total else None
+        eta = (total - s["processed"]) / speed if total is not None and speed else None
+        return [(key, s["processed"], s["approved"], s["rejected"], total, percentage, speed, eta, "complete" if step.over else "processing", s["last_event"])]
+
+
+class Milestones(SessionProcessor):
+    columns = ["session_id", "milestone", "event_id"]
+
+    def emit(self, key, s, speeds, step):
+        ids, total = step.events["event_id"].to_numpy(), step.events["total"].to_numpy()
+        found = []
+        for name, due in [(f"percent_{p}", step.processed * 100 >= total * p) for p in PERCENTS] + [(f"count_{c}", step.processed >= c) for c in COUNTS]:
+            if due.any() and not self.reached.containsKey((name,)):
+                found.append((name, int(ids[due.argmax()])))
+                self.reached.updateValue((name,), (found[-1][1],))
+        hours = ((np.floor(step.seconds) - np.floor(s["start"])) // 3600).astype(np.int64)
+        for at in np.flatnonzero(np.diff(np.maximum.accumulate(np.maximum(hours, s["hours"])), prepend=s["hours"])):
+            found += [(f"hour_{h}", int(ids[at])) for h in range(s["hours"] + 1, int(hours[at]) + 1)]
+            s["hours"] = int(hours[at])
+        return [(key, *row) for row in found]
+
+
+class Checkpoints(SessionProcessor):
+    columns = ["session_id", "event_id", "processed", "errors", "forced"]
+
+    def __init__(self, life: Life, interval: int, forced: tuple[str, ...]):
+        super().__init__(life)
+        self.interval, self.forced = interval, forced
+
+    def emit(self, key, s, speeds, step):
+        forced = step.events["event_type"].isin(self.forced).to_numpy()
+        wrong = (step.events["event_type"] == "error").to_numpy()
+        errors, ids, found, at = s["errors"] - wrong.sum() + np.cumsum(wrong), step.events["event_id"].to_numpy(), [], -1
+        by_force = [*np.flatnonzero(forced).tolist(), len(ids)]
+        while True:
+            due = int(s["mark"] + self.interval - step.processed[0])
+            at = min(max(due, at + 1), next(x for x in by_force if x > at))
+            if at >= len(ids):
+                return found
+            s["mark"] = int(step.processed[at])
+            found.append((key, int(ids[at]), s["mark"], int(errors[at]), bool(forced[at])))
+
+
+class Completions(SessionProcessor):
+    columns = ["session_id", "event_id", "processed", "approved", "approve_rate", "elapsed", "speed"]
+
+    def emit(self, key, s, speeds, step):
+        if not step.over:
+            return []
+        elapsed = s["last"] - s["start"]
+        return [(key, s["last_event"], s["processed"], s["approved"], s["approved"] / s["processed"], elapsed, s["processed"] / elapsed if elapsed else 0.0)]
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s = dict(zip(_FIELDS, state.get if state.exists else _START, strict=True))
-        s["speeds"], s["reached"], rows, over = list(s["speeds"]), list(s["reached"]), [], False
-        for event in _sorted(batches).itertuples():
-            if over:  # a completed session that goes on begins anew
-                s = dict(zip(_FIELDS, _START, strict=True)) | {"speeds": [], "reached": []}
-            _advance(s, event)
-            over = event.event_type == life.done
-            if each:
-                rows += each(s, event)
-        if end:
-            rows += end(key[0], s)
-        if over:
-            if state.exists:
-                state.remove()
-        else:
-            state.update(tuple(s[f] for f in _FIELDS))
-            state.setTimeoutTimestamp(max(int((s["last"] + life.ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
 
-    timed = events.withWatermark("ts", life.delay)
-    return timed.groupBy("session_id").applyInPandasWithState(run, schema, STATE, "append" if each else "update", GroupStateTimeout.EventTimeTimeout)
+def _processed(events: DataFrame, processor: SessionProcessor, schema: str, mode: str) -> DataFrame:
+    conf = events.sparkSession.conf
+    if conf.get(STORE).endswith("HDFSBackedStateStoreProvider"):
+        conf.set(STORE, ROCKSDB)
+    timed = events.withWatermark("ts", processor.life.delay)
+    return timed.groupBy("session_id").transformWithStateInPandas(processor, schema, mode, "EventTime")
 
 
 def progress_stream(events: DataFrame, life: Life = Life()) -> DataFrame:
-    """Counters and the mean of the last ten speeds, per session and batch (update mode)."""
-    mean = lambda v: sum(v) / len(v) if v else 0.0
-    return _stateful(events, "session_id long, processed long, approved long, rejected long, speed double, last_event long", life, None, lambda k, s: [(k, s["processed"], s["approved"], s["rejected"], mean(s["speeds"]), s["last_event"])])
+    """Counters, percentage and time left at the mean of the last ten speeds, and stage, per session and batch (update mode).
+
+    Percentage and eta are null without a column ``total``; eta also without a speed. A session that is completed within a batch and goes on gives a row for each part.
+    """
+    schema = "session_id long, processed long, approved long, rejected long, total long, percentage double, speed double, eta double, stage string, last_event long"
+    return _processed(events, Progress(life), schema, "Update")
 
 
 def milestone_stream(events: DataFrame, life: Life = Life()) -> DataFrame:
     """Each mark that a session passes, once; events carry the session's ``total``."""
+    return _processed(events, Milestones(life), "session_id long, milestone string, event_id long", "Append")
 
-    def each(s: dict, event) -> list[tuple]:
-        hours = int((int(s["last"]) - int(s["start"])) // 3600)
-        due = [f"percent_{p}" for p in PERCENTS if s["processed"] * 100 >= event.total * p] + [f"count_{c}" for c in COUNTS if s["processed"] >= c]
-        fresh = [d for d in due if d not in s["reached"]] + [f"hour_{h}" for h in range(s["mark"] + 1, hours + 1)]
-        s["reached"] += [d for d in fresh if not d.startswith("hour_")]
-        s["mark"] = max(s["mark"], hours)
-        return [(event.session_id, d, event.event_id) for d in fresh]
-
-    return _stateful(events, "session_id long, milestone string, event_id long", life, each)
 
-
-def checkpoint_stream(events: DataFrame, interval: int = 10, forced: tuple[str, ...] = (), life: Life = Life()) -> DataFrame:
-    """A row whenever a session advanced by ``interval`` since its last one, and on events of a forced type."""
-
-    def each(s: dict, event) -> list[tuple]:
-        if s["processed"] - s["mark"] < interval and event.event_type not in forced:
-            return []
-        s["mark"] = s["processed"]
-        return [(event.session_id, event.event_id, s["processed"], event.event_type in forced)]
-
-    return _stateful(events, "session_id long, event_id long, processed long, forced boolean", life, each)
+def checkpoint_stream(events: DataFrame, interval: int = 10, forced: tuple[str, ...] = (), life: Life = Life(), batch: int = 20) -> DataFrame:
+    """A row whenever a session advanced by ``interval`` since its last one, and on events of a forced type, with the errors so far,
+    the options to resume from there (batches of ``batch``) and the hash of the state."""
+    rows = _processed(events, Checkpoints(life, interval, forced), "session_id long, event_id long, processed long, errors long, forced boolean", "Append")
+    rows = rows.withColumn("checkpoint_type", F.when(F.col("forced"), "forced").otherwise("automatic"))
+    return rows.withColumns({"options": resume_options("processed", F.floor(F.col("processed") / batch)), "state_hash": state_hash("session_id", "processed", "errors", "checkpoint_type")})
 
 
 def completion_stream(events: DataFrame, life: Life = Life()) -> DataFrame:
     """Totals of a session at the event that completes it, counted from its beginning or its last completion."""
-
-    def each(s: dict, event) -> list[tuple]:
-        if event.event_type != life.done:
-            return []
-        elapsed = s["last"] - s["start"]
-        return [(event.session_id, event.event_id, s["processed"], s["approved"], elapsed, s["processed"] / elapsed if elapsed else 0.0)]
-
-    return _stateful(events, "session_id long, event_id long, processed long, approved long, elapsed double, speed double", life, each)
+    return _processed(events, Completions(life), "session_id long, event_id long, processed long, approved long, approve_rate double, elapsed double, speed double", "Append")
 
 
 def latest_progress(events: DataFrame, ttl_seconds: int = 3600, done: str = "complete") -> DataFrame:
@@ -179,6 +277,13 @@ def stale_sessions(sessions: DataFrame, now: Column, minutes: int = 5) -> DataFr
     return sessions.where(F.col("status").isin("running", "created") & (F.col("updated_at") < now - F.expr(f"INTERVAL {minutes} MINUTES")))
 
 
+def recoverable_sessions(sessions: DataFrame, checkpoints: DataFrame, now: Column, minutes: int = 5) -> DataFrame:
+    """Stale sessions with their newest checkpoint and the likely kind of crash; those without a checkpoint are left out."""
+    stale = stale_sessions(sessions, now, minutes)
+    kinds = stale.select(F.col("id").alias("session_id"), crash_type("error_message", "updated_at", now).alias("crash_type"))
+    return latest_checkpoint(stale, checkpoints).join(kinds, "session_id")
+
+
 def activity_windows(events: DataFrame, minutes: int = 5) -> DataFrame:
     """Stretches of activity per session with gaps of less than some minutes; batch or stream."""
     return events.groupBy("session_id", F.session_window("ts", f"{minutes} minutes").alias("w")).agg(F.count("*").alias("n")).select("session_id", F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
@@ -209,3 +314,12 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
         df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+
+
+def ingest_batches(stream: DataFrame, path: str, checkpoint: str, name: str = "ingest") -> None:
+    """Runs what is there to the end and commits every micro-batch to the ledger of ``path``: one that is repeated changes nothing."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        save_results(df, path, f"{name}-{batch}")
+
+    stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
