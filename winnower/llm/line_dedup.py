@@ -117,7 +117,7 @@ def remove_repeated_chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFra
     lost = F.array_distinct(F.flatten(F.transform(gone, lambda p: F.sequence(p["begin"], p["end"]))))
     keep = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost")), lambda i: F.get(lines, i))
     some = some.withColumn("lost", lost).withColumn("left", F.when(F.size("lost") > 0, F.array_join(bound(F.split("text", "\n", -1), keep), "\n")).otherwise(F.col("text")))
-    removed = [F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.length("text") - F.length("left"), F.lit(0)).cast("long").alias("removed_chars")]
+    removed = [F.when(F.col("lost").isNotNull(), F.size("lost")).otherwise(0).cast("long").alias("n_removed"), F.coalesce(F.length("text") - F.length("left"), F.lit(0)).cast("long").alias("removed_chars")]
     columns = ["doc_id", F.col("left").alias("text"), *(F.col("_rest")[x].alias(x) for x in rest)]
     out = some.select(*columns, *removed)
     if small:

@@ -43,7 +43,7 @@ class Mix:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")  # the size of a null hangs on the session
 
 
 def targets(sizes: DataFrame, mix: Mix) -> DataFrame:

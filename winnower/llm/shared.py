@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from winnower.functions.durable import checkpoint_root, settle
 
-__all__ = ["checkpoint_root", "crc_remainder", "few", "is_small", "pick", "read", "settle", "shared_path", "small_batches"]
+__all__ = ["checkpoint_root", "crc_remainder", "few", "free_name", "is_small", "pick", "read", "settle", "shared_path", "small_batches"]
 
 
 BATCH_BYTES, SPARK_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
@@ -29,6 +29,13 @@ def small_batches(spark: SparkSession, most: str = "2m") -> None:
         spark.conf.set(BATCH_BYTES, most)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as make it none of the columns'."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def crc_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
