@@ -75,6 +75,11 @@ _CLASS[[ord(c) for c in ".,;:'\"()-"]] = 4
 
 def tokens(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Entries of all tokens (three for each word) and each text's first token (n+1 entries)."""
+    return _tokens(data, bounds, size)[:2]
+
+
+def _tokens(data: np.ndarray, bounds: np.ndarray, size: int, before: int | None = None) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """The same and the hash of the last word; ``before`` is that of the word before, if the bytes go on with a text."""
     starts, ends, first = tb.words(data, bounds)
     low = tb.LOWER[data]
     hashes = tb.span_hashes(tb.prefix_sums(low), starts, ends)
@@ -91,12 +96,14 @@ def tokens(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray,
     again[1:] = hashes[1:] == hashes[:-1]
     fresh = first[:-1][first[:-1] < len(hashes)]
     again[fresh] = False
+    if before is not None and len(hashes):
+        again[0] = int(hashes[0]) == before
     out = np.empty(3 * len(hashes), np.int64)
     half = size // 2
     out[0::3] = (hashes % np.uint64(half)).astype(np.int64)
     out[1::3] = half + (shapes % np.uint64(half - 2)).astype(np.int64)
     out[2::3] = size - 2 + again
-    return out, first * 3
+    return out, first * 3, int(hashes[-1]) if len(hashes) else before
 
 
 def index_vectors(fit: Fit) -> np.ndarray:
@@ -123,6 +130,18 @@ def _contexts(fit: Fit):
     return run
 
 
+def pool(data: np.ndarray, bounds: np.ndarray, vectors: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """A row for each text: the mean vector of its tokens and the logarithm of its words. A text above ``limit`` bytes is counted in slices."""
+    size = len(vectors)
+    if len(bounds) > 2 or len(data) <= limit:
+        return _pool(*tokens(data, bounds, size), vectors)
+    counts, last = np.zeros(size), None
+    for part in tb.slices(data, limit):
+        entry, _, last = _tokens(part, np.array([0, len(part)]), size, last)
+        counts += np.bincount(entry, minlength=size)
+    return np.append(counts @ vectors / max(counts.sum(), 1), np.log1p(counts.sum() / 3))[None]
+
+
 def _pool(entry: np.ndarray, first: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     n = np.diff(first)
     out = np.zeros((len(n), vectors.shape[1] + 1))
@@ -137,7 +156,7 @@ def pooled(vectors, fit: Fit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, bounds in tb.chunks(batch.column(0)):
-                x = _pool(*tokens(data, bounds, fit.vocabulary), vectors.value)
+                x = pool(data, bounds, vectors.value)
                 yield pa.record_batch([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "fold", "x"])
 
     return run
@@ -196,16 +215,15 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "qu
 
 
 def score(docs: DataFrame, model: Model, fit: Fit = Fit(), threshold: float = 0.3) -> DataFrame:
-    """``docs`` with the columns score and predicted; other columns pass through."""
+    """``docs`` with the columns score and predicted, which replace any of these names; other columns pass through."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        m, out = shared.value, []
-        for _, _, data, bounds in tb.chunks(pa.array(texts, pa.string(), from_pandas=True)):
-            out.append(m.probabilities(_pool(*tokens(data, bounds, fit.vocabulary), m.vectors)))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        m = shared.value
+        out = [m.probabilities(pool(data, bounds, m.vectors)) for _, _, data, bounds in tb.chunks(texts)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn("score", scored(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -36,8 +36,8 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, bounds) for runs of whole texts of about ``limit`` bytes.
+def chunks(column: pa.Array, limit: int = 1 << 18, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, bounds) for runs of whole texts of about ``limit`` bytes, and at most ``rows`` texts.
 
     ``bounds`` has the start of each text within the bytes, and the end as its last entry.
     A text above the limit makes a chunk of its own.
@@ -48,7 +48,7 @@ def chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, n
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
-        hi = min(hi, len(column))
+        hi = min(hi, lo + rows, len(column))
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
@@ -117,6 +117,21 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: i
     return out
 
 
+def slices(data: np.ndarray, limit: int = 1 << 20) -> Iterator[np.ndarray]:
+    """A text's bytes in runs of about ``limit``, cut behind white space, so that no word is cut."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + limit, len(data))
+        while hi < len(data):
+            gap = np.flatnonzero(SPACE[data[max(lo, hi - limit) : hi]])
+            if len(gap):
+                hi = max(lo, hi - limit) + int(gap[-1]) + 1
+                break
+            hi = min(hi + limit, len(data))  # a word longer than the limit goes on
+        yield data[lo:hi]
+        lo = hi
+
+
 def owner(first: np.ndarray) -> np.ndarray:
     """For each word the index of its text, from the first words of the texts."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), label: str = "to
 
 
 def score(docs: DataFrame, model: Model, fit: Fit = Fit(), threshold: float = 0.5) -> DataFrame:
-    """``docs`` with the columns score and predicted; other columns pass through."""
+    """``docs`` with the columns score and predicted, which replace any of these names; other columns pass through."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
