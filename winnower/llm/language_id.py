@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
-from winnower.llm.shared import few, settle, small_batches
+from winnower.llm.shared import few, free_name, settle, small_batches
 
 
 @dataclass(frozen=True)
@@ -49,23 +49,36 @@ for _i in range(26):
     _FOLD[[ord("a") + _i, ord("A") + _i]] = ord("a") + _i
 
 
+#: Bytes of text counted at a time, and texts whose counts are held at a time.
+_PIECE, _ROWS = 1 << 19, 128
+
+
 def counts(data: np.ndarray, bounds: np.ndarray, dims: int) -> np.ndarray:
     """Hashed n-gram counts, one row per text."""
     n = len(bounds) - 1
-    text, own = _FOLD[data], np.repeat(np.arange(n), np.diff(bounds))
+    text = _FOLD[data]
+    own = np.repeat(np.arange(n, dtype=np.int32), np.diff(bounds)) if n > 1 else None
     keep = np.ones(len(text), bool)
     keep[1:] = (text[1:] != 32) | (text[:-1] != 32)
-    text, own = text[keep].astype(np.uint32), own[keep]
+    text, own = text[keep], own[keep] if n > 1 else None
     out = np.zeros(n * dims)
     shift = np.uint32(32 - int(dims).bit_length() + 1)
-    gram = text
-    for k in (1, 2):
-        if len(text) <= k:
-            break
-        gram = gram[:-1] * np.uint32(257) + text[k:]
-        same = own[k:] == own[:-k]
-        entry = ((gram * np.uint32(2654435761)) >> shift).astype(np.int64)
-        out += np.bincount((own[k:] * dims + entry)[same], minlength=n * dims)
+    for s in range(0, len(text), _PIECE):  # with the two bytes before, for the grams that begin there
+        lo, hi = max(0, s - 2), min(s + _PIECE, len(text))
+        part = text[lo:hi].astype(np.uint32)
+        gram = part
+        for k in (1, 2):
+            if len(part) <= k:
+                break
+            gram = gram[:-1] * np.uint32(257) + part[k:]
+            entry = ((gram * np.uint32(2654435761)) >> shift).astype(np.int64)
+            first = max(0, s - lo - k)
+            if own is None:
+                out += np.bincount(entry[first:], minlength=dims)
+            else:
+                same = own[lo + k : hi] == own[lo : hi - k]
+                same[:first] = False
+                out += np.bincount((own[lo + k : hi] * np.int64(dims) + entry)[same], minlength=n * dims)
     return out.reshape(n, dims)
 
 
@@ -79,7 +92,7 @@ def _frequencies(fit: Fit):
         df, rows = np.zeros(fit.dims, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for _, _, data, bounds in tb.chunks(batch.column(0)):
+            for _, _, data, bounds in tb.chunks(batch.column(0), rows=_ROWS):
                 df += (counts(data, bounds, fit.dims) > 0).sum(axis=0)
         yield pa.record_batch([pa.array(np.arange(-1, fit.dims)), pa.array(np.append(rows, df))], names=["entry", "n"])
 
@@ -89,7 +102,7 @@ def _frequencies(fit: Fit):
 def _vectors(shared, fit: Fit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, bounds in tb.chunks(batch.column(0)):
+            for lo, hi, data, bounds in tb.chunks(batch.column(0), rows=_ROWS):
                 x = _units(counts(data, bounds, fit.dims), shared.value).astype(np.float32)
                 yield pa.record_batch([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "doc_id", "x"])
 
@@ -152,16 +165,19 @@ def detect(docs: DataFrame, model: Model, fit: Fit = Fit()) -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def detected(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def detected(texts: pa.Array) -> pa.Array:
         m, langs, scores, far = shared.value, [], [], []
         names = np.array([*m.langs, "und"], object)
-        column = pa.array(texts, pa.string(), from_pandas=True)
-        for lo, hi, data, bounds in tb.chunks(column):
-            letters = np.concatenate([[0], np.cumsum((_FOLD[data] != 32) & (data < 128))])
-            some = letters[bounds[1:]] > letters[bounds[:-1]]
+        for lo, hi, data, bounds in tb.chunks(texts, rows=_ROWS):
+            plain = (_FOLD[data] != 32) & (data < 128)
+            if hi - lo == 1:
+                some = np.array([plain.any()])
+            else:
+                letters = np.concatenate([[0], np.cumsum(plain)])
+                some = letters[bounds[1:]] > letters[bounds[:-1]]
             for i in np.flatnonzero(~some):
-                some[i] = any(c.isalpha() for c in (texts.iloc[lo + i] or ""))
+                some[i] = any(c.isalpha() for c in (texts[lo + i].as_py() or ""))
             if not m.langs:
                 some[:] = False
             at, best = np.full(hi - lo, len(m.langs)), np.zeros(hi - lo)
@@ -172,7 +188,8 @@ def detect(docs: DataFrame, model: Model, fit: Fit = Fit()) -> DataFrame:
             scores.append(np.clip(best, 0, 1))
             far.append(~some | (best < np.append(m.radius, 2)[at]))
         none = [np.zeros(0)]
-        return pd.DataFrame({"lang_pred": np.concatenate(langs or none), "score": np.concatenate(scores or none), "rejected": np.concatenate(far or none).astype(bool)})
+        parts = [pa.array(np.concatenate(langs or none).tolist(), pa.string()), pa.array(np.concatenate(scores or none)), pa.array(np.concatenate(far or none).astype(bool))]
+        return pa.StructArray.from_arrays(parts, names=["lang_pred", "score", "rejected"])
 
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*rest, detected(F.lower(F.col("text").cast("string"))).alias("_found")).select(*rest, "_found.*")
+    rest, found = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")], free_name(docs, "_found")
+    return docs.select(*rest, detected(F.lower(F.col("text").cast("string"))).alias(found)).select(*rest, f"{found}.*")
