@@ -87,6 +87,30 @@ def hash_pairs(hashes: DataFrame, t: int = 5, kinds: tuple[str, ...] = ("phash",
     return near.groupBy("a", "b").agg(F.min("distance").alias("distance")).unionByName(same)
 
 
+def hash_links(hashes: DataFrame, t: int = 5, kinds: tuple[str, ...] = ("phash", "dhash", "ahash"), length: int = 16, equal: int = 3) -> DataFrame:
+    """(a, b, distance): the links of ``hash_pairs`` between classes, which groups of any size leave few.
+
+    Items of one equal hash are a class of that kind, under their least item, and linked to it at distance 0. Classes whose hashes differ in at most t
+    digits are linked by their least items, found by equal pieces as in ``hash_pairs``; of the keys that two classes share only the one of their
+    first equal pieces gives the pair. Two items are a pair, or reach each other by way of their classes, just if ``hash_pairs`` has them.
+    """
+    each = hashes.select("item_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(kind).alias("h")) for k, kind in enumerate(kinds)))).alias("x")).select("item_id", "x.*").where("h is not null")
+    table = settle(each.groupBy("kind", "h").agg(F.min("item_id").alias("node")))
+    n = min(length, t + equal)
+    cuts = [round(i * length / n) for i in range(n + 1)]
+    size = n - t if n > t else 1
+    choices = list(itertools.combinations(range(n), size))
+    piece = lambda h, i: F.substring(h, cuts[i] + 1, cuts[i + 1] - cuts[i])
+    rows = table.select("kind", "h", "node", F.posexplode(F.array(*(F.xxhash64(F.lit(j), *(piece("h", i) for i in choice)) for j, choice in enumerate(choices)))).alias("j", "key"))
+    right = rows.select("kind", "j", "key", F.col("h").alias("g"), F.col("node").alias("other"))
+    alike = F.filter(F.array(*(F.when(piece("h", i) == piece("g", i), i) for i in range(n))), lambda x: x.isNotNull())
+    chosen = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in choices)), F.col("j") + 1)
+    near = rows.join(right, ["kind", "j", "key"]).where((F.col("h") < F.col("g")) & (F.slice(alike, 1, size) == chosen))
+    near = near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), hash_distance("h", "g").alias("distance")).where(F.col("distance") <= t)
+    same = each.join(table, ["kind", "h"]).where("item_id <> node").select(F.col("node").alias("a"), F.col("item_id").alias("b"), F.lit(0.0).alias("distance"))
+    return near.unionByName(same).groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
 def similarity_level(s, t: Mapping[str, float] = PRESETS["balanced"]) -> Column:
     return F.when(col(s) >= t["identical"], "identical").when(col(s) >= t["near_duplicate"], "near_duplicate").when(col(s) >= t["similar"], "similar").otherwise("somewhat_similar")
 

@@ -48,6 +48,17 @@ def _(r):
     return S.hash_pairs(r.hashes)
 
 
+@query(
+    "sim05_hash_links",
+    f"""WITH e AS (SELECT item_id, unnest(['p', 'd', 'a']) AS kind, unnest([phash, dhash, ahash]) AS h FROM hashes), c AS (SELECT kind, h, min(item_id) AS node FROM e GROUP BY ALL),
+      n AS (SELECT least(a.node, b.node) AS a, greatest(a.node, b.node) AS b, {DIFF.format('a.h', 'b.h')}::DOUBLE AS d FROM c a JOIN c b ON a.kind = b.kind AND a.h < b.h)
+    SELECT a, b, min(d) AS distance FROM (SELECT * FROM n WHERE d <= 5 UNION ALL SELECT node, item_id, 0.0e0 FROM e JOIN c USING (kind, h) WHERE item_id <> node) GROUP BY a, b""",
+    "distance",
+)
+def _(r):
+    return S.hash_links(r.hashes)
+
+
 #: Pairs of distinct vectors by the least id of each, and each further item of a vector with its least id.
 COS_PAIRS = """WITH u AS (SELECT embedding AS e, min(vec_id) AS i FROM embeddings GROUP BY 1), p AS (SELECT least(a.i, b.i) AS a, greatest(a.i, b.i) AS b, list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) AS cosine FROM u a JOIN u b ON a.i < b.i)
     SELECT a, b, cosine FROM p WHERE cosine >= {0} UNION ALL SELECT i, vec_id, 1.0e0 FROM embeddings JOIN u ON e = embedding WHERE vec_id <> i"""
