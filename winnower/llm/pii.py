@@ -18,6 +18,7 @@ columns pass through, but for n_found and kinds, which are replaced; an empty ta
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import math
 import re
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from winnower.llm.shared import small_batches
+from winnower.llm.shared import free_name, small_batches
 
 
 @dataclass(frozen=True)
@@ -226,30 +227,38 @@ def _secret(m: str, p: Pseudonyms) -> str:
     return _fill(m, _string(m.lower(), _HEX, "secret", p))
 
 
-_FOUND = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
-    r"|(?:\b(?:token|secret|passw(?:or)?d|api[_ -]?key|access[_ -]?key)[\"']?\s*[=:]\s*[\"']?)(?P<secret>[0-9a-f]{16,128})\b"
-    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
+_EMAIL = r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"
+_SECRET = r"(?:\b(?:token|secret|passw(?:or)?d|api[_ -]?key|access[_ -]?key)[\"']?\s*[=:]\s*[\"']?)(?P<secret>[0-9a-f]{16,128})\b"
+_NUMBERS = (
+    r"(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w./-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\w]|[-/.]\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d))"
     r"|(?P<card>(?<![\w])(?:\d{4}[ -]?){3}\d{1,7}(?![\w]))"
     r"|(?P<phone>(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w])|(?<![\w])\+\d{11,13}(?![\w]))"
-    r"|(?P<iban>(?-i:\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b))",
-    re.IGNORECASE | re.ASCII,
+    r"|(?P<iban>(?-i:\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b))"
 )
-_MAKERS = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "iban": _iban}
+_KEY_WORD = re.compile(r"token|secret|passw|api|access", re.IGNORECASE | re.ASCII)
+#: Every value of these kinds holds two digits that follow each other, or one behind a sign that joins its parts.
+_NUMBER = re.compile(r"[0-9][0-9]|[0-9][./-][0-9]", re.ASCII)
+
 
+@functools.cache
+def _finder(email: bool, secret: bool, numbers: bool) -> re.Pattern | None:
+    """The values that a text can hold, by what it has: an at sign, a key word, digits."""
+    parts = [p for p, there in ((_EMAIL, email), (_SECRET, secret), (_NUMBERS, numbers)) if there]
+    return re.compile("|".join(parts), re.IGNORECASE | re.ASCII) if parts else None
 
-#: What every text with a value holds: a digit, an at sign, or the key word of a secret.
-_MAYBE = re.compile(r"[0-9@]|token|secret|passw|api|access", re.IGNORECASE | re.ASCII)
+
+_MAKERS = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "iban": _iban}
 
 
 def pseudonymise(text: str, p: Pseudonyms) -> tuple[str, Counter]:
     """The text with its personal data replaced, and the number of values by kind."""
     found: Counter = Counter()
     out, done, at = [], 0, 0
-    while m := _FOUND.search(text, at):
-        kind = next(k for k in _MAKERS if m.group(k))
+    finder = _finder("@" in text, _KEY_WORD.search(text) is not None, _NUMBER.search(text) is not None)
+    while finder and (m := finder.search(text, at)):
+        kind = next(k for k, value in m.groupdict().items() if value and k in _MAKERS)
         value = _iban_part(m.group(kind)) if kind == "iban" else m.group(kind)
         new = _MAKERS[kind](value, p) if value else None
         if new is None:  # a valid value may begin inside a candidate that is none
@@ -270,10 +279,10 @@ def hide_personal_data(docs: DataFrame, p: Pseudonyms) -> DataFrame:
     def hidden(texts: pd.Series) -> pd.DataFrame:
         out, n, kinds = list(texts), [0] * len(texts), [""] * len(texts)
         for i, text in enumerate(out):
-            if text and _MAYBE.search(text):
+            if text:
                 out[i], found = pseudonymise(text, p)
                 n[i], kinds[i] = found.total(), ",".join(f"{k}:{c}" for k, c in sorted(found.items()))
         return pd.DataFrame({"text": pd.Series(out, dtype=object), "n_found": pd.Series(n, dtype="int64"), "kinds": pd.Series(kinds, dtype=object)})
 
-    rest = [c for c in docs.columns if c not in ("text", "n_found", "kinds")]
-    return docs.select(*rest, hidden(F.col("text").cast("string")).alias("_hidden")).select(*rest, "_hidden.*")
+    rest, made = [c for c in docs.columns if c not in ("text", "n_found", "kinds")], free_name(docs, "_hidden")
+    return docs.select(*rest, hidden(F.col("text").cast("string")).alias(made)).select(*rest, f"{made}.*")
