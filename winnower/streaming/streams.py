@@ -29,9 +29,9 @@ from winnower.sources.files import save_results
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_COUNTERS = "processed long, approved long, rejected long, errors long, start double, last double, last_event long, mark long, hours long, timer long"
+_COUNTERS = "processed long, approved long, rejected long, errors long, start long, last long, last_event long, mark long, hours long, timer long"
 _NAMES = [f.split()[0] for f in _COUNTERS.split(", ")]
-_START = dict.fromkeys(_NAMES, 0) | {"start": float("nan"), "last": float("nan"), "last_event": -1}
+_START = dict.fromkeys(_NAMES, 0) | {"last_event": -1}
 KEEP = 10
 
 
@@ -53,7 +53,7 @@ class Step:
     """A session's events up to a completion or the end of the batch, with the counters after each."""
 
     events: pd.DataFrame
-    seconds: np.ndarray
+    micros: np.ndarray
     processed: np.ndarray
     approved: np.ndarray
     over: bool
@@ -91,7 +91,7 @@ class SessionProcessor(StatefulProcessor):
         if s is not None:
             if s["timer"]:
                 self.handle.deleteTimer(s["timer"])
-            s["timer"] = max(int((s["last"] + self.life.ttl_seconds) * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+            s["timer"] = max(s["last"] // 1000 + self.life.ttl_seconds * 1000, timerValues.getCurrentWatermarkInMs() + 1)
             self.handle.registerTimer(s["timer"])
             self.counters.update(tuple(s[n] for n in _NAMES))
             if speeds:  # a list state can't be empty
@@ -113,18 +113,18 @@ class SessionProcessor(StatefulProcessor):
                 state.clear()
 
     def _advance(self, s: dict, speeds: list[float], events: pd.DataFrame, over: bool) -> Step:
-        seconds = events["ts"].to_numpy("datetime64[us]").astype(np.int64) / 1e6
-        gaps = np.diff(seconds, prepend=s["last"] if s["processed"] else np.nan)
+        micros = events["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        gaps = np.diff(micros, prepend=s["last"] if s["processed"] else micros[0]) / 1e6
         speeds += (1 / gaps[gaps > 0]).tolist()
         decision = events["decision"]
         processed = s["processed"] + np.arange(1, len(events) + 1)
         approved = s["approved"] + np.cumsum((decision == "approved").to_numpy())
-        s["start"] = s["start"] if s["processed"] else float(seconds[0])
+        s["start"] = s["start"] if s["processed"] else int(micros[0])
         s["processed"], s["approved"] = int(processed[-1]), int(approved[-1])
         s["rejected"] += int((decision == "rejected").sum())
         s["errors"] += int((events["event_type"] == "error").sum())
-        s["last"], s["last_event"] = float(seconds[-1]), int(events["event_id"].iloc[-1])
-        return Step(events, seconds, processed, approved, over)
+        s["last"], s["last_event"] = int(micros[-1]), int(events["event_id"].iloc[-1])
+        return Step(events, micros, processed, approved, over)
 
     def emit(self, key: int, s: dict, speeds: list[float], step: Step) -> list[tuple]:
         raise NotImplementedError
@@ -152,7 +152,7 @@ class Milestones(SessionProcessor):
             if due.any() and not self.reached.containsKey((name,)):
                 found.append((name, int(ids[due.argmax()])))
                 self.reached.updateValue((name,), (found[-1][1],))
-        hours = ((np.floor(step.seconds) - np.floor(s["start"])) // 3600).astype(np.int64)
+        hours = (step.micros // 1_000_000 - s["start"] // 1_000_000) // 3600
         for at in np.flatnonzero(np.diff(np.maximum.accumulate(np.maximum(hours, s["hours"])), prepend=s["hours"])):
             found += [(f"hour_{h}", int(ids[at])) for h in range(s["hours"] + 1, int(hours[at]) + 1)]
             s["hours"] = int(hours[at])
@@ -186,7 +186,7 @@ class Completions(SessionProcessor):
     def emit(self, key, s, speeds, step):
         if not step.over:
             return []
-        elapsed = s["last"] - s["start"]
+        elapsed = (s["last"] - s["start"]) / 1e6
         return [(key, s["last_event"], s["processed"], s["approved"], s["approved"] / s["processed"], elapsed, s["processed"] / elapsed if elapsed else 0.0)]
 
 
