@@ -214,15 +214,30 @@ def test_pipeline_drops_short_repeated_runs(spark, sf_dir):
 
 @pytest.mark.parametrize("divisor", [1, 2, 4])
 def test_long_passages_and_runs_of_one_line(spark, divisor):
-    """Passages of 40 lines: all lines go with divisor 1, most with larger ones; of a run of one line the first stays."""
+    """Passages of 40 lines: all lines go, whatever the divisor; of a run of one line the first stays."""
     rows = [(2 * k + side, "\n".join([prose(70000 + 100 * k + 10 * side + j, 9) for j in range(10)] + [prose(50 * k + j, 9) for j in range(40)] + [prose(90000 + 100 * k + 10 * side + j, 9) for j in range(10)]), "en", "a") for k in range(20) for side in (0, 1)]
     rows += [(1000, "\n".join(["the same line"] * 1000), "en", "a"), (1001, "own words first\nthe same line\nthe same line", "en", "a")]
     got = {r.doc_id: r for r in line_dedup.remove_repeated_chunks(table(spark, rows), line_dedup.Chunking(divisor=divisor)).collect()}
     left = [len(set(rows[i - 1][1].split("\n")) & set(got[i].text.split("\n"))) for i in range(1, 40, 2)]
     assert all(got[i].text == rows[i][1] for i in range(0, 40, 2)) and all(got[i].n_removed == 40 - x for i, x in zip(range(1, 40, 2), left, strict=True))
-    assert sum(left) == 0 if divisor == 1 else sum(left) / 800 < 0.25
-    if divisor == 1:
-        assert got[1000].text == "the same line" and got[1001].text == "own words first"
+    assert sum(left) == 0 and got[1000].text == "the same line" and got[1001].text == "own words first"
+
+
+def test_chunks_are_cut_by_the_rolling_hash_and_carry_the_result(spark, monkeypatch):
+    """The query's own parameters roll the hash; copies are settled by chunks, whose inner lines aren't compared again."""
+    calls, rolled = [], line_dedup.rolled
+    monkeypatch.setattr(line_dedup, "rolled", lambda *a: calls.append(a) or rolled(*a))
+    body = [prose(200 + j, 9) for j in range(400)]
+    rows = [(1, "\n".join(body), "en", "a"), (2, "\n".join(["new words here", *body[:200], "put between", *body[200:]]), "en", "a")]
+    docs = table(spark, rows).withColumn("_row", F.xxhash64("doc_id", "text"))
+    cuts = {r.doc_id: {r.text.split("\n")[x.end] for x in r.c} for r in docs.select("doc_id", "text", line_dedup.line_chunks(F.col("text")).alias("c")).collect()}
+    assert calls and 50 < len(cuts[1]) < 200 and len(cuts[1] ^ cuts[2]) <= 4  # boundaries stand at the same lines in both texts
+    runs = line_dedup.repeated_runs(docs.select("doc_id", "_row", "text"), line_dedup.Chunking()).where("gone").collect()
+    coarse = {i for r in runs if r.coarse for i in range(r.begin, r.end + 1)}
+    assert all(r.doc_id == 2 for r in runs) and len(coarse) > 300
+    assert not any(r.begin in coarse and r.end in coarse and any(c.coarse and c.begin <= r.begin and r.end <= c.end for c in runs) for r in runs if not r.coarse)
+    got = {d: {r.doc_id: r.text for r in line_dedup.remove_repeated_chunks(table(spark, rows), line_dedup.Chunking(divisor=d)).collect()} for d in (1, 4, 16)}
+    assert got[1] == got[4] == got[16] == repeated_lines_gone(rows) and got[4][2] == "new words here\nput between"
 
 
 def test_texts_that_share_a_hash(spark, monkeypatch):
