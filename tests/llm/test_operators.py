@@ -337,6 +337,28 @@ def test_leaks_in_very_long_texts_and_common_items(spark):
     assert not any(d == 1 and k != 1000 for d, k in got)
 
 
+@pytest.mark.parametrize("bits", [7, 16, 20])
+def test_bitmaps_hold_the_leading_bits_of_all_grams(spark, bits):
+    s, rng = decontaminate.Search(), np.random.default_rng(bits)
+    g, m = rng.integers(0, 2**64, 3000, np.uint64), rng.choice([40, s.window - 1, s.window], 3000)
+    rows = [(int(x), int(n)) for x, n in zip(g.view(np.int64), m, strict=True)]
+    whole, short = decontaminate._bitmaps(spark.createDataFrame(rows, "g long, m int"), bits, s)
+    for got, own in ((whole, g[m >= s.window]), (short, g[m < s.window])):
+        want = np.zeros(1 << bits, bool)
+        want[(own >> np.uint64(64 - bits)).astype(np.int64)] = True
+        assert got.dtype == np.uint64 and np.array_equal(np.unpackbits(got.view(np.uint8), bitorder="little").astype(bool), want)
+        assert decontaminate._inside(got, own).all()
+    none = decontaminate._bitmaps(spark.createDataFrame([], "g long, m int"), bits, s)
+    assert not any(x.any() for x in none)
+
+
+def test_more_languages_than_the_bound_are_an_error(spark):
+    docs = spark.createDataFrame([(k, "some words of text", f"l{k}") for k in range(6)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="6 languages"):
+        language_id.train(docs, F.lit(True), language_id.Fit(most_languages=5))
+    assert len(set(language_id.train(docs, F.lit(True), language_id.Fit(most_languages=6)).langs)) == 6
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 30, 31, 32, 40])
 def test_stretches_of_few_places(n):
     s = decontaminate.Search()

@@ -4,7 +4,8 @@ A text is put in lower case by Spark, with single spaces for all ASCII that is n
 hashed to ``dims`` entries, weighted by log(1 + count) and inverse document frequency (of at least 1), and normalised.
 Document frequencies are counted over all learning rows. For each language at most ``per_language``
 learning rows (a bounded sample by hash of doc_id) are clustered into ``clusters`` centroids by cosine, a group
-for each language, however rare; only centroids reach the driver, 32 KB for a language. A text has the language of its nearest centroid. ``rejected`` tells that it lies farther from
+for each language, however rare; only centroids reach the driver and are broadcast, 64 KB for a language. The languages are counted
+first: more than ``most_languages`` (256 MB of centroids) raise an error, as from a column that doesn't hold languages. A text has the language of its nearest centroid. ``rejected`` tells that it lies farther from
 it than all but one in a hundred of the sampled texts, with a margin; the prediction itself stays.
 
 Defined results: ``und`` with score 0 for a null text, for one without a letter, and if no language was
@@ -32,6 +33,7 @@ class Fit:
     per_language: int = 400
     clusters: int = 4
     margin: float = 0.05
+    most_languages: int = 4096
     seed: int = 17
 
 
@@ -152,8 +154,11 @@ def train(docs: DataFrame, learn: Column, fit: Fit = Fit()) -> Model:
     idf = 1 + np.log((1 + total) / (1 + df.reindex(range(fit.dims), fill_value=0).to_numpy()))
     # A share of each language by hash that holds its sample almost surely, then the exact sample.
     share = rows.groupBy(F.col("lang").alias("l")).agg(F.least(F.lit(1.0), (1.5 * fit.per_language + 20) / F.count("*")).alias("share"))
+    share = settle(share)
+    if (found := share.count()) > fit.most_languages:
+        raise ValueError(f"{found} languages, more than most_languages ({fit.most_languages})")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = rows.join(few(settle(share)), F.col("lang") == F.col("l")).where(draw < F.col("share"))
+    sample = rows.join(few(share), F.col("lang") == F.col("l")).where(draw < F.col("share"))
     vectors = sample.select("text", "lang", "doc_id").mapInArrow(_vectors(spark.sparkContext.broadcast(idf), fit), "lang string, doc_id long, x binary")
     rows = vectors.groupBy("lang").applyInPandas(_centroids(fit), "lang string, k int, centroid binary, radius double").toPandas().sort_values(["lang", "k"])
     return Model(idf, np.stack([np.frombuffer(c, np.float32) for c in rows["centroid"]]).astype(np.float64), rows["lang"].to_list(), rows["radius"].to_numpy())
