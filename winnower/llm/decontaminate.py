@@ -6,8 +6,9 @@ share at least (m - q + 1) - q * e of their q-grams, and their diagonals (place
 the window) lie within e of each other. So:
 
 * One scan of the texts keeps the stretches that hold so many q-grams of any window close together, told by a
-  bitmap of the benchmark's q-grams. The bitmap is all that is broadcast: it has 16 bits for each q-gram and at most 2^``most_bits`` bits
-  (32 MB), beyond which more stretches pass and nothing is lost. Stretches are cut into overlapping slices of bounded length.
+  bitmap of the benchmark's q-grams, one for whole windows and one for shorter ones. The two are all that is broadcast or reaches the
+  driver: each has 16 bits for each q-gram and at most 2^``most_bits`` bits (32 MB, so 64 MB in all), beyond which more stretches pass
+  and nothing is lost. Stretches are cut into overlapping slices of bounded length.
 * Slices and windows are joined by q-gram. The q-grams that stand in more than ``hot`` windows are left out of the join, the commonest
   first and no more of a window than it can spare; the others have to be shared in the number that is left.
 * Each candidate pair counts its shared q-grams in diagonal bands that overlap by half; bands that reach the count are
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from winnower.llm import textbytes as tb
 from winnower.llm.shared import settle, small_batches
+from winnower.llm.token_blocks import slot_bits
 
 
 @dataclass(frozen=True)
@@ -158,14 +160,11 @@ def _inside(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 def _bitmaps(grams: DataFrame, bits: int, s: Search) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps of 2^``bits`` bits of the grams of whole windows and of shorter ones, put together by Spark."""
-    place = F.shiftrightunsigned("g", 64 - bits)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
-    words = grams.groupBy((F.col("m") < s.window).cast("int").alias("k"), F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    table = words.toPandas()  # at most 2^(bits - 5) rows
-    out = np.zeros((2, 1 << (bits - 6)), np.uint64)
-    out[table["k"].to_numpy(np.int64), table["word"].to_numpy(np.int64)] = table["bits"].to_numpy(np.int64).view(np.uint64)
-    return out[0], out[1]
+    """Bitmaps of 2^``bits`` bits of the grams of whole windows and of shorter ones, packed by tasks: the driver gets their bytes alone."""
+    half = F.when(F.col("m") < s.window, F.lit(1 << bits)).otherwise(F.lit(0))
+    slot = half.bitwiseOR(F.shiftrightunsigned("g", 64 - bits).cast("int"))
+    both = slot_bits(grams.select(slot.alias("slot")), bits + 1)[: 1 << (bits - 2)].view(np.uint64)
+    return both[: len(both) // 2], both[len(both) // 2 :]
 
 
 def dense(place: np.ndarray, doc: np.ndarray, need: int, edges: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray]:

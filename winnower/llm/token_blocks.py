@@ -105,7 +105,7 @@ def read_blocks(spark: SparkSession, written: tuple[str, str], *columns: str) ->
 def slot_bits(slots: DataFrame, bits: int) -> np.ndarray:
     """Bit array of 2**bits bits (as bytes) with the bits of column ``slot`` set: all that the driver gets, whatever the rows.
 
-    Rows are made distinct and packed in groups of 65,536 neighbouring slots, by tasks.
+    Rows are made distinct and packed in groups of 65,536 neighbouring slots, by tasks; the array holds one such group at least.
     """
     page = F.shiftright("slot", 16).cast("int").alias("page")
     pages = slots.select(F.col("slot").cast("int").alias("slot")).distinct().select(page, "slot")
@@ -115,7 +115,7 @@ def slot_bits(slots: DataFrame, bits: int) -> np.ndarray:
         own[table["slot"].to_numpy() & 0xFFFF] = True
         return pa.table({"page": table["page"][:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
 
-    out = np.zeros(max(1, 1 << (bits - 16)) << 13, np.uint8)
+    out = np.zeros(1 << max(16, bits) - 3, np.uint8)
     for r in pages.groupBy("page").applyInArrow(pack, "page int, bits binary").collect():
         out[r.page << 13 : (r.page + 1) << 13] = np.frombuffer(r.bits, np.uint8)
     return out
