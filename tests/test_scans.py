@@ -52,3 +52,17 @@ def test_milestones_once_each(spark):
     w = W.partitionBy("session_id").orderBy("ts", "event_id")
     assert first.event_id == events(spark).withColumn("k", F.row_number().over(w)).where("session_id = 1 and k = 500").first().event_id
     assert O.milestones(events(spark).where("false")).count() == O.moving_speed(events(spark).where("false")).count() == 0
+
+
+def test_subfolders_by_broadcast_and_by_shuffle(spark):
+    """Large, exactly full and small folders, and items without one."""
+    sizes = {"large": 11, "full": 4, "small": 1, None: 6}
+    rows = [(f"{f}-{k:02}", f"/{k:02}", f) for f, n in sizes.items() for k in range(n)]
+    items = spark.createDataFrame(rows, "item_id string, image_path string, source_folder string")
+    name = lambda f, k: f if sizes[f] <= 4 else f"{'null' if f is None else f}_batch_{k // 4 + 1:03}"
+    want = {i: name(f, int(p[1:])) for i, p, f in rows}
+    for most in (100_000, 0):
+        got = O.assign_subfolders(items, 4, most_broadcast=most)
+        assert got.columns == [*items.columns, "folder"] and {r.item_id: r.folder for r in got.collect()} == want
+        assert got.count() == len(rows)
+    assert O.assign_subfolders(items.limit(0), 4).collect() == []

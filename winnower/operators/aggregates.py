@@ -80,6 +80,7 @@ def folder_breakdown(results: DataFrame) -> DataFrame:
 
 
 def facet_values(results: DataFrame) -> DataFrame:
+    """One row of all values to filter by, as asked: it grows with the number of different folders and reasons. ``facet_counts`` has a row for each."""
     reasons = results.select(F.explode("reasons").alias("x")).agg(F.array_sort(F.collect_set("x")).alias("reasons"))
     one = results.agg(
         F.array_sort(F.collect_set("final_decision")).alias("decisions"), F.array_sort(F.collect_set("source_folder")).alias("folders"), F.min("created_at").alias("first"), F.max("created_at").alias("last"),

@@ -78,13 +78,17 @@ def assign_folders(approved: DataFrame, per: int = 200, order: Sequence[str] = (
     return global_rank(approved, order, "k").withColumn("folder", (F.floor(F.col("k") / per) + 1).cast("long")).drop("k")
 
 
-def assign_subfolders(approved: DataFrame, per: int = 200, parent: str = "source_folder") -> DataFrame:
-    """The parent itself up to ``per`` items, else numbered batches of it; a large parent is spread over many tasks."""
+def assign_subfolders(approved: DataFrame, per: int = 200, parent: str = "source_folder", most_broadcast: int = 100_000) -> DataFrame:
+    """The parent itself up to ``per`` items, else numbered batches of it; a large parent is spread over many tasks.
+
+    Only parents of more than ``per`` items have a row of their own. They are counted: up to ``most_broadcast`` are broadcast, more meet the items in a shuffle join.
+    """
     ranked = global_rank(approved, (parent, "image_path", "item_id"), "_k")
-    firsts = ranked.groupBy(F.col(parent).alias("_parent")).agg(F.min("_k").alias("_first"), F.count("*").alias("_n"))
-    df = ranked.join(F.broadcast(firsts), F.col(parent).eqNullSafe(F.col("_parent")))
+    large = settle(ranked.groupBy(F.col(parent).alias("_parent")).agg(F.min("_k").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") > per).drop("_n"))
+    near = F.broadcast(large) if large.count() <= most_broadcast else large
+    df = ranked.join(near, F.col(parent).eqNullSafe(F.col("_parent")), "left")
     batch = (F.floor((F.col("_k") - F.col("_first")) / per) + 1).cast("int")
-    return df.withColumn("folder", F.when(F.col("_n") <= per, F.col(parent)).otherwise(F.format_string("%s_batch_%03d", F.col(parent), batch))).drop("_k", "_parent", "_first", "_n")
+    return df.withColumn("folder", F.when(F.col("_first").isNull(), F.col(parent)).otherwise(F.format_string("%s_batch_%03d", F.col(parent), batch))).drop("_k", "_parent", "_first")
 
 
 def resolve_names(items: DataFrame, folder: str = "folder") -> DataFrame:
