@@ -71,6 +71,15 @@ def test_collocations(spark, shards, slots):
     assert collocations.collocations(df.where("false")).count() == 0
 
 
+def test_collocations_of_long_words_of_two_letters(spark):
+    """Sums of powers modulo 2^64 are the same for these two words, whatever the base."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [("en", f"{one} x {two} y"), ("en", f"{two} x z {one} y")] * 40
+    got = collocations.collocations(spark.createDataFrame(rows, "lang string, text string"))
+    assert sorted(map(tuple, got.collect())) == brute_collocations(rows, 30)
+
+
 @pytest.mark.parametrize("longest", [1, 3])
 def test_importance(spark, longest):
     docs = [(i, t) for i, t in enumerate(prose(6, 200))] + [(None, "a b c " * 20), (7, "sea " * 30), (7, "sea " * 30)]

@@ -81,7 +81,7 @@ def _shingles(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.nda
     """Hashes of all shingles in order, and for each text the index of its first one (n+1 entries)."""
     data = tb.LOWER[data]
     starts, ends, first = tb.words(data, bounds)
-    hashes = tb.span_hashes(tb.prefix_sums(data), starts, ends)
+    hashes = tb.word_hashes(data, starts, ends)
     counts = np.diff(first)
     sums = np.zeros(len(hashes), np.uint64)
     for k in range(length):
