@@ -274,3 +274,11 @@ def test_score_statistics_of_odd_tables(spark):
         x = [r[k] for r in rows if r[k] is not None]
         assert np.allclose([got[name].q25, got[name].median, got[name].q75, got[name].mean, got[name]["std"]], [*np.percentile(x, [25, 50, 75]), np.mean(x), np.std(x, ddof=1)])
     assert aggregates.score_statistics(df.limit(0), ["a"]).count() == 0
+
+
+def test_medoid_makes_its_pairs_once(spark):
+    """A union of two readings of the pairs failed where Spark split one of them (unequal numbers of partitions)."""
+    pairs = spark.createDataFrame([(1, 1, 2, 0.9), (1, 1, 3, 0.97), (1, 2, 3, 0.8)], "cluster_id long, a long, b long, similarity double")
+    df = windows.keep_medoid(pairs, spark.range(4).select(F.col("id").alias("item_id"), F.lit(5).alias("file_size")))
+    assert {r.item_id: (r.mean, r.action) for r in df.collect()} == {1: (0.935, "keep"), 2: (0.85, "remove"), 3: (0.885, "remove")}
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()

@@ -51,7 +51,7 @@ def keep_best_scored(members: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def keep_medoid(pairs: DataFrame, members: DataFrame, identical: float = 0.95, near: float = 0.90) -> DataFrame:
     """From pairs (cluster_id, a, b, similarity) and members (item_id, file_size): the item of highest mean similarity is kept."""
-    both = pairs.select("cluster_id", F.col("a").alias("item_id"), "similarity").unionByName(pairs.select("cluster_id", F.col("b").alias("item_id"), "similarity"))
+    both = pairs.select("cluster_id", F.explode(F.array("a", "b")).alias("item_id"), "similarity")  # not a union: the pairs are made once
     means = both.groupBy("cluster_id", "item_id").agg(F.avg("similarity").alias("mean"))
     return keep_medoid_of_means(means, pairs.groupBy("cluster_id").agg(F.max("similarity").alias("most")), members, identical, near)
 
