@@ -90,6 +90,15 @@ def test_batches_are_committed_once(spark, tmp_path, monkeypatch):
     assert files.load_results(spark, path).count() == 80 and files.load_results(spark, path, 3).count() == 20
 
 
+def test_files_do_not_grow_with_sessions(spark, tmp_path):
+    path = str(tmp_path / "r")
+    df = spark.range(0, 600, 1, 6).select(F.col("id").alias("item_id"), (F.col("id") % 300).alias("session_id"))
+    files.save_results(df, path, "1")
+    assert 1 < len(parquet(path)) <= files.BUCKETS
+    assert rows(files.load_results(spark, path).select(*df.columns)) == rows(df)
+    assert rows(files.load_results(spark, path, 7).select("item_id")) == [(307,), (7,)]
+
+
 def test_a_failing_batch_is_halved(spark):
     calls = spark.sparkContext.accumulator(0)
 

@@ -138,8 +138,17 @@ def committed(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
+#: Fixed value: the folders that the sessions of a batch are dealt to.
+BUCKETS = 32
+
+
+def _bucket(session_id: Column) -> Column:
+    """The folder of a session."""
+    return F.concat(F.lit("s-"), F.pmod(F.xxhash64(session_id.cast("string")), F.lit(BUCKETS)).cast("string"))
+
+
 def save_results(results: DataFrame, path: str, batch: str | None = None) -> bool:
-    """Adds the rows below one folder per session, as a batch that is visible as a whole or not at all; whether it was new.
+    """Adds the rows below one of ``BUCKETS`` folders by session, as a batch that is visible as a whole or not at all; whether it was new.
 
     Rows go to a folder of this attempt. The batch then counts by one small file of the ledger, whose folder bears its name and can only be made
     once: a job that dies before leaves rows that nobody reads, and a batch that is saved again changes nothing (an error if its
@@ -151,7 +160,8 @@ def save_results(results: DataFrame, path: str, batch: str | None = None) -> boo
     known = committed(spark, path).where(F.col("batch") == batch).first()
     if known is None:
         target = f"{path}/data/batch=b-{batch}/attempt=a-{attempt}"  # never digits alone, which would come back as numbers
-        results.write.partitionBy("session_id").parquet(target)
+        # A folder's rows come from one task: files don't grow with the number of sessions or of tasks.
+        results.withColumn("_bucket", _bucket(F.col("session_id"))).repartition(BUCKETS, "_bucket").write.partitionBy("_bucket").parquet(target)
         n, digest = _digest(spark.read.schema(results.schema).parquet(target).select(*results.columns))
         entry = spark.createDataFrame([(batch, attempt, n, digest)], _LEDGER)
         try:
@@ -167,12 +177,12 @@ def save_results(results: DataFrame, path: str, batch: str | None = None) -> boo
 
 
 def load_results(spark: SparkSession, path: str, session_id: int | None = None) -> DataFrame:
-    """Rows of committed batches; a session's rows come from its folders alone, and attempts that the ledger doesn't name aren't read."""
+    """Rows of committed batches; a session's rows come from its folder of each batch alone, and attempts that the ledger doesn't name aren't read."""
     ledger = committed(spark, path).select("batch", "attempt")
     df = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
-    df = df if session_id is None else df.where(F.col("session_id") == session_id)
+    df = df if session_id is None else df.where((F.col("_bucket") == _bucket(F.lit(session_id))) & (F.col("session_id") == session_id))
     named = ledger.select(F.concat(F.lit("b-"), "batch").alias("batch"), F.concat(F.lit("a-"), "attempt").alias("attempt"))
-    return df.join(named, ["batch", "attempt"], "left_semi").drop("batch", "attempt")
+    return df.join(named, ["batch", "attempt"], "left_semi").drop("batch", "attempt", "_bucket")
 
 
 def export_rows(results: DataFrame) -> DataFrame:
