@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import os
+import random
 
 import pandas as pd
 import pytest
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 from winnower.functions import rules
 from winnower.operators import lifecycle as L
 from winnower.operators import results as R
+from winnower.plans import registry
+from winnower.plans.catalog import QUERIES
 from winnower.sources import files, tables
 
 
@@ -99,6 +102,13 @@ def test_files_do_not_grow_with_sessions(spark, tmp_path):
     assert rows(files.load_results(spark, path, 7).select("item_id")) == [(307,), (7,)]
 
 
+def test_a_batch_is_saved_again_with_the_same_rows(spark, sf_dir, monkeypatch):
+    """Though the results come out differently every time they are made."""
+    flip = F.udf(lambda: random.choice("ab"), "string").asNondeterministic()
+    monkeypatch.setattr(registry, "view", lambda *_: spark.range(400).select(F.col("id").alias("item_id"), (F.col("id") % 8).alias("session_id"), flip().alias("final_decision")))
+    assert QUERIES["s08_save_load_results"](spark, sf_dir).count() == 50
+
+
 def test_a_failing_batch_is_halved(spark):
     calls = spark.sparkContext.accumulator(0)
 
