@@ -99,6 +99,23 @@ def test_leader_groups(spark, kind, bound):
     assert {r.item_id: r.leader for r in got.collect()} == sequential(n, set(pairs))
 
 
+@pytest.mark.parametrize(("kind", "first"), [("dense", 100), ("dense", 4096), ("sparse", 50), ("mixed", 60)])
+def test_cosine_leaders_list_no_pairs_of_dense_vectors(spark, monkeypatch, kind, first):
+    rng = np.random.default_rng(11)
+    x = {"dense": rng.normal(size=(900, 6)), "sparse": rng.normal(size=(500, 60)), "mixed": np.concatenate([clustered(3, 150, 40, 0.05), rng.normal(size=(150, 40))])}[kind]
+    least = 0.6
+    want = sequential(len(x), brute(x, least))
+    rows = [*x, None, np.zeros(x.shape[1]), x[3], x[3]]
+    want |= {len(x): len(x), len(x) + 1: len(x) + 1, len(x) + 2: want[3], len(x) + 3: want[3]}
+    listed = []
+    pairs = M.cosine_pairs
+    monkeypatch.setattr(M, "cosine_pairs", lambda *a, **k: listed.append(1) or pairs(*a, **k))
+    got = {r.item_id: r.leader for r in M.cosine_leaders(frame(spark, rows), least, index=M.Index(first=first)).collect()}
+    assert got == want
+    assert kind == "mixed" or bool(listed) == (kind == "sparse")
+    assert M.cosine_leaders(frame(spark, rows).where("false"), least).count() == 0
+
+
 def test_statistics_without_pairs(spark):
     x = clustered(3, 300, spread=0.3)
     cluster = np.repeat([5, 6, 7], 300)
