@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from winnower.operators import similarity as S
@@ -36,3 +37,25 @@ def test_a_hot_hash_gives_rows_in_proportion(spark):
     assert S.hash_links(hashes).where("a = 0 and distance = 0").count() == 19_999
     assert S.hash_links(hashes).count() < 30_000
     assert S.hash_links(hashes.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(("digits", "many"), [("0123456789abcdef", False), ("0123456789abcdef", True), ("0123456789xyzABC", False)])
+def test_pairs_against_all(spark, monkeypatch, digits, many):
+    monkeypatch.setattr(S, "_MANY", 0 if many else 10**9)
+    rng = random.Random(4)
+    base = ["".join(rng.choice(digits) for _ in range(16)) for _ in range(8)]
+
+    def near(h):
+        out = list(h)
+        for i in rng.sample(range(16), rng.choice([0, 1, 4, 5, 5, 6, 16])):
+            out[i] = rng.choice(digits)
+        return "".join(out)
+
+    rows = [(i, near(rng.choice(base)), near(rng.choice(base)), near(rng.choice(base))) for i in range(120)]
+    got = S.hash_pairs(spark.createDataFrame(rows, KIND))
+    diff = lambda x, y: min(sum(p != q for p, q in zip(*z, strict=True)) for z in zip(x[1:], y[1:], strict=True))
+    want = {(x[0], y[0]): diff(x, y) for x in rows for y in rows if x[0] < y[0] and diff(x, y) <= 5}
+    assert sorted((r.a, r.b, r.distance) for r in got.collect()) == sorted((*k, v) for k, v in want.items())
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan  # a pair is made once, not once for each key that it shares
+    assert ("lambda" in plan) == ("x" in digits)
