@@ -79,6 +79,27 @@ def test_density_clusters_against_pairs(spark, samples):
     assert len({c for _, c in rows(got)}) > 2
 
 
+def test_blocks_grow_with_the_vectors_and_products_stay_small():
+    index = M.Index()
+    assert [index.block(n, 64) for n in (500, 10_000, 100_000, 10**6, 10**8)] == [1024, 1250, 12_500, 32_768, 32_768]
+    assert all(index.block(10**8, d) * d <= 1 << 21 for d in (64, 512, 2048))
+    assert all(index.step(n) * n <= 1 << 21 for n in (4096, 10_000, 32_768))
+
+
+def test_density_tasks_hold_no_matrix_of_their_blocks():
+    import tracemalloc
+
+    x = np.random.default_rng(5).normal(size=(12_000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    n = M._neighbours(x[:6000], x[6000:], np.ones(6000, np.int64), 0.5, 3, False, M.Index())
+    parent = M._local_components(x[:6000], x[6000:], 0.5, False, M.Index())
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20  # the matrix of neighbours as numbers has 288 MB
+    tracemalloc.stop()
+    hits = (x[:50] @ x[6000:].T >= 0.5).sum(1)
+    assert (np.minimum(n[:50], 3) == np.minimum(hits, 3)).all() and len(set(parent.tolist())) == 1
+
+
 def sequential(n, pairs):
     near = {}
     for a, b in pairs:
