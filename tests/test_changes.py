@@ -130,6 +130,23 @@ def test_a_failing_batch_is_halved(spark):
     assert L.apply_batches(df.where("false"), invert, schema).count() == 0
 
 
+def test_batches_with_many_bad_rows(spark):
+    from pyspark.sql import types as T
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def fn(pdf):
+        calls.add(1)
+        if (pdf["x"] % 10 == 0).any():
+            raise ValueError("bad")
+        return (pdf["x"] + 2**60 + 1).to_frame("y")
+
+    df = spark.range(1000).select(F.col("id").alias("item_id"), F.col("id").alias("x")).coalesce(1)
+    got = {r.item_id: (r.status, r.y) for r in L.apply_batches(df, fn, T.StructType([T.StructField("y", T.LongType())])).collect()}
+    assert got == {i: ("ok", i + 2**60 + 1) if i % 10 else ("error", None) for i in range(1000)}
+    assert calls.value == 727  # 847 with a call for both halves of every failed batch
+
+
 def test_resumption(spark):
     sessions = spark.createDataFrame([(1, "failed", 9, 9, 0, "x"), (2, "failed", 9, 9, 0, "x")], "id long, status string, processed_images long, approved_images long, rejected_images long, error_message string")
     results = spark.createDataFrame([(s, i, "approved" if i % 2 else "rejected") for s in (1, 2) for i in range(10)], "session_id long, index long, final_decision string")

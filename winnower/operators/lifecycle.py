@@ -39,26 +39,46 @@ def apply_analyzer(df: DataFrame, fn: Callable[[dict], dict], schema: T.StructTy
 
 def apply_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType, key: str = "item_id") -> DataFrame:
     """``fn`` on whole batches of rows: one call a batch as long as nothing fails. A batch that fails is halved until the bad rows are
-    alone, which become rows of status ``error`` as with ``apply_analyzer``; ``fn`` must return a row for each that it gets, in their order."""
+    alone, which become rows of status ``error`` as with ``apply_analyzer``; ``fn`` must return a row for each that it gets, in their order.
+    If the first half passes, the other must hold the failure and is halved without a call of its own. Each batch gives one batch of rows."""
     out = T.StructType([df.schema[key], *schema.fields, *ERROR_FIELDS])
 
-    def attempt(pdf: pd.DataFrame) -> list[pd.DataFrame]:
-        began = time.perf_counter()
-        try:
-            made = fn(pdf)[schema.names].reset_index(drop=True)
-            if len(made) != len(pdf):
-                raise ValueError(f"{len(made)} rows made of {len(pdf)}")
-            done, status, error = made, "ok", None
-        except Exception as e:  # any failure of the user's function is data here
-            if len(pdf) > 1:
-                return attempt(pdf.iloc[: len(pdf) // 2]) + attempt(pdf.iloc[len(pdf) // 2 :])
-            done, status, error = pd.DataFrame([[None] * len(schema.names)], columns=schema.names), "error", traceback.format_exception_only(e)[-1].strip()
-        done.insert(0, key, pdf[key].to_numpy())
-        return [done.assign(status=status, error=error, seconds=(time.perf_counter() - began) / len(pdf))]
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, parts, at = len(pdf), [], []  # what was made, and of which rows
+        status, error, seconds = np.full(rows, "ok", object), np.full(rows, None, object), np.zeros(rows)
+
+        def attempt(lo: int, hi: int, bad: bool = False) -> bool:
+            """Whether all rows from lo to hi pass; ``bad`` if it is known that they don't."""
+            if not bad or hi - lo == 1:
+                began = time.perf_counter()
+                try:
+                    made = fn(pdf.iloc[lo:hi])[schema.names]
+                    if len(made) != hi - lo:
+                        raise ValueError(f"{len(made)} rows made of {hi - lo}")
+                    parts.append(made)
+                    at.append((lo, hi))
+                    seconds[lo:hi] = (time.perf_counter() - began) / (hi - lo)
+                    return True
+                except Exception as e:  # any failure of the user's function is data here
+                    if hi - lo == 1:
+                        status[lo], error[lo], seconds[lo] = "error", traceback.format_exception_only(e)[-1].strip(), time.perf_counter() - began
+                        return False
+            mid = (lo + hi) // 2
+            attempt(mid, hi, attempt(lo, mid))
+            return False
+
+        attempt(0, rows)
+        places = np.concatenate([np.arange(lo, hi) for lo, hi in at]) if at else np.zeros(0, np.int64)
+        made = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=schema.names, dtype=object)
+        if len(places) < rows:  # whole numbers stay whole beside the nulls of bad rows
+            made = made.astype({c: object for c in made.columns if made[c].dtype.kind in "iub"}).set_axis(places).reindex(range(rows))
+        made.insert(0, key, pdf[key].to_numpy())
+        return made.assign(status=status, error=error, seconds=seconds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield from attempt(pdf) if len(pdf) else []
+            if len(pdf):
+                yield whole(pdf)
 
     return df.mapInPandas(run, out)
 
