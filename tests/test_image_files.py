@@ -46,3 +46,11 @@ def test_png_of_any_size(spark, tmp_path):
     for r in files.scan_images(spark, root).collect():
         h, w, c, data = pixels[r.item_id.rsplit("/", 1)[1]]
         assert (r.height, r.width, r.channels, bytes(r.data)) == (h, w, c, data)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    root = str(tmp_path / "images")
+    write_image_files(table(spark, *((f"{i}.png", png(1, 1, 3, bytes(3))) for i in range(400))), root)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    assert files.list_files(spark, root).rdd.getNumPartitions() <= 7  # Spark's 4 MB a file give 13
+    assert files.scan_images(spark, root).count() == 400 and spark.conf.get("spark.sql.files.openCostInBytes") == before

@@ -19,7 +19,12 @@ PATTERN = "*.{" + ",".join(EXTENSIONS) + "}"
 
 
 def _read(spark: SparkSession, kind: str, root: str) -> DataFrame:
-    return spark.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN)
+    """A reader of its own session, in which a small file counts as 64 KB: Spark's 4 MB make a task of every 32 files."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.openCostInBytes", 64 << 10)
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    return own.read.format(kind).option("recursiveFileLookup", "true").option("pathGlobFilter", PATTERN)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
